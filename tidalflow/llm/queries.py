@@ -33,6 +33,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encoded
 
