@@ -51,6 +51,12 @@ def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_main import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
