@@ -45,6 +45,12 @@ def op6_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(table(spark, sf_dir, "conversations"))
 
 
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encoded
 
