@@ -8,6 +8,20 @@ from tidalflow.llm import queries as q
 from tidalflow.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose lines the conditional random field finds good; trained on the labelled rows of ``docs`` itself that aren't held out."""
+    from tidalflow.llm.quality import good
+
+    return good(docs, table(spark, sf_dir, "labels"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates (five-word shingles, similarity 0.8)."""
+    from tidalflow.llm.near_dup import deduplicated
+
+    return deduplicated(docs, k=5)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents of which benchmark windows cover a twentieth of the words or more."""
     from tidalflow.llm.decontaminate import clean
@@ -15,6 +29,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Numbers, dates and addresses of people replaced by pseudonyms within the text."""
+    from tidalflow.llm.pii import pseudonymised
+
+    return pseudonymised(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids' and the decoded text's digests of every document that is left."""
     from tidalflow.llm.bpe import encoded
@@ -22,7 +43,13 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded(docs, q.tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("benchmark decontamination", decontaminated), ("BPE encoding", encoded)]
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("pseudonyms", pseudonymised),
+    ("BPE encoding", encoded),
+]
 #: SQL can't express the stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 

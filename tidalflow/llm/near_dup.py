@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, k: int = 5) -> DataFrame:
     """One document of each component: the rows of its smallest id, one a text that is repeated under it; null ids stay."""
-    keep = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    keep = near_duplicates(docs, percent, k).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     gone_null = docs.where("doc_id IS NULL")
     return docs.join(keep, "doc_id", "left_semi").select(docs.columns).unionByName(gone_null).dropDuplicates(["doc_id", "text"])
