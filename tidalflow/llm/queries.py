@@ -39,6 +39,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import report
 
