@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BY = Window.partitionBy("symbol").orderBy("seq")
+def _by():
+    return Window.partitionBy("symbol").orderBy("seq")
 
 
 def levels(messages: DataFrame) -> DataFrame:
@@ -21,13 +22,13 @@ def levels(messages: DataFrame) -> DataFrame:
 
 def epochs(messages: DataFrame) -> DataFrame:
     """epoch: the number of snapshots so far; a snapshot clears the book."""
-    return messages.withColumn("epoch", F.sum((F.col("action") == "snapshot").cast("long")).over(_BY.rowsBetween(Window.unboundedPreceding, 0)))
+    return messages.withColumn("epoch", F.sum((F.col("action") == "snapshot").cast("long")).over(_by().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def samples(messages: DataFrame, seconds: int) -> DataFrame:
     """The first known message, and each first one that reaches an interval later than all before it."""
     slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
-    before = F.max("_slot").over(_BY.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("_slot").over(_by().rowsBetween(Window.unboundedPreceding, -1))
     known = messages.where(F.col("action").isin("snapshot", "update")).withColumn("_slot", slot)
     # only a message that opens a slot can be sampled, so the running maximum need not be exact in between
     return known.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_slot") > F.col("_before"))).drop("_slot", "_before")
@@ -68,7 +69,7 @@ def liquidity(minutes: DataFrame, interval: str) -> DataFrame:
 def audit(messages: DataFrame) -> DataFrame:
     """Counters, gaps (in ms) and bounds of each symbol's messages, in the order of seq."""
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
-    gap = F.col("_ms") - F.lag("_ms").over(_BY)
+    gap = F.col("_ms") - F.lag("_ms").over(_by())
     known = F.col("action").isin("snapshot", "update")
     return (
         messages.withColumn("_ms", ms)
