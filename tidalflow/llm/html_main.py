@@ -6,8 +6,8 @@ that recur across many pages of their host are deleted, as are elements that say
 menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts or styles. Of what is left the text
 of ``article`` (or ``main``) is taken, or of the whole body where there is neither.
 
-Copies of a page count once, and within ``article`` only containers are deleted by recurrence, never a paragraph,
-heading or list item of its own, so a text that is published twice isn't taken for a template.
+Copies of a page count once, and within ``article`` only neutral containers are deleted by recurrence, never a paragraph,
+heading, list or table of its own, so a text that is published twice isn't taken for a template.
 
 Defined cases: null html is empty and gives empty text; a null url has the host ""; unclosed elements end with their
 parents; a control character reference is decoded as HTML says; repeated rows each get a row; other columns aren't read.
@@ -44,7 +44,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 #: An opening tag that ends open elements of the second set, up to the nearest of the third.
 _P_ENDS = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_OWN = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead table blockquote pre figcaption".split())
+_OWN = set("p h1 h2 h3 h4 h5 h6 hgroup header ul ol dl li dt dd td th tr tbody thead table blockquote pre figure figcaption".split())
 
 
 class _Element:
