@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def _trades(spark, root):
     return events.trades(_events(spark, root, "event_id", "ts", "user_id", "value", "props"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Persisted: a panel has a row for each asset and bucket, so it is as large as its calendar, not as its trades; later operators read it many times."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _buckets(spark, root):
     return panel.trade_buckets(_trades(spark, root), INTERVAL)
 
@@ -59,7 +65,8 @@ def _features(spark, root):
 
 
 def _residuals(spark, root):
-    return regression.residualized_two(_features(spark, root), "aggressor_imbalance", "own_return", "loo_market_return")
+    x = _kept(_features(spark, root))
+    return _kept(regression.residualized_two(x, "aggressor_imbalance", "own_return", "loo_market_return"))
 
 
 def _oos(spark, root):
@@ -72,7 +79,7 @@ def _flows(spark, root):
     raw = _residuals(spark, root).groupBy("bucket_start").agg(F.any_value("sample_split").alias("sample_split"), F.avg(F.when(major, F.col("residual_z"))).alias("major"), F.avg(F.when(~major, F.col("residual_z"))).alias("alt"), F.avg(F.when(F.col("symbol").isin(FIVE), F.col("residual_z"))).alias("five"))
     dev = F.col("sample_split") == "development"
     scale = raw.agg(*(x(F.when(dev, F.col(c))).alias(f"{c}_{n}") for c in ("major", "alt", "five") for n, x in (("c", F.avg), ("s", F.stddev_samp))))
-    return raw.crossJoin(F.broadcast(scale)).select("bucket_start", "sample_split", *(((F.col(c) - F.col(f"{c}_c")) / F.col(f"{c}_s")).alias(f"{c}_flow") for c in ("major", "alt", "five")))
+    return _kept(raw.crossJoin(F.broadcast(scale)).select("bucket_start", "sample_split", *(((F.col(c) - F.col(f"{c}_c")) / F.col(f"{c}_s")).alias(f"{c}_flow") for c in ("major", "alt", "five"))))
 
 
 def _oos_flows(spark, root):
@@ -89,7 +96,7 @@ def _both(spark, root):
 
 
 def _blocked(spark, root):
-    return synchronization.blocks(_oos(spark, root), SLOTS, "month")
+    return _kept(synchronization.blocks(_oos(spark, root), SLOTS, "month"))
 
 
 def _offsets(blocked, draws=20):
@@ -99,7 +106,7 @@ def _offsets(blocked, draws=20):
 
 
 def _futures(spark, root, taker="mean"):
-    return panel.futures_buckets(events.futures_metrics(_events(spark, root)), INTERVAL, taker)
+    return _kept(panel.futures_buckets(events.futures_metrics(_events(spark, root)), INTERVAL, taker))
 
 
 def _messages(spark, root):
@@ -120,14 +127,14 @@ def _venues(spark, root):
     """bucket_start, symbol, venue, flow on the full grid; cells without trades are 0."""
     cells = panel.trade_buckets(events.venue_trades(_events(spark, root, "event_id", "ts", "user_id", "value", "props")), INTERVAL, "venue").select("bucket_start", "symbol", "venue", F.col("aggressor_imbalance").alias("flow"))
     grid = calendar.spine(spark, START, END, INTERVAL).select("bucket_start", F.explode(F.array(*map(F.lit, SYMBOLS))).alias("symbol")).select("*", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("venue"))
-    return grid.join(cells, ["bucket_start", "symbol", "venue"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))).withColumn("sample_split", panel.sample_split(F.col("bucket_start"), DEVELOPMENT, OOS))
+    return _kept(grid.join(cells, ["bucket_start", "symbol", "venue"], "left").withColumn("flow", F.coalesce("flow", F.lit(0.0))).withColumn("sample_split", panel.sample_split(F.col("bucket_start"), DEVELOPMENT, OOS)))
 
 
 def _common(spark, root):
     raw = _venues(spark, root).groupBy("bucket_start", "venue").agg(F.any_value("sample_split").alias("sample_split"), F.avg("flow").alias("m"))
     z = regression.standardised(raw, "m", "z", ["venue"], F.col("sample_split") == "development")
     side = lambda v: F.max(F.when(F.col("venue") == v, F.col("z"))).alias(f"{v}_flow")
-    return z.groupBy("bucket_start").agg(F.any_value("sample_split").alias("sample_split"), side("first"), side("second"))
+    return _kept(z.groupBy("bucket_start").agg(F.any_value("sample_split").alias("sample_split"), side("first"), side("second")))
 
 
 def _jobs(spark):
