@@ -36,8 +36,8 @@ SCALES, EACH = 12, 12
 LEXICON = 1_000_000
 #: Partial counts that a task holds before it passes them on.
 TERMS = 250_000
-#: Documents that a bucket of neighbouring ids has, about.
-BUCKET = 4000
+#: Documents that a bucket of neighbouring ids has, about; and how many buckets there are at most, for the driver holds an id of each.
+BUCKET, BUCKETS = 4000, 50_000
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -145,7 +145,7 @@ def neighbourly(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     total = ids.count()
-    parts = max(1, -(-total // bucket))
+    parts = max(1, min(-(-total // bucket), BUCKETS))
     cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []))
     spark = docs.sparkSession
     if cuts:
