@@ -173,8 +173,11 @@ _RUNS = "doc_id long, first long, last long"
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last, place, gram, stretch; gram is null where a batch already shows an earlier equal stretch."""
-    arrow = pa.schema([(c, pa.int64()) for c in ("doc_id", "first", "last", "place", "gram", "stretch")])
+    """doc_id, first, shape, gram, stretch; gram is null where a batch already shows an earlier equal stretch.
+
+    ``shape`` has the last start owned and the anchor's place, both from ``first`` on, in one small number.
+    """
+    arrow = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32()), ("gram", pa.int64()), ("stretch", pa.int64())])
 
     def run(batches):
         for part in steps(batches):
@@ -183,16 +186,16 @@ def _anchored(docs: DataFrame) -> DataFrame:
                 place, gram, first, last = anchors(text)
                 if len(place):
                     of = [int.from_bytes(hashlib.blake2b(text[a : b + LENGTH] + bytes([p - a]), digest_size=8).digest(), "big", signed=True) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                    cols.append((np.full(len(place), doc), first, last, place, gram.view(np.int64), np.array(of)))
+                    cols.append((np.full(len(place), doc), first, ((last - first) * 128 + place - first).astype(np.int32), gram.view(np.int64), np.array(of)))
             if not cols:
                 continue
-            doc, first, last, place, gram, stretch = (np.concatenate(x) for x in zip(*cols, strict=True))
+            doc, first, shape, gram, stretch = (np.concatenate(x) for x in zip(*cols, strict=True))
             order = np.lexsort((first, doc, stretch))
             later = np.zeros(len(doc), bool)
             later[order[1:]] = stretch[order[1:]] == stretch[order[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, first, last, place)] + [pa.array(gram, mask=later), pa.array(stretch)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, first, shape)] + [pa.array(gram, mask=later), pa.array(stretch)], schema=arrow)
 
-    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, first long, last long, place long, gram long, stretch long")
+    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, first long, shape int, gram long, stretch long")
 
 
 def _edges(docs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,9 +225,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, first, last: runs of starts whose strings of LENGTH bytes start earlier too."""
     rows = stored(_anchored(docs), "anchors")
     by_gram, by_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch").orderBy("doc_id", "first")
-    dealt = rows.where("gram IS NOT NULL").select("gram", "stretch", "doc_id", "first", "last", "place").repartition("gram")
+    dealt = rows.where("gram IS NOT NULL").select("gram", "stretch", "doc_id", "first", "shape").repartition("gram")
     seen = dealt.withColumn("nth", F.row_number().over(by_stretch)).withColumn("mixed", F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram))
-    seen = stored(seen.where("nth > 1 OR mixed").select("doc_id", "first", "last", "place", (F.col("nth") > 1).alias("again")), "repeats")
+    last, place = (F.col("first") + F.floor(F.col("shape") / 128)).alias("last"), (F.col("first") + F.col("shape") % 128).alias("place")
+    seen = stored(seen.where("nth > 1 OR mixed").select("doc_id", "first", last, place, (F.col("nth") > 1).alias("again")), "repeats")
     edges = _edges(docs, seen.where("NOT again"))
     arrow = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
@@ -250,7 +254,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         yield out()
 
     local = edges.repartition("key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
-    known = rows.where("gram IS NULL").select("doc_id", "first", "last").union(seen.where("again").select("doc_id", "first", "last"))
+    known = rows.where("gram IS NULL").select("doc_id", "first", last).union(seen.where("again").select("doc_id", "first", "last"))
     return known.union(local)
 
 
