@@ -4,15 +4,16 @@
    and BANDS band keys. Texts of one set are one class, represented by its smallest id; copies go no further.
 2. Classes that share a band key are candidates. Within a bucket, each is compared with one leader only, so the pairs
    grow with the rows, not with their square. After the links so found are joined to components, buckets that still hold
-   several components get another leader, and at last all pairs between their components, so that no link is lost: two
-   classes of one component need no comparison, for their link could not change the result.
+   several components get another leader. At last, what is outside a bucket's most frequent component is compared with
+   all of that component, part by part and without emitting pairs, and among itself, so that no link is lost: two classes
+   of one component need no comparison, for their link could not change the result.
 3. A candidate's signatures are compared batch by batch. It goes as soon as the posterior probability (uniform prior) that
    its similarity reaches the threshold falls under MISS. Sizes that rule the threshold out go at once.
 4. Survivors are verified on the full sets of the texts themselves, by leader; the rows of a leader with many candidates
    are spread over several groups.
 5. Links form components (large-star, small-star).
 
-At similarity 0.8, a pair shares a band key with probability 1 - (1 - 0.8^ROWS)^BANDS, over 0.999995.
+At similarity 0.8, a pair shares a band key with probability 1 - (1 - 0.8^ROWS)^BANDS, over 0.99999.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A text with fewer words than a shingle takes, but not none, has one
 shingle, of all of them.
@@ -36,11 +37,13 @@ from .common import steps, stored, texts
 from .components import components
 
 WORDS, PERCENT = 2, 80
-BANDS, ROWS, BATCH, MISS = 32, 5, 16, 1e-7
+BANDS, ROWS = 64, 8
+#: Entries of the signature (8 bits of each) that the sequential test reads, in batches; its miss probability.
+LANES, BATCH, MISS = 256, 32, 1e-7
 #: Candidates of one leader that a group verifies.
 GROUP = 400
 SEED = 20240229
-#: Rounds with one leader a bucket before all pairs between what components are left.
+#: Rounds with one leader a bucket before all that is left is compared.
 LEADERS = 2
 
 
@@ -60,8 +63,9 @@ class Sketcher:
         rng = np.random.default_rng(SEED)
         n = bands * rows
         self.k, self.bands, self.rows = k, bands, rows
-        self.a, self.b = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+        self.a, self.b = rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
         self.mix, self.seen = rng.integers(0, 1 << 63, max(k, 2), np.uint64) | np.uint64(1), {}
+        self.fold = rng.integers(0, 1 << 63, (bands, rows), np.uint64) | np.uint64(1)
 
     def hashes(self, text: bytes) -> np.ndarray:
         """64-bit hashes of the distinct shingles, sorted."""
@@ -82,11 +86,15 @@ class Sketcher:
         return np.unique(out)
 
     def signature(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(h), 2048):
-            part = h[i : i + 2048, None] * self.a + self.b
-            part ^= part >> np.uint64(31)
-            out = np.minimum(out, (part * np.uint64(0x9E3779B97F4A7C15)).min(0))
+        """The least of each of the permutations' values over a set, on 32 bits, which bear candidates but no verdicts."""
+        x = (h ^ h >> np.uint64(32)).astype(np.uint32)
+        out = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
+        for i in range(0, len(x), 1024):
+            part = x[i : i + 1024, None] * self.a
+            part += self.b
+            part ^= part >> np.uint32(15)
+            part *= np.uint32(0x2C1B3C6D)
+            np.minimum(out, part.min(0), out=out)
         return out
 
     def __call__(self, text: bytes) -> tuple[int, bytes, list[int], bytes]:
@@ -94,8 +102,9 @@ class Sketcher:
         if not len(h):
             return 0, b"", [], b""
         s = self.signature(h)
-        keys = [int.from_bytes(hashlib.blake2b(bytes([j % 256]) + s[j * self.rows : (j + 1) * self.rows].tobytes(), digest_size=8).digest(), "big", signed=True) for j in range(self.bands)]
-        return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), keys, (s >> np.uint64(40)).astype(np.uint8).tobytes()
+        keys = (s.reshape(self.bands, self.rows).astype(np.uint64) * self.fold).sum(1)
+        keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)  # each band has multipliers of its own
+        return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), keys.view(np.int64).tolist(), (s[:LANES] >> np.uint32(20)).astype(np.uint8).tobytes()
 
 
 def least_matches(n: int, threshold: float, miss: float = MISS) -> int:
@@ -119,7 +128,12 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
         sketch = Sketcher(k)
         for part in steps(batches):
             done: dict[bytes, tuple] = {}
-            rows = [done[t] if t in done else done.setdefault(t, sketch(t)) for t in part.column("text").to_pylist()]
+            rows = []
+            for t in part.column("text").to_pylist():
+                if t in done:
+                    rows.append((*done[t][:2], None, None))  # a copy in the same step needs no second signature
+                else:
+                    rows.append(done.setdefault(t, sketch(t)))
             n, digest, bands, lanes = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "lanes"])
 
@@ -130,7 +144,7 @@ def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     """The candidate pairs (a, b) that sizes and the sequential test leave."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("lanes").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    total = BANDS * ROWS
+    total = LANES
     least = [least_matches(n, percent / 100) for n in range(BATCH, total + 1, BATCH)]
 
     def run(batches):
@@ -176,42 +190,101 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int =
     return work.select("a", "part", "role", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+def against_components(outside: DataFrame, roots: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of an outsider and the most similar member of a component that reach the similarity.
+
+    ``outside``: id, root of a component to compare it with. Components are cut into parts of about GROUP members; each
+    part meets all of its outsiders, so rows are members and outsiders times parts, not pairs. In a part, one lookup of
+    an outsider's shingles in the sorted shingles of all members counts its intersection with every one of them.
+    """
+    wanted = outside.select("root").distinct()
+    inside = roots.join(wanted, "root").select("node", "root").union(wanted.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), "root"))
+    sizes = inside.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("of"))
+    members = inside.join(sizes, "root").select("root", F.pmod(F.xxhash64("node"), F.col("of")).alias("part"), F.lit(0).alias("role"), F.col("node").alias("doc_id"))
+    guests = outside.join(sizes, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("part"), F.lit(1).alias("role"), F.col("id").alias("doc_id"))
+    work = texts(docs).join(members.union(guests), "doc_id").repartition("root", "part").sortWithinPartitions("root", "part", "role")
+
+    def run(batches):
+        sketch = Sketcher(k)
+        at, ids, sets, index = None, [], [], None
+        for part in steps(batches):
+            out = []
+            for root, p, role, doc, text in zip(*(part.column(c).to_pylist() for c in ("root", "part", "role", "doc_id", "text")), strict=True):
+                if (root, p) != at:
+                    at, ids, sets, index = (root, p), [], [], None
+                own = sketch.hashes(text)
+                if role == 0:
+                    ids.append(doc)
+                    sets.append(own)
+                    continue
+                if not sets or not len(own):
+                    continue
+                if index is None:
+                    size = np.array([len(x) for x in sets])
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], owner[order], size
+                flat, owner, size = index
+                low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = high - low
+                hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[hits], minlength=len(sets))
+                near = 100 * common - percent * (size + len(own) - common)
+                best = int(np.argmax(np.where(near >= 0, common / (size + len(own) - common), -1)))
+                if near[best] >= 0:
+                    out.append((min(doc, ids[best]), max(doc, ids[best])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return work.select("root", "part", "role", "doc_id", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     rows = stored(sketches(docs, k), "sketches")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands", ignorenulls=True).alias("bands"), F.first("lanes", ignorenulls=True).alias("lanes"))
     classes = stored(classes, "classes")
     buckets = classes.select(F.explode("bands").alias("key"), "id")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
-    links, tested, roots = None, None, None
-    for turn in range(LEADERS + 1):
-        if roots is None:
-            rooted = buckets.withColumn("root", F.col("id"))
-        else:
-            rooted = buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high").select("key", "lead")
-        open_ = rooted.join(mixed, "key")
-        if turn < LEADERS:
-            found = open_.where("root <> lead.root").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        else:
-            x, y = open_.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-            found = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = stored(found, "candidates")
-        if not found.take(1):
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    tested, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(verified(stored(survivors(pairs, classes, percent), "survivors"), docs, percent, k), "links")
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
+
+    def rooted() -> DataFrame:
+        return buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for turn in range(LEADERS):
+        now = rooted()
+        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+        mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), order).alias("lead")).where("low <> high").select("key", "lead")
+        found = now.join(mixed, "key").where("root <> lead.root").select(*pair("id", "lead.id")).distinct()
+        found = stored(found.join(tested, ["a", "b"], "left_anti"), "candidates")
+        tested = found if turn == 0 else tested.union(found)
+        links = confirmed(found)
+        if not links.take(1):
             break
-        tested = found if tested is None else tested.union(found)
-        new = stored(verified(stored(survivors(found, classes, percent), "survivors"), docs, percent, k), "links")
-        if new.take(1):
-            links = new if links is None else links.union(new)
-            hung = new if roots is None else roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(new)
-            roots = components(hung)
+        roots = joined(roots, links)
+    # what is left: in each bucket, everything outside its most frequent component, with that component and among itself
+    now = rooted()
+    main = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    outside = stored(now.join(main, "key").where("root <> main"), "outside")
+    guests = outside.select("id", F.col("main").alias("root")).distinct()
+    known = guests.select("id", "root", *pair("id", "root")).join(roots.select("root").distinct(), "root", "left_anti").join(tested, ["a", "b"], "left_semi").select("id", "root")
+    guests = guests.join(known, ["id", "root"], "left_anti")
+    x, y = outside.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), outside.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+    among = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    near = stored(against_components(stored(guests, "guests"), roots, docs, percent, k), "near")
+    links = stored(verified(near, docs, percent, k).union(confirmed(stored(among, "candidates"))), "links")
+    if links.take(1):
+        roots = joined(roots, links)
     named = rows.select("doc_id", "n_shingles", "digest")
-    own = classes.select("digest", "id")
-    if roots is not None:
-        own = own.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
+    own = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
     out = named.join(own, "digest", "left").withColumn("component_id", F.coalesce("id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -219,5 +292,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
 def deduplicated(docs: DataFrame, percent: int = PERCENT, k: int = 5) -> DataFrame:
     """One document of each component: the rows of its smallest id, one a text that is repeated under it; null ids stay."""
     keep = near_duplicates(docs, percent, k).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    gone_null = docs.where("doc_id IS NULL")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).unionByName(gone_null).dropDuplicates(["doc_id", "text"])
+    # the join leaves rows dealt by id, so the second step needs no shuffle of its own
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
