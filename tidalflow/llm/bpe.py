@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import per_text, texts
 
 #: Chunks that a task remembers; then it starts anew.
-CHUNKS = 250_000
+CHUNKS = 500_000
 _NONE = np.int64(1) << 60
 _PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)\Z")
 
@@ -51,6 +51,13 @@ class SegmentTreeBpe:
         order = np.argsort(keys)
         self.keys, self.ranks = np.append(keys[order], _NONE), np.append(order, 0).astype(np.int64)
         self.result = np.append(np.array([self.vocab[a + b] for a, b in merges], np.int64)[order], 0)
+        # symbols of single characters, within a piece and at its end
+        self.inner, self.outer = np.full(1024, -3, np.int64), np.full(1024, -3, np.int64)
+        for x, i in self.vocab.items():
+            if len(x) == 1:
+                self.inner[ord(x)] = i
+            elif x.endswith(self.end) and len(x) == 1 + len(self.end):
+                self.outer[ord(x[0])] = i
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,28 +66,34 @@ class SegmentTreeBpe:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, at, len(self.keys) - 1)
 
-    def merged(self, symbols: list[list[int]]) -> list[list[int]]:
-        """The ids of pieces given as initial symbols. Those of like length go together; a row of the tree is a piece."""
-        out: list[list[int]] = [[]] * len(symbols)
-        groups: dict[int, list[int]] = {}
-        for i, x in enumerate(symbols):
-            if len(x) < 2:
-                out[i] = x
-            else:
-                groups.setdefault(1 << (len(x) - 1).bit_length(), []).append(i)
-        for leaves, members in groups.items():
-            at_once = max(1, (1 << 20) // leaves)
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pieces of byte-level characters. Those of like length go together; a row of the tree is a piece."""
+        out: list[list[int]] = [[]] * len(pieces)
+        size = np.array([len(x) for x in pieces], np.int64)
+        start = np.cumsum(size) - size
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        symbols = self.inner[codes]
+        symbols[start + size - 1] = self.outer[codes[start + size - 1]]
+        group = np.where(size > 1, 2 << np.log2(np.maximum(size - 1, 1)).astype(np.int64), 0)
+        for leaves in np.unique(group).tolist():
+            members = np.flatnonzero(group == leaves)
+            if not leaves:
+                for i, x in zip(members.tolist(), symbols[start[members]].tolist(), strict=True):
+                    out[i] = [x]
+                continue
+            at_once = max(1, (1 << 19) // leaves)
             for k in range(0, len(members), at_once):
                 part = members[k : k + at_once]
-                for i, ids in zip(part, self._merge([symbols[i] for i in part], leaves), strict=True):
+                column = np.arange(leaves + 1)
+                inside = column < size[part, None]
+                sym = np.where(inside, symbols[np.where(inside, start[part, None] + column, 0)], -1)
+                for i, ids in zip(part.tolist(), self._merge(sym, leaves), strict=True):
                     out[i] = ids
         return out
 
-    def _merge(self, symbols: list[list[int]], leaves: int) -> list[list[int]]:
-        rows, none = len(symbols), len(self.keys) - 1
-        sym = np.full((rows, leaves + 1), -1, np.int64)
-        for r, x in enumerate(symbols):
-            sym[r, : len(x)] = x
+    def _merge(self, sym: np.ndarray, leaves: int) -> list[list[int]]:
+        """``sym``: a piece's symbols a row, one more column than leaves, -1 behind the last; no more than ``leaves`` of them."""
+        rows, none = len(sym), len(self.keys) - 1
         place = np.arange(leaves)
         after, before = np.tile(np.arange(1, leaves + 2), (rows, 1)), np.tile(np.arange(-1, leaves), (rows, 1))
         which = self._pair(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(rows, leaves)
@@ -115,7 +128,9 @@ class SegmentTreeBpe:
                 tree[r, node] = np.minimum(tree[r, 2 * node], tree[r, 2 * node + 1])
                 node >>= 1
             live = live[tree[live, 1] < _NONE]
-        return [x[x >= 0].tolist() for x in sym[:, :leaves]]
+        left = sym >= 0
+        flat, ends = sym[left].tolist(), np.cumsum(left.sum(1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _pieces(self, chunk: str) -> list[str]:
         return [x for x, _ in self.split(self.normalise(chunk))]
@@ -137,11 +152,7 @@ class SegmentTreeBpe:
             for x in parts:
                 if isinstance(x, str):
                     pieces.setdefault(x, len(pieces))
-        symbols = []
-        for x in pieces:
-            s = [self.vocab.get(y, -3) for y in x[:-1]] + [self.vocab.get(x[-1] + self.end, -3)]
-            symbols.append([y for y in s if y >= 0])
-        ids = self.merged(symbols)
+        ids = self.merged(list(pieces)) if pieces else []
         for c, parts in zip(chunks, layout, strict=True):
             got: list[int] = []
             for x in parts:
