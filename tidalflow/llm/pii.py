@@ -39,6 +39,8 @@ PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])|(?<![0-9(])\(?[0-
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])"
 CANDIDATE = "|".join((EMAIL, IBAN, DATE, IPV4, SSN, PHONE, CARD))
+#: Every candidate has an @, or a digit and another one after at most a separator and a bracket; a text without is left as it is.
+GATE = r"@|[0-9][ .-]?\(?[0-9]|[0-9]\)[ .-]?\(?[0-9]"
 
 
 def _prf(key: str, tag: Column, i: int, half: Column) -> Column:
@@ -189,7 +191,7 @@ def replaced(text: Column, key: str = KEY) -> Column:
     """``text`` with every candidate replaced."""
     gaps, found = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     joined = F.array_join(F.zip_with(gaps, F.transform(found, lambda x: pseudonym(x, key)), lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
-    return F.when(text.rlike("@|[0-9]{2}"), joined).otherwise(text)
+    return F.when(text.rlike(GATE), joined).otherwise(text)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
