@@ -143,6 +143,23 @@ def test_suffix_dedup(docs, none):
     assert kept[900].text == "" and kept[905].text == "x"
 
 
+def test_suffix_dedup_of_a_group_beyond_a_task(spark, monkeypatch):
+    draw = random.Random(8)
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    common, tail = noise(170), noise(60)
+    texts = [(i, noise(draw.randint(0, 150)) + (tail if i % 3 else "") + common + (tail if i % 5 else "") + noise(draw.randint(0, 150))) for i in range(240)]
+    limit, sort = 4000, suffix_dedup.repeated_starts
+
+    def bounded(members):
+        assert sum(len(m[3]) for m in members) <= 2 * limit
+        return sort(members)
+
+    monkeypatch.setattr(suffix_dedup, "SORTED", limit)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", bounded)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(texts)
+
+
 def test_difference_cover():
     rng = np.random.default_rng(1)
     for _ in range(400):

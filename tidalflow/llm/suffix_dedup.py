@@ -12,6 +12,7 @@ have equal anchors, so only anchors that occur more than once can hold repeated
 3. There, the suffixes of the stretches are sorted by the difference-cover algorithm: triples at places 1 and 2 (mod 3) are
    sorted and named, the names are sorted by recursion, and the suffixes at places 0 are merged in. Adjacent suffixes
    with a common prefix of LENGTH bytes form groups, of which all but the earliest are repeated.
+   A group above SORTED bytes doesn't fit a task: the digests of its strings are compared by Spark's aggregation instead.
 4. Each document's repeated starts become spans, which are cut out.
 
 Defined cases: null text is empty, and has no spans; texts under LENGTH bytes stay; ids are taken to be unique: of rows
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import steps, stored, texts
 
 LENGTH, GRAM, MORE = 100, 24, 38
-#: Bytes of stretches whose suffixes are sorted together; a larger group is sorted by itself.
+#: Bytes of stretches whose suffixes are sorted together, and the largest group that is sorted at all.
 SORTED = 1 << 20
 _BITS = 23
 _MASK = np.uint64((1 << _BITS) - 1)
@@ -198,16 +199,19 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, first long, shape int, gram long, stretch long")
 
 
-def _edges(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """key, doc_id, first, starts, bytes of the stretches to compare: near starts by the gram and what follows, far ones by what is before."""
+def _edges(docs: DataFrame, edges: DataFrame, many: bool) -> DataFrame:
+    """key, doc_id, first, starts, bytes of the stretches to compare: near starts by the gram and what follows, far ones by what is before.
+
+    ``many`` chooses those of grams that have many stretches, or the others.
+    """
     arrow = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("starts", pa.int64()), ("bytes", pa.binary())])
-    per_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "place")).alias("edges"))
+    per_doc = edges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "place", "many")).alias("edges"))
 
     def run(batches):
         for part in steps(batches):
             rows = []
             for doc, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "edges")), strict=True):
-                for e in found:
+                for e in (x for x in found if x["many"] == many):
                     a, b, p = e["first"], e["last"], e["place"]
                     split = max(a, min(b + 1, p - MORE))  # the first near start
                     for side, x, y in ((b"n", split, b), (b"f", a, split - 1)):
@@ -218,7 +222,19 @@ def _edges(docs: DataFrame, edges: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return texts(docs).join(per_doc, "doc_id").select("doc_id", "text", "edges").mapInArrow(run, "key long, doc_id long, first long, starts long, bytes binary")
+    chosen = texts(docs).join(per_doc, "doc_id").where(F.exists("edges", lambda e: e["many"] == many))
+    return chosen.select("doc_id", "text", "edges").mapInArrow(run, "key long, doc_id long, first long, starts long, bytes binary")
+
+
+def _later(group: DataFrame) -> DataFrame:
+    """doc_id, first, last: runs of starts that aren't the earliest of their string, for rows of ``_edges`` of any number to a key."""
+    at = group.select("doc_id", "first", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("starts") - 1)).alias("i"))
+    strings = at.select(F.unhex(F.md5(F.expr(f"substring(bytes, CAST(i AS INT) + 1, {LENGTH})"))).alias("string"), "doc_id", (F.col("first") + F.col("i")).alias("first"))
+    earliest = strings.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("head"))
+    again = strings.join(earliest, "string").where((F.col("doc_id") != F.col("head.doc_id")) | (F.col("first") != F.col("head.first")))
+    # consecutive starts have one difference to their rank
+    run = again.select("doc_id", "first", (F.col("first") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))).alias("run"))
+    return run.groupBy("doc_id", "run").agg(F.min("first").alias("first"), F.max("first").alias("last")).select("doc_id", "first", "last")
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -228,8 +244,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     dealt = rows.where("gram IS NOT NULL").select("gram", "stretch", "doc_id", "first", "shape").repartition("gram")
     seen = dealt.withColumn("nth", F.row_number().over(by_stretch)).withColumn("mixed", F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram))
     last, place = (F.col("first") + F.floor(F.col("shape") / 128)).alias("last"), (F.col("first") + F.col("shape") % 128).alias("place")
-    seen = stored(seen.where("nth > 1 OR mixed").select("doc_id", "first", last, place, (F.col("nth") > 1).alias("again")), "repeats")
-    edges = _edges(docs, seen.where("NOT again"))
+    # a stretch has under 2 x LENGTH bytes, so the groups of other grams surely fit
+    seen = seen.withColumn("many", F.count(F.when(F.col("nth") == 1, 1)).over(by_gram) > SORTED // (2 * LENGTH))
+    seen = stored(seen.where("nth > 1 OR mixed").select("doc_id", "first", last, place, (F.col("nth") > 1).alias("again"), "many"), "repeats")
+    open_ = seen.where("NOT again")
+    edges, large = _edges(docs, open_, False), None
+    if not open_.where("many").isEmpty():
+        wide = _edges(docs, open_, True)
+        # one row for each SORTED bytes of stretches at most
+        above = F.broadcast(wide.groupBy("key").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > SORTED).select("key"))
+        edges, large = edges.union(wide.join(above, "key", "left_anti")), wide.join(above, "key", "left_semi")
     arrow = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches):
@@ -255,7 +279,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     local = edges.repartition("key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
     known = rows.where("gram IS NULL").select("doc_id", "first", last).union(seen.where("again").select("doc_id", "first", "last"))
-    return known.union(local)
+    return known.union(local) if large is None else known.union(local).union(_later(large))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
