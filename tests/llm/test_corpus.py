@@ -369,6 +369,14 @@ def test_html(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_templates_of_a_large_host(spark):
+    # six variants of a box, each in a sixth of the pages; a heading as often, which is no container; a box on few pages
+    page = lambda i: f"<body><div class=box>Offer {i % 6}</div>" + ("<h2>Summary</h2>" if i % 6 == 1 else "") + (f"<div>Rare {i % 40}</div>") + f"<p>Text number {i}.</p></body>"
+    df = spark.createDataFrame([(i, f"http://big.example/{i}", page(i)) for i in range(360)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_text(df).collect()}
+    assert got == {i: ("Summary\n" if i % 6 == 1 else "") + f"Rare {i % 40}\nText number {i}." for i in range(360)}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 A page is read into a tree once. The subtree of every element outside the ancestors of the main part gets a hash of its
 tags, classes and text; Spark counts, for each host, in how many pages of different main text a subtree occurs. Subtrees
-that recur across many pages of their host are deleted, as are elements that say by tag, role, class or id that they are
+that recur across many pages of their host are deleted (a share of them, or for neutral containers a number), as are elements that say by tag, role, class or id that they are
 menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts or styles. Of what is left the text
 of ``article`` (or ``main``) is taken, or of the whole body where there is neither.
 
@@ -28,6 +28,8 @@ from .common import steps, stored
 
 #: A subtree is a template where it occurs in so many pages of its host, and in this part of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A neutral container is one in so many pages too, however many the host has.
+MANY_PAGES = 50
 
 # Fixed names of the HTML standard and of common page parts.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -134,6 +136,7 @@ def parsed(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     for x in reversed(order):
         text = "\x01".join(c if isinstance(c, str) else f"\x02{c.hash}" for c in x.children)
         x.hash = int.from_bytes(hashlib.blake2b(f"{x.tag}\x00{x.named}\x00{' '.join(text.split())}".encode(), digest_size=8).digest(), "big", signed=True)
+        x.hash = x.hash & ~1 | (x.tag not in _OWN and x.tag not in _INLINE)  # odd: a neutral container
         if id(x) not in around and x.tag not in ("#", "html", "head", "body", "main", "article", "meta", "br", "img", "link", "hr") and not (id(x) in within and (x.tag in _OWN or x.tag in _INLINE)):
             candidates.add(id(x))
     blocks, current, path = [], [], []
@@ -188,7 +191,7 @@ def host(url: str | None) -> str:
         return ""
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
     schema = "row string, page_id long, url string, host string, digest long, text string, blocks array<struct<text: string, path: array<long>>>, subtrees array<long>"
     arrow = pa.schema([("row", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("digest", pa.int64()), ("text", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))), ("subtrees", pa.list_(pa.int64()))])
@@ -214,7 +217,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     seen = read.select("host", "digest", F.explode("subtrees").alias("subtree")).distinct()
     often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     sizes = read.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    template = often.join(sizes, "host").where(F.col("n") >= least_share * F.col("of")).select("host", "subtree")
+    template = often.join(sizes, "host").where((F.col("n") >= least_share * F.col("of")) | (F.col("n") >= many_pages) & (F.col("subtree").bitwiseAND(F.lit(1)) == 1)).select("host", "subtree")
     second = read.where("blocks IS NOT NULL")
     found = second.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.coalesce("gone", F.array().cast("array<long>"))))
