@@ -125,11 +125,12 @@ def _shard(tests: list[TestSet], docs: list[bytes]):
         get = t.ids.get
         for b, x in zip(begin, split, strict=False):
             w[b : b + len(x)] = [get(y, 0) for y in x]
-        for at, n, owner, _ in t.find(w):
+        # a test suffix's longest match covers the windows that lie in it
+        for at, n, k, _ in t.find(w, matches=True):
             np.add.at(hit, at, 1)
             np.add.at(hit, at + n, -1)
             for d in np.unique(np.searchsorted(begin, at, "right") - 1):
-                items[d].add(t.names[owner])
+                items[d].add(t.names[t.owner[k]])
     hit = np.cumsum(hit) > 0
     return split, begin, hit, items
 
