@@ -5,7 +5,7 @@ the leftmost pair of lowest rank. Merging it changes three leaves, whose paths t
 pair at the root can be merged. Pieces of like length are worked on side by side as rows of one array.
 
 Only distinct white-space-delimited chunks are worked on: no piece of this pre-tokenizer crosses white space. A task
-remembers the chunks it has met, up to CHUNKS. Normalising and splitting a chunk is the tokenizer file's own business.
+remembers the ids of chunks that it has met lately, in REMEMBERED bytes. Normalising and splitting a chunk is the tokenizer file's own business.
 
 Defined cases: null and empty texts have no tokens, ids and text ""; repeated rows each get a row; texts of one very long
 piece take n log n steps; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -16,14 +16,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import per_text, texts
+from .common import Recent, per_text, texts
 
-#: Chunks that a task remembers; then it starts anew.
-CHUNKS = 500_000
+#: Bytes in which a task remembers chunks.
+REMEMBERED = 32 << 20
 _NONE = np.int64(1) << 60
 _PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)\Z")
 
@@ -58,7 +59,8 @@ class SegmentTreeBpe:
                 self.inner[ord(x)] = i
             elif x.endswith(self.end) and len(x) == 1 + len(self.end):
                 self.outer[ord(x[0])] = i
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.numbers = {i: str(i) for i in self.name}
+        self.known = Recent(REMEMBERED)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of the merge of symbols a and b, or of none."""
@@ -153,23 +155,17 @@ class SegmentTreeBpe:
                 if isinstance(x, str):
                     pieces.setdefault(x, len(pieces))
         ids = self.merged(list(pieces)) if pieces else []
-        for c, parts in zip(chunks, layout, strict=True):
-            got: list[int] = []
-            for x in parts:
-                got += [x] if isinstance(x, int) else ids[pieces[x]]
-            self.known[c] = (len(got), " ".join(map(str, got)), " ".join(self.name[i] for i in got))
+        got = [array("I", (i for x in parts for i in ((x,) if isinstance(x, int) else ids[pieces[x]]))).tobytes() for parts in layout]
+        self.known.put(chunks, got)
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, the ids and the decoded text. The file has no decoder: tokens are joined by a space."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.known) > CHUNKS:
-            self.known = {}
-        self.known.setdefault("", (0, "", ""))
-        self.learn(list(set().union(*split) - self.known.keys()))
-        out, known = [], self.known
+        self.learn(self.known.lacking(set().union(*split)))
+        out, known = [], self.known.new
         for x in split:
-            got = [y for y in map(known.__getitem__, x) if y[0]]
-            out.append((sum(y[0] for y in got), " ".join([y[1] for y in got]), " ".join([y[2] for y in got])))
+            ids = array("I", b"".join(map(known.__getitem__, x))).tolist()
+            out.append((len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.name.__getitem__, ids))))
         return out
 
 

@@ -16,9 +16,11 @@ STEP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a new temporary one if all runs on this machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -28,7 +30,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage, and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        if at := getattr(df, "stored_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Recent:
+    """What a task has worked out for keys that it may meet again, in about ``limit`` bytes: a new part, and an old one that goes when the new one is full."""
+
+    def __init__(self, limit: int, each: int = 200):
+        self.new, self.old, self.size, self.limit, self.each = {}, {}, 0, limit // 2, each
+
+    def lacking(self, keys: set) -> list:
+        """Those of ``keys`` without a value; the others are in ``new`` from now on."""
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        new, old = self.new, self.old
+        lacking = [x for x in keys if x not in new]
+        again = [x for x in lacking if x in old]
+        self.put(again, map(old.__getitem__, again))
+        return [x for x in lacking if x not in old] if again else lacking
+
+    def put(self, keys: Iterable, values: Iterable) -> None:
+        """``values`` are numbers, or bytes that are shorter than their keys, about."""
+        before = len(self.new)
+        self.new.update(zip(keys, values, strict=True))
+        self.size += (len(self.new) - before) * self.each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

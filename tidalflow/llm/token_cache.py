@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, steps, texts
+from .common import Recent, shared_dir, steps, texts
 
 LIMIT = 512
-#: Pieces whose counts a task remembers; then it starts anew.
-PIECES = 400_000
+#: Bytes in which a task remembers the counts of pieces.
+REMEMBERED = 32 << 20
 _PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _ODD = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85]|<\\|endoftext\\|>")
 
@@ -48,7 +48,7 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Recent(REMEMBERED)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
@@ -58,11 +58,9 @@ class Counter:
     def __call__(self, texts: list[str]) -> list[int]:
         odd = [i for i, x in enumerate(texts) if _ODD.search(x)]
         plain = {i: _PIECE.findall(x) for i, x in enumerate(texts) if i not in set(odd)}
-        if len(self.known) > PIECES:
-            self.known = {}
-        new = list(set().union(*plain.values()) - self.known.keys()) if plain else []
-        self.known.update(zip(new, self.encode(new), strict=True))
-        out, known = [0] * len(texts), self.known
+        new = self.known.lacking(set().union(*plain.values()))
+        self.known.put(new, self.encode(new))
+        out, known = [0] * len(texts), self.known.new
         for i, x in plain.items():
             out[i] = sum(map(known.__getitem__, x))
         for i, n in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
