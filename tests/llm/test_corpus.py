@@ -301,6 +301,44 @@ def test_sequential_test_bounds():
     assert lost <= 3
 
 
+def test_lanes_of_unlike_sets_agree_in_one_of_256():
+    sketch = near_dup.Sketcher(2)
+    rng = np.random.default_rng(5)
+    for n in (50, 2000, 20_000):
+        x, y = (np.frombuffer(near_dup.lanes(sketch.signature(rng.integers(0, 1 << 63, n, np.uint64))), np.uint8) for _ in range(2))
+        assert len(x) == near_dup.LANES and (x == y).sum() <= 8
+    # the test on signatures of real sets: those at the threshold stay, unlike ones go with the first batch
+    least = [near_dup.least_matches(n, 0.8) for n in range(near_dup.BATCH, near_dup.LANES + 1, near_dup.BATCH)]
+    for n in (100, 5000):
+        common = rng.integers(0, 1 << 63, 8 * n, np.uint64)
+        x, y = (np.frombuffer(near_dup.lanes(sketch.signature(np.append(common, rng.integers(0, 1 << 63, n, np.uint64)))), np.uint8) for _ in range(2))
+        assert ((x == y).reshape(-1, near_dup.BATCH).sum(1).cumsum() >= least).all()
+        z = np.frombuffer(near_dup.lanes(sketch.signature(rng.integers(0, 1 << 63, n, np.uint64))), np.uint8)
+        assert (x == z)[: near_dup.BATCH].sum() < least[0]
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 20_000])
+def test_near_duplicates_of_a_large_group_of_unlike_copies(spark, monkeypatch, block):
+    """Chains and clouds of copies with similarities on both sides of the threshold, in blocks of a few texts too."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    draw = random.Random(11)
+    base = [f"w{draw.randint(0, 9999)}" for _ in range(90)]
+    texts = []
+    for i in range(320):
+        w = list(base)
+        for at in draw.sample(range(90), draw.choice((0, 2, 5, 6, 7, 8))):
+            w[at] = f"e{draw.randint(0, 40)}"
+        texts.append((i, " ".join(w)))
+    chain = list(base[::-1])
+    for i in range(60):
+        chain = [*chain[4:], *(f"c{i}-{j}" for j in range(4))]
+        texts.append((1000 + 7 * i % 60, " ".join(chain)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: tuple(r)[1:] for r in near_dup.near_duplicates(df).collect()}
+    want = brute_components(texts, 80, 2)
+    assert got == want and 3 < sum(w[2] for w in want.values()) < 300
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)] + [(200, 200 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

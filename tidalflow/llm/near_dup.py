@@ -2,16 +2,18 @@
 
 1. Every text becomes the set of its distinct word shingles (WORDS words each), a digest of the set, a MinHash signature,
    and BANDS band keys. Texts of one set are one class, represented by its smallest id; copies go no further.
-2. Classes that share a band key are candidates. Within a bucket, each is compared with one leader only, so the pairs
-   grow with the rows, not with their square. After the links so found are joined to components, buckets that still hold
-   several components get another leader. At last, what is outside a bucket's most frequent component is compared with
-   all of that component, part by part and without emitting pairs, and among itself, so that no link is lost: two classes
-   of one component need no comparison, for their link could not change the result.
-3. A candidate's signatures are compared batch by batch. It goes as soon as the posterior probability (uniform prior) that
-   its similarity reaches the threshold falls under MISS. Sizes that rule the threshold out go at once.
-4. Survivors are verified on the full sets of the texts themselves, by leader; the rows of a leader with many candidates
-   are spread over several groups.
-5. Links form components (large-star, small-star).
+2. Classes that share a band key are candidates. Their sets (sorted 64-bit shingle hashes) are stored once; nothing else
+   of a text travels again.
+3. LEADERS rounds with one leader a bucket: each class is compared with the leader that most of its buckets have, so there
+   is one comparison a class and round. Links join classes to components.
+4. Then, in every bucket, all pairs across components: what is outside a bucket's most frequent component is compared with
+   all of that component, and among itself. Classes are dealt out in blocks of BLOCK bytes, and blocks meet in tasks: no
+   pairs are emitted, only links, of which a task gives no more than it takes to join its components. Two classes of one
+   component need no comparison, for their link could not change the result.
+5. Every comparison is the same: sizes first, then the signatures batch by batch. A candidate goes as soon as the posterior
+   probability (uniform prior) that its similarity reaches the threshold falls under MISS. Survivors are verified on the
+   full sets.
+6. Links form components (large-star, small-star).
 
 At similarity 0.8, a pair shares a band key with probability 1 - (1 - 0.8^ROWS)^BANDS, over 0.99999.
 
@@ -30,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import steps, stored, texts
@@ -40,20 +42,40 @@ WORDS, PERCENT = 2, 80
 BANDS, ROWS = 64, 8
 #: Entries of the signature (8 bits of each) that the sequential test reads, in batches; its miss probability.
 LANES, BATCH, MISS = 256, 32, 1e-7
-#: Candidates of one leader that a group verifies.
-GROUP = 400
+#: Bytes of sets that a block of classes has, about; a task holds two blocks.
+BLOCK = 4 << 20
 SEED = 20240229
 #: Rounds with one leader a bucket before all that is left is compared.
 LEADERS = 2
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()  # ASCII only, in bytes: both as the definition asks
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.where(_BLANK, 0, np.random.default_rng(SEED + 1).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint64)
 
 
-def shingles(text: bytes, k: int = WORDS) -> set:
-    w = words(text)
-    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' numbers times powers of an odd one, summed and mixed."""
+    x = np.frombuffer(text.lower(), np.uint8)  # in bytes, lower() changes A-Z only
+    word = ~_BLANK[x]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    longest = int(np.diff(starts, append=len(x)).max())
+    powers = np.cumprod(np.full(longest, 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(starts[0], len(x)) - np.repeat(starts, np.diff(starts, append=len(x)))
+    h = np.add.reduceat(_BYTE[x[starts[0] :]] * powers[place], starts - starts[0])
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(29)
+
+
+def lanes(signature: np.ndarray) -> bytes:
+    """8 bits of each of the first LANES entries. A minimum of a large set is small, so it is mixed: unlike sets agree in 1 of 256 lanes, whatever their sizes."""
+    x = signature[:LANES]
+    x = (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (x >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 class Sketcher:
@@ -64,24 +86,18 @@ class Sketcher:
         n = bands * rows
         self.k, self.bands, self.rows = k, bands, rows
         self.a, self.b = rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
-        self.mix, self.seen = rng.integers(0, 1 << 63, max(k, 2), np.uint64) | np.uint64(1), {}
+        self.mix = rng.integers(0, 1 << 63, max(k, 2), np.uint64) | np.uint64(1)
         self.fold = rng.integers(0, 1 << 63, (bands, rows), np.uint64) | np.uint64(1)
 
     def hashes(self, text: bytes) -> np.ndarray:
         """64-bit hashes of the distinct shingles, sorted."""
-        import xxhash
-
-        w = words(text)
-        if len(self.seen) > 300_000:
-            self.seen = {}
-        seen, of = self.seen, xxhash.xxh3_64_intdigest
-        h = np.array([seen[x] if x in seen else seen.setdefault(x, of(x)) for x in w], np.uint64)
-        if not len(w):
+        h = word_hashes(text)
+        if not len(h):
             return h
-        k = min(self.k, len(w))
-        out = np.full(len(w) - k + 1, k, np.uint64)
+        k = min(self.k, len(h))
+        out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
-            out = (out ^ h[i : len(w) - k + 1 + i]) * self.mix[i]
+            out = (out ^ h[i : len(h) - k + 1 + i]) * self.mix[i]
             out ^= out >> np.uint64(29)
         return np.unique(out)
 
@@ -104,7 +120,7 @@ class Sketcher:
         s = self.signature(h)
         keys = (s.reshape(self.bands, self.rows).astype(np.uint64) * self.fold).sum(1)
         keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)  # each band has multipliers of its own
-        return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), keys.view(np.int64).tolist(), (s[:LANES] >> np.uint32(20)).astype(np.uint8).tobytes()
+        return len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), keys.view(np.int64).tolist(), lanes(s)
 
 
 def least_matches(n: int, threshold: float, miss: float = MISS) -> int:
@@ -140,149 +156,197 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return texts(docs).mapInArrow(run, schema)
 
 
-def survivors(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The candidate pairs (a, b) that sizes and the sequential test leave."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("lanes").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    total = LANES
-    least = [least_matches(n, percent / 100) for n in range(BATCH, total + 1, BATCH)]
+class Block:
+    """Classes side by side: ids, components, set sizes, signatures, sets, and the buckets in which they are to be compared."""
 
-    def run(batches):
-        for part in batches:
-            if not part.num_rows:
+    def __init__(self, rows: list[tuple]):
+        ids, roots, sizes, signatures, sets, self.keys = zip(*rows, strict=True)
+        self.ids, self.roots, self.sizes = np.array(ids), np.array(roots), np.array(sizes)
+        self.lanes = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, LANES)
+        self.sets = [np.frombuffer(x, np.uint64) for x in sets]
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def links(x: Block, y: Block, percent: int, least: list[int], key: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of ids, one of each block, whose sets reach the similarity: as many as join the components that have such pairs.
+
+    With ``key`` only pairs are compared that share no smaller one of their buckets, as others are compared there; x may be y.
+    """
+    if len(x) > len(y):
+        x, y = y, x
+    up: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    out = []
+    for i in range(len(x)):
+        n = x.sizes[i]
+        live = np.flatnonzero((y.roots != x.roots[i]) & (100 * np.minimum(y.sizes, n) >= percent * np.maximum(y.sizes, n)))
+        if x is y:
+            live = live[live > i]
+        matches = np.zeros(len(live), np.int64)
+        for k, m in enumerate(least):  # the sequential test
+            if not len(live):
+                break
+            matches += (y.lanes[live, k * BATCH : (k + 1) * BATCH] == x.lanes[i, k * BATCH : (k + 1) * BATCH]).sum(1)
+            live, matches = live[matches >= m], matches[matches >= m]
+        for j in live[np.argsort(-matches, kind="stable")].tolist():
+            a, b = find(int(x.roots[i])), find(int(y.roots[j]))
+            if a == b or key is not None and min(set(x.keys[i]) & set(y.keys[j])) != key:
                 continue
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, total) for c in ("s_a", "s_b"))
-            live, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for i, m in enumerate(least):
-                matches[live] += (x[live, i * BATCH : (i + 1) * BATCH] == y[live, i * BATCH : (i + 1) * BATCH]).sum(1)
-                live = live[matches[live] >= m]
-            keep = pa.array(live)
-            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], names=["a", "b"])
+            small, large = sorted((x.sets[i], y.sets[j]), key=len)
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            common = int((large[at] == small).sum())
+            if 100 * common >= percent * (len(small) + len(large) - common):
+                up[max(a, b)] = min(a, b)
+                out.append((int(x.ids[i]), int(y.ids[j])))
+    return out
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
+def compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the classes that meet in a group.
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. Texts travel twice: to their id, and to their leader."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("of"))
-    members = pairs.join(groups, "a").select("a", F.col("b").alias("doc_id"), F.pmod(F.xxhash64("b"), F.col("of")).alias("part"), F.lit(1).alias("role"))
-    leaders = groups.select("a", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of").cast("long") - 1)).alias("part"), F.lit(0).alias("role"))
-    work = texts(docs).join(leaders.union(members), "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    ``groups``: group, part (which name a group), side (0, 1, or 2 for both), id, root, keys. Sides 0 and 1 are compared with
+    each other, side 2 with itself.
+    """
+    least = [least_matches(n, percent / 100) for n in range(BATCH, LANES + 1, BATCH)]
+    names = ("group", "part", "side", "id", "root", "n_shingles", "lanes", "set", "keys")
+    work = groups.join(sets.hint("merge"), "id").select(*names).repartition("group", "part").sortWithinPartitions("group", "part", "side")
 
     def run(batches):
-        at, sets = None, []
-        for part in steps(batches):
-            out = []
-            for a, p, role, b, text in zip(*(part.column(c).to_pylist() for c in ("a", "part", "role", "doc_id", "text")), strict=True):
-                if (a, p) != at:
-                    at, sets = (a, p), []
-                own = shingles(text, k)
-                if role == 0:
-                    sets.append(own)
-                    continue
-                for other in sets:
-                    common = len(own & other)
-                    if common and 100 * common >= percent * (len(own) + len(other) - common):
-                        out.append((a, b))
-                        break
+        at, sides, out = None, {}, []
+
+        def done():
+            if 2 in sides:
+                own = Block(sides[2])
+                out.extend(links(own, own, percent, least, at[0]))
+            if 0 in sides and 1 in sides:
+                out.extend(links(Block(sides[0]), Block(sides[1]), percent, least, at[0] if sides[0][0][-1] is not None else None))
+
+        for part in steps(batches, "set"):
+            for group, p, side, *row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                if (group, p) != at:
+                    done()
+                    at, sides = (group, p), {}
+                sides.setdefault(side, []).append(row)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return work.select("a", "part", "role", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
+    return work.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def against_components(outside: DataFrame, roots: DataFrame, docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """Pairs (a, b) of an outsider and the most similar member of a component that reach the similarity.
+def _parts(of: DataFrame, by: str, sets: DataFrame) -> DataFrame:
+    """``by``, of: into how many blocks the classes of each ``by`` are cut."""
+    return of.join(sets.select("id", "n_shingles"), "id").groupBy(by).agg(F.ceil(F.sum(8 * F.col("n_shingles") + 400) / BLOCK).cast("long").alias("of"))
 
-    ``outside``: id, root of a component to compare it with. Components are cut into parts of about GROUP members; each
-    part meets all of its outsiders, so rows are members and outsiders times parts, not pairs. In a part, one lookup of
-    an outsider's shingles in the sorted shingles of all members counts its intersection with every one of them.
-    """
-    wanted = outside.select("root").distinct()
-    inside = roots.join(wanted, "root").select("node", "root").union(wanted.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), "root"))
-    sizes = inside.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("of"))
-    members = inside.join(sizes, "root").select("root", F.pmod(F.xxhash64("node"), F.col("of")).alias("part"), F.lit(0).alias("role"), F.col("node").alias("doc_id"))
-    guests = outside.join(sizes, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("part"), F.lit(1).alias("role"), F.col("id").alias("doc_id"))
-    work = texts(docs).join(members.union(guests), "doc_id").repartition("root", "part").sortWithinPartitions("root", "part", "role")
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _block(of: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(7)), of)
+
+
+def with_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of ``pairs`` (id, root, lead, lead_root)."""
+    none = F.lit(None).cast("array<long>").alias("keys")
+    sizes = _parts(pairs, "lead", sets)
+    pairs = pairs.join(sizes, "lead")
+    members = pairs.select(F.col("lead").alias("group"), _block(F.col("of")).alias("part"), F.lit(1).alias("side"), "id", "root", none)
+    leads = pairs.groupBy("lead").agg(F.min("lead_root").alias("root"), F.max("of").alias("of")).select(F.col("lead").alias("group"), _each(F.col("of")).alias("part"), F.lit(0).alias("side"), F.col("lead").alias("id"), "root", none)
+    return compared(members.unionByName(leads), sets, percent)
+
+
+def with_components(guests: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of ``guests`` (id, root, main) with the members of the component ``main``, which is cut into blocks that every guest meets."""
+    none = F.lit(None).cast("array<long>").alias("keys")
+    wanted = guests.select("main").distinct()
+    alone = wanted.join(roots, wanted["main"] == roots["node"], "left_anti").select(F.col("main").alias("id"), "main")
+    inside = roots.join(wanted, roots["root"] == wanted["main"]).select(F.col("node").alias("id"), "main").union(alone)
+    sizes = _parts(inside, "main", sets)
+    members = inside.join(sizes, "main").select(F.col("main").alias("group"), _block(F.col("of")).alias("part"), F.lit(0).alias("side"), "id", F.col("main").alias("root"), none)
+    met = guests.join(sizes, "main").select(F.col("main").alias("group"), _each(F.col("of")).alias("part"), F.lit(1).alias("side"), "id", "root", none)
+    return compared(members.unionByName(met), sets, percent)
+
+
+def among(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of ``outside`` (key, id, root) within each key, by pairs of blocks."""
+    several = outside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = outside.join(several, "key")
+    keys = rows.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most one a band
+    rows = rows.join(_parts(rows, "key", sets), "key").join(keys, "id").withColumn("own", _block(F.col("of")))
+    met = rows.withColumn("other", _each(F.col("of")))
+    part = F.least("own", "other") * F.col("of") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return compared(met.select(F.col("key").alias("group"), part.alias("part"), side.alias("side"), "id", "root", "keys"), sets, percent)
+
+
+def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (id, digest, n_shingles, bands, lanes) of ``rows``, and the buckets (key, id) that several of them share."""
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands", ignorenulls=True).alias("bands"), F.first("lanes", ignorenulls=True).alias("lanes"))
+    classes = stored(classes, "classes")
+    buckets = classes.select(F.explode("bands").alias("key"), "id")
+    shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    return classes, stored(buckets.join(shared.hint("merge"), "key").distinct(), "buckets")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """id, n_shingles, lanes, set (sorted hashes) of the classes that have candidates."""
+    wanted = classes.join(buckets.select("id").distinct(), "id").select(F.col("id").alias("doc_id"), "lanes")
 
     def run(batches):
         sketch = Sketcher(k)
-        at, ids, sets, index = None, [], [], None
         for part in steps(batches):
-            out = []
-            for root, p, role, doc, text in zip(*(part.column(c).to_pylist() for c in ("root", "part", "role", "doc_id", "text")), strict=True):
-                if (root, p) != at:
-                    at, ids, sets, index = (root, p), [], [], None
-                own = sketch.hashes(text)
-                if role == 0:
-                    ids.append(doc)
-                    sets.append(own)
-                    continue
-                if not sets or not len(own):
-                    continue
-                if index is None:
-                    size = np.array([len(x) for x in sets])
-                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-                    order = np.argsort(flat, kind="stable")
-                    index = flat[order], owner[order], size
-                flat, owner, size = index
-                low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                n = high - low
-                hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                common = np.bincount(owner[hits], minlength=len(sets))
-                near = 100 * common - percent * (size + len(own) - common)
-                best = int(np.argmax(np.where(near >= 0, common / (size + len(own) - common), -1)))
-                if near[best] >= 0:
-                    out.append((min(doc, ids[best]), max(doc, ids[best])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            sets = [sketch.hashes(x) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), part.column("lanes"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n_shingles", "lanes", "set"])
 
-    return work.select("root", "part", "role", "doc_id", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    # a merge at every size, so that what is shuffled grows with the input
+    return stored(texts(docs).hint("merge").join(wanted, "doc_id").select("doc_id", "text", "lanes").mapInArrow(run, "id long, n_shingles long, lanes binary, set binary").where("n_shingles > 0"), "sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     rows = stored(sketches(docs, k), "sketches")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands", ignorenulls=True).alias("bands"), F.first("lanes", ignorenulls=True).alias("lanes"))
-    classes = stored(classes, "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "id")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = stored(buckets.join(shared, "key"), "buckets")
+    classes, buckets = _shared(rows)
+    sets = _sets(docs, classes, buckets, k)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
     tested, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return stored(verified(stored(survivors(pairs, classes, percent), "survivors"), docs, percent, k), "links")
-
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
         return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(links))
 
     def rooted() -> DataFrame:
         return buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     for turn in range(LEADERS):
         now = rooted()
         order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
         mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), order).alias("lead")).where("low <> high").select("key", "lead")
-        found = now.join(mixed, "key").where("root <> lead.root").select(*pair("id", "lead.id")).distinct()
-        found = stored(found.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = found if turn == 0 else tested.union(found)
-        links = confirmed(found)
-        if not links.take(1):
+        found = now.join(mixed, "key").where("root <> lead.root").groupBy("id", "root", "lead").agg(F.count("*").alias("n"))
+        found = found.select("id", "root", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"), "n").join(tested, (F.col("id") == F.col("a")) & (F.col("lead") == F.col("b")), "left_anti")
+        best = found.groupBy("id", "root").agg(F.max_by(F.struct("lead", "lead_root"), F.struct("n", -F.col("lead"))).alias("lead")).select("id", "root", "lead.lead", "lead.lead_root")
+        best = stored(best, "candidates")
+        links_ = stored(with_leaders(best, sets, percent), "links")
+        if links_.isEmpty():
             break
-        roots = joined(roots, links)
+        tested = tested.union(best.select("id", "lead")).union(best.select("lead", "id"))
+        roots = joined(roots, links_)
     # what is left: in each bucket, everything outside its most frequent component, with that component and among itself
     now = rooted()
     main = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     outside = stored(now.join(main, "key").where("root <> main"), "outside")
-    guests = outside.select("id", F.col("main").alias("root")).distinct()
-    known = guests.select("id", "root", *pair("id", "root")).join(roots.select("root").distinct(), "root", "left_anti").join(tested, ["a", "b"], "left_semi").select("id", "root")
-    guests = guests.join(known, ["id", "root"], "left_anti")
-    x, y = outside.select("key", F.col("id").alias("a"), F.col("root").alias("ra")), outside.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    among = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    near = stored(against_components(stored(guests, "guests"), roots, docs, percent, k), "near")
-    links = stored(verified(near, docs, percent, k).union(confirmed(stored(among, "candidates"))), "links")
-    if links.take(1):
-        roots = joined(roots, links)
+    found = with_components(stored(outside.select("id", "root", "main").distinct(), "guests"), roots, sets, percent)
+    found = stored(found.union(among(outside.select("key", "id", "root"), sets, percent)), "links")
+    if not found.isEmpty():
+        roots = joined(roots, found)
     named = rows.select("doc_id", "n_shingles", "digest")
     own = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
     out = named.join(own, "digest", "left").withColumn("component_id", F.coalesce("id", "doc_id"))
