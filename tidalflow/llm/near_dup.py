@@ -87,6 +87,7 @@ class Sketcher:
         self.k, self.bands, self.rows = k, bands, rows
         self.a, self.b = rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
         self.mix = rng.integers(0, 1 << 63, max(k, 2), np.uint64) | np.uint64(1)
+        self.work = [np.empty((128, n), np.uint32) for _ in range(2)]  # what fits a processor's cache
         self.fold = rng.integers(0, 1 << 63, (bands, rows), np.uint64) | np.uint64(1)
 
     def hashes(self, text: bytes) -> np.ndarray:
@@ -105,10 +106,12 @@ class Sketcher:
         """The least of each of the permutations' values over a set, on 32 bits, which bear candidates but no verdicts."""
         x = (h ^ h >> np.uint64(32)).astype(np.uint32)
         out = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
-        for i in range(0, len(x), 1024):
-            part = x[i : i + 1024, None] * self.a
+        for i in range(0, len(x), len(self.work[0])):
+            some = x[i : i + len(self.work[0]), None]
+            part, other = (w[: len(some)] for w in self.work)
+            np.multiply(some, self.a, out=part)
             part += self.b
-            part ^= part >> np.uint32(15)
+            part ^= np.right_shift(part, 15, out=other)
             part *= np.uint32(0x2C1B3C6D)
             np.minimum(out, part.min(0), out=out)
         return out
