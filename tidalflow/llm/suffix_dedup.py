@@ -5,8 +5,8 @@ the same one). Every string of LENGTH bytes is anchored at the least hash among
 have equal anchors, so only anchors that occur more than once can hold repeated strings. Spark deals these out:
 
 1. Each text's anchors, the starts that each one owns, and a digest of the stretch that these starts' strings cover. An
-   anchor of a stretch that occurs before is repeated with all its starts; no bytes need to travel. The first step does
-   this within a batch of texts, so copies send at most one row a batch.
+   anchor of a stretch that occurs before is repeated with all its starts; no bytes need to travel. A task does this
+   with the texts that it meets, so copies send about one row a task.
 2. What is left are the edges of repeats: anchors with a gram that has several different stretches. Those stretches are
    sent to the gram's longer forms (38 bytes more, to the right for near starts, to the left for the far ones).
 3. There, the suffixes of the stretches are sorted by the difference-cover algorithm: triples at places 1 and 2 (mod 3) are
@@ -34,6 +34,8 @@ from .common import steps, stored, texts
 LENGTH, GRAM, MORE = 100, 24, 38
 #: Bytes of stretches whose suffixes are sorted together, and the largest group that is sorted at all.
 SORTED = 1 << 20
+#: Stretches that a task remembers; bits in which the shape of an anchor fits (starts x 128 + place, both at most LENGTH).
+SEEN, SHAPE = 1 << 20, 14
 _BITS = 23
 _MASK = np.uint64((1 << _BITS) - 1)
 _TABLE = np.random.default_rng(20240307).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,29 +176,40 @@ _RUNS = "doc_id long, first long, last long"
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """doc_id, first, shape, gram, stretch; gram is null where a batch already shows an earlier equal stretch.
+    """gram, stretch, doc_id, at, again of every anchor; ``again`` where the task has met an earlier equal stretch.
 
-    ``shape`` has the last start owned and the anchor's place, both from ``first`` on, in one small number.
+    ``at`` has the first start owned, the number of starts and the anchor's place in one number. Beside the texts of a step,
+    a table of SEEN slots remembers the task's stretches, so a passage sends about one row a task, however many texts have it.
     """
-    arrow = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("shape", pa.int32()), ("gram", pa.int64()), ("stretch", pa.int64())])
+    names = ("gram", "stretch", "doc_id", "at", "again")
 
     def run(batches):
+        slots = np.zeros((3, SEEN), np.int64)  # stretch, doc, first start of it
+        filled = np.zeros(SEEN, bool)
         for part in steps(batches):
             cols = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 place, gram, first, last = anchors(text)
                 if len(place):
                     of = [int.from_bytes(hashlib.blake2b(text[a : b + LENGTH] + bytes([p - a]), digest_size=8).digest(), "big", signed=True) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-                    cols.append((np.full(len(place), doc), first, ((last - first) * 128 + place - first).astype(np.int32), gram.view(np.int64), np.array(of)))
+                    cols.append((np.full(len(place), doc), first, (last - first) * 128 + place - first, gram.view(np.int64), np.array(of)))
             if not cols:
                 continue
             doc, first, shape, gram, stretch = (np.concatenate(x) for x in zip(*cols, strict=True))
             order = np.lexsort((first, doc, stretch))
-            later = np.zeros(len(doc), bool)
-            later[order[1:]] = stretch[order[1:]] == stretch[order[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, first, shape)] + [pa.array(gram, mask=later), pa.array(stretch)], schema=arrow)
+            again = np.zeros(len(doc), bool)
+            again[order[1:]] = stretch[order[1:]] == stretch[order[:-1]]
+            slot = stretch & (SEEN - 1)
+            known, known_doc, known_first = slots[:, slot]
+            same = filled[slot] & (known == stretch)
+            earlier = (known_doc < doc) | (known_doc == doc) & (known_first < first)
+            again |= same & earlier
+            new = ~again
+            slots[:, slot[new]] = stretch[new], doc[new], first[new]
+            filled[slot[new]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, stretch, doc, first << SHAPE | shape, again)], names=list(names))
 
-    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, first long, shape int, gram long, stretch long")
+    return texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, "gram long, stretch long, doc_id long, at long, again boolean")
 
 
 def _edges(docs: DataFrame, edges: DataFrame, many: bool) -> DataFrame:
@@ -239,14 +252,16 @@ def _later(group: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, first, last: runs of starts whose strings of LENGTH bytes start earlier too."""
-    rows = stored(_anchored(docs), "anchors")
-    by_gram, by_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch").orderBy("doc_id", "first")
-    dealt = rows.where("gram IS NOT NULL").select("gram", "stretch", "doc_id", "first", "shape").repartition("gram")
+    # what is known to be repeated goes anywhere
+    dealt = _anchored(docs).withColumn("gram", F.when(F.col("again"), F.xxhash64("doc_id", "at")).otherwise(F.col("gram"))).repartition("gram")
+    by_gram, by_stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "stretch").orderBy("doc_id", "at")
     seen = dealt.withColumn("nth", F.row_number().over(by_stretch)).withColumn("mixed", F.min("stretch").over(by_gram) != F.max("stretch").over(by_gram))
-    last, place = (F.col("first") + F.floor(F.col("shape") / 128)).alias("last"), (F.col("first") + F.col("shape") % 128).alias("place")
     # a stretch has under 2 x LENGTH bytes, so the groups of other grams surely fit
     seen = seen.withColumn("many", F.count(F.when(F.col("nth") == 1, 1)).over(by_gram) > SORTED // (2 * LENGTH))
-    seen = stored(seen.where("nth > 1 OR mixed").select("doc_id", "first", last, place, (F.col("nth") > 1).alias("again"), "many"), "repeats")
+    first, shape = F.shiftright("at", SHAPE), F.col("at").bitwiseAND(F.lit((1 << SHAPE) - 1))
+    again = (F.col("again") | (F.col("nth") > 1)).alias("again")
+    seen = seen.where("again OR nth > 1 OR mixed").select("doc_id", first.alias("first"), (first + F.shiftright(shape, 7)).alias("last"), (first + shape % 128).alias("place"), again, "many")
+    seen = stored(seen, "repeats")
     open_ = seen.where("NOT again")
     edges, large = _edges(docs, open_, False), None
     if not open_.where("many").isEmpty():
@@ -278,7 +293,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         yield out()
 
     local = edges.repartition("key").sortWithinPartitions("key").mapInArrow(run, _RUNS)
-    known = rows.where("gram IS NULL").select("doc_id", "first", last).union(seen.where("again").select("doc_id", "first", "last"))
+    known = seen.where("again").select("doc_id", "first", "last")
     return known.union(local) if large is None else known.union(local).union(_later(large))
 
 
