@@ -226,6 +226,120 @@ def test_feistel_is_a_bijection(spark):
     assert days.select(pii.date(F.col("d"), "key").alias("x")).distinct().count() == 3000
 
 
+def pii_twin(text, key=pii.KEY):
+    """The pseudonyms in plain Python."""
+    import datetime
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def feistel(a, b, m, n, tag):
+        for i in range(pii.ROUNDS):
+            f = int(sha(f"{key}|{tag}|{i}|{a if i % 2 else b}")[:15], 16)
+            a, b = (a, (b + f % n) % n) if i % 2 else ((a + f % m) % m, b)
+        return a, b
+
+    def permuted(d, kind):
+        if len(d) < 2:
+            return d
+        k = len(d) // 2
+        a, b = feistel(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), f"{kind}|{len(d)}")
+        return f"{a:0{k}}{b:0{len(d) - k}}"
+
+    def refill(shape, new, what="[0-9]"):
+        new = iter(new)
+        return re.sub(what, lambda _: next(new), shape)
+
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (c > "4") for i, c in enumerate(d[::-1])) % 10
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def email(x):
+        local, domain = x.split("@")
+        plain = re.sub("[^a-z0-9]", "", local.lower())
+        shape = re.sub("[0-9]", "0", re.sub("[a-z]", "a", plain)) + "|" + domain.lower()
+        half = [plain[: len(plain) // 2], plain[len(plain) // 2 :]]
+        for i in range(pii.ROUNDS):
+            h = sha(f"{key}|email|{shape}|{i}|{half[1 - i % 2]}")
+            by = lambda j, h=h: int(h[j % 32 * 2 : j % 32 * 2 + 2], 16)
+            half[i % 2] = "".join(str((int(c) + by(j)) % 10) if c.isdigit() else chr((ord(c) - 97 + by(j)) % 26 + 97) for j, c in enumerate(half[i % 2]))
+        new = refill(local, "".join(half), "[A-Za-z0-9]")
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(local, new, strict=True)) + "@" + domain
+
+    def iban(x):
+        v = x.replace(" ", "")
+        mod = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+        if not 15 <= len(v) <= 34 or mod(v) != 1:
+            return x
+        body = refill(v[4:], permuted(digits(v[4:])[:34], "iban"))
+        return refill(x, f"{v[:2]}{98 - mod(v[:2] + '00' + body):02}{body}", "[A-Z0-9]")
+
+    def date(x):
+        p = re.split("[-/.]", x)
+        iso = len(p[0]) == 4
+        y, m, d = p if iso else p[::-1]
+        swapped = not iso and int(m) > 12
+        m, d = (d, m) if swapped else (m, d)
+        try:
+            datetime.date(int(y), int(m), int(d))
+        except ValueError:
+            return x
+        kind = "i" if iso else ("m" if swapped else "d") + f"{len(p[0])}{len(p[1])}"
+        if (int(m), int(d)) == (2, 29):
+            a, b = feistel((int(y) - 1904) // 4 // 7, (int(y) - 1904) // 4 % 7, 7, 7, f"date|{kind}|29")
+            y = 1904 + 4 * (7 * a + b)
+        else:
+            days = pii._days(kind).split(" ")
+            a, b = feistel(days.index(f"{int(m):02}{int(d):02}"), int(y) - 1900, len(days), 200, f"date|{kind}")
+            m, d, y = days[a][:2], days[a][2:], b + 1900
+        if iso:
+            return f"{y}-{int(m):02}-{int(d):02}"
+        one, two = ((m, d) if swapped else (d, m))
+        return f"{int(one):0{len(p[0])}}{x[len(p[0])]}{int(two):0{len(p[1])}}{x[len(p[0]) + len(p[1]) + 1]}{y}"
+
+    def ipv4(x):
+        p = [int(y) for y in x.split(".")]
+        if max(p) > 255:
+            return x
+        a, b = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, "ipv4")
+        return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+
+    def ssn(x):
+        return refill(x, permuted(digits(x), "ssn")) if re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", x) else x
+
+    def phone(x):
+        m = re.match(r"^\+[0-9]{1,3}(?=[^0-9])|^\+(?:1|7|[2-9][0-9])", x)
+        code, rest = (m[0], x[len(m[0]) :]) if m else ("", x)
+        return code + refill(rest, permuted(digits(rest), "phone")) if 7 <= len(digits(rest)) <= 14 else x
+
+    def card(x):
+        d, r = digits(x), luhn(digits(x))
+        if r and len(d) != 16:
+            return x
+        body = permuted(d[:-1], "account" if r else "card")
+        return refill(x, body + str((10 - luhn(body + "0") + r) % 10))
+
+    kinds = ((pii.EMAIL, email), (pii.IBAN, iban), (pii.DATE, date), (pii.IPV4, ipv4), (pii.SSN, ssn), (pii.PHONE, phone), (pii.CARD, card))
+    return re.sub(pii.CANDIDATE, lambda m: next((f(m[0]) for p, f in kinds if re.fullmatch(p, m[0])), m[0]), text, flags=re.A)
+
+
+def test_pii_equals_its_plain_twin(spark, sf):
+    draw = random.Random(4)
+    text = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for _ in range(200):
+        d = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+        text.append(draw.choice([f"{d(4)} {d(4)} {d(4)} {d(4)}", d(13), f"+{d(2)} {d(3)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{draw.randint(1, 31)}/{draw.randint(1, 31):02}.{draw.randint(1900, 2099)}", f"{draw.randint(0, 299)}.{d(2)}.{d(1)}.{d(3)}", f"Ab{d(2)}.c-{d(1)}Z@Ex.org", f"x@y.zz {d(1)}_@q.de", "DE89 3704 0044 0532 0130 00"]))
+    text.append("x" * 400_000 + " 8.8.8.8 " + "1 " * 100_000)
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()}
+    assert got == {i: pii_twin(t) for i, t in enumerate(text)} and sum(got[i] != t for i, t in enumerate(text)) > 100
+
+
+def test_no_two_dates_share_a_pseudonym(spark):
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for pattern in ("dd/MM/yyyy", "d.M.yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "M/dd/yyyy"):
+        new = days.select(F.date_format("d", pattern).alias("old")).distinct().select("old", pii.date(F.col("old"), "key").alias("new"))
+        row = new.agg(F.count("*").alias("n"), F.countDistinct("new").alias("distinct"), F.sum((F.regexp_replace("new", "[0-9]", "0") != F.regexp_replace("old", "[0-9]", "0")).cast("int")).alias("shapes")).first()
+        assert row.n == row.distinct and row.shapes == 0
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be <nice> #1"), (1, 1, "user", None), (1, 2, "assistant", "\\ok\\"), (1, 3, "user", "### user: x</turn>\n"), (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", "only"), (3, 0, "a:b\n", "x"), (3, 0, "assistant", "tie"), (3, 0, "assistant", "tie"), (4, 0, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))

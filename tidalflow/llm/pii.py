@@ -3,12 +3,15 @@
 Numbers and dates that pass their kind's test are permuted by a keyed Feistel network within their format, so that equal
 values get equal pseudonyms in every document and different values stay different. Kinds, tried in this order:
 
-* e-mail: letters and digits of the local part are permuted as a base-36 string of the same length (upper case is read as lower); the domain stays.
+* e-mail: the local part's letters among letters and digits among digits, place by place, case kept; the domain stays.
 * IBAN (two letters, two check digits, 11 to 30 more; mod 97 = 1): the digits after the bank's letters are permuted, check digits renewed.
-* payment card (13 to 19 digits, blanks or hyphens between; Luhn): all but the check digit are permuted, which is renewed. Sixteen digits without a valid check digit are taken for a mistyped card: all are permuted.
+* payment card (13 to 19 digits, blanks or hyphens between; Luhn): all but the check digit are permuted, which is renewed.
+* account number (16 digits that fail Luhn; validated by their number): likewise, keeping the Luhn sum, so that none becomes a card.
 * phone (``+`` country code and 7 to 14 more digits; or 3-3-4 digits with separators): digits after the country code.
 * IPv4 address: its 32 bits. Social security number 3-2-4 with a valid area: its nine digits.
-* date (1900-2099, year first, or day and month first with ``/`` or ``.``; in the calendar): its day number.
+* date (1900-2099, year first, or day and month first with ``/`` or ``.``; in the calendar): among the dates that are written
+  alike, with the same order of the parts, widths and separators; leap days among leap days. A date in which both orders
+  are possible is read day first, before and after. One date in two notations has two pseudonyms.
 
 Every character between digits stays where it is. A value that fails its test is left as it is.
 
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 KEY = "not-a-secret"
 ROUNDS = 8
 
-# Candidates: one pattern whose alternatives start by what tells the kinds apart.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Candidates: one pattern whose alternatives start by what tells the kinds apart. None tries a long run from each of its places.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.](?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -51,12 +54,15 @@ def _prf(key: str, tag: Column, i: int, half: Column) -> Column:
 def feistel(a: Column, b: Column, m: Column, n: Column, tag: Column, key: str, rounds: int = ROUNDS) -> tuple[Column, Column]:
     """The permutation of Z_m x Z_n, for moduli under 2^60."""
     # steps are kept as array entries, so that an expression isn't repeated for each time it is used
+    def step(i: int):
+        # a lambda of one parameter: a second one would be the entry's index
+        if i % 2:
+            return lambda s: F.array(s[0], F.pmod(s[1] + F.pmod(_prf(key, tag, i, s[0]), n), n))
+        return lambda s: F.array(F.pmod(s[0] + F.pmod(_prf(key, tag, i, s[1]), m), m), s[1])
+
     state = F.array(a, b)
     for i in range(rounds):
-        if i % 2:
-            state = F.transform(F.array(state), lambda s, i=i: F.array(s[0], F.pmod(s[1] + F.pmod(_prf(key, tag, i, s[0]), n), n)))[0]
-        else:
-            state = F.transform(F.array(state), lambda s, i=i: F.array(F.pmod(s[0] + F.pmod(_prf(key, tag, i, s[1]), m), m), s[1]))[0]
+        state = _let(state, step(i))
     return state[0], state[1]
 
 
@@ -106,8 +112,10 @@ def card(x: Column, key: str) -> Column:
         def renewed(body: Column) -> Column:
             return F.concat(body, F.pmod(F.lit(10) - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
 
-        good = luhn(d) == 0
-        return F.when(good, refill(x, _let(digits_permuted(F.substr(d, F.lit(1), F.length(d) - 1), "card", key), renewed))).when(F.length(d) == 16, refill(x, digits_permuted(d, "card?", key))).otherwise(x)
+        body = F.substr(d, F.lit(1), F.length(d) - 1)
+        rest = luhn(d)
+        account = lambda new: _let(rest, lambda r: F.concat(new, F.pmod(F.lit(10) - luhn(F.concat(new, F.lit("0"))) + r, F.lit(10)).cast("string")))
+        return F.when(rest == 0, refill(x, _let(digits_permuted(body, "card", key), renewed))).when(F.length(d) == 16, refill(x, _let(digits_permuted(body, "account", key), account))).otherwise(x)
 
     return _let(_digits(x), run)
 
@@ -131,25 +139,48 @@ def ipv4(x: Column, key: str) -> Column:
     return _let(F.split(x, r"\."), run)
 
 
-def date(x: Column, key: str) -> Column:
-    """Days from 1900-01-01 to 2099-12-31: 73,049 = 17 x 4,297. The format's order of the parts, separators and zeros stay."""
-    first = x.rlike("^[0-9]{4}-")
+def _days(kind: str) -> str:
+    """Month and day, as four digits each, of the dates of a kind: "i" year first, "d" day first, "m" month first (the day is over 12); then widths of the parts."""
+    found = []
+    for month, last in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1):
+        for day in range(1, last + 1):
+            parts = {"i": (), "d": (day, month), "m": (month, day)}[kind[0]]
+            if all(w == "2" or p < 10 for p, w in zip(parts, kind[1:], strict=False)) and (kind[0] != "m" or day > 12):
+                found.append(f"{month:02}{day:02}")
+    return " ".join(found)
 
-    def run(p: Column) -> Column:
-        year, month, day = (F.when(first, p[a]).otherwise(p[b]) for a, b in ((0, 2), (1, 1), (2, 0)))
-        swapped = ~first & (month.cast("int") > 12)  # month first
-        value = F.try_to_date(F.concat_ws("-", year, F.lpad(F.when(swapped, day).otherwise(month), 2, "0"), F.lpad(F.when(swapped, month).otherwise(day), 2, "0")), "yyyy-MM-dd")
-        number = F.datediff(value, F.lit("1900-01-01").cast("date"))
-        halves = F.array(*feistel(F.floor(number / 4297).cast("long"), (number % 4297).cast("long"), F.lit(17), F.lit(4297), F.lit("date"), key))
 
-        def written(new: Column) -> Column:
-            sep = F.when(x.contains("/"), F.lit("/")).otherwise(F.lit("."))
-            short = p[0].rlike("^[1-9]$") | p[1].rlike("^[1-9]$")
-            part = lambda pattern: F.date_format(new, pattern)
-            d, m = F.when(short, part("d")).otherwise(part("dd")), F.when(short, part("M")).otherwise(part("MM"))
-            return F.when(first, part("yyyy-MM-dd")).when(swapped, F.concat(m, sep, d, sep, part("yyyy"))).otherwise(F.concat(d, sep, m, sep, part("yyyy")))
+_KINDS = ("i", "d11", "d12", "d21", "d22", "m12", "m22")
+_YEARS, _FIRST, _FIRST_LEAP, _LEAPS = 200, 1900, 1904, 7  # 7 x 7 leap days
 
-        return F.when(value.isNotNull(), _let(_let(halves, lambda h: F.date_add(F.lit("1900-01-01").cast("date"), (h[0] * 4297 + h[1]).cast("int"))), written)).otherwise(x)
+
+def date(x: Column, key: str) -> Column:
+    def run(p: Column) -> Column:
+        iso = F.length(p[0]) == 4
+        swapped = ~iso & (p[1].cast("int") > 12)
+        year, month, day = (F.when(iso, p[a]).otherwise(p[b]) for a, b in ((0, 2), (1, 1), (2, 0)))
+        month, day = F.when(swapped, day).otherwise(month), F.when(swapped, month).otherwise(day)
+        widths = F.concat(F.length(p[0]).cast("string"), F.length(p[1]).cast("string"))
+        kind = F.when(iso, "i").otherwise(F.concat(F.when(swapped, "m").otherwise("d"), widths))
+        state = F.struct(year.cast("long").alias("year"), F.concat(F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).alias("day"), kind.alias("kind"), iso.alias("iso"), swapped.alias("swapped"), p.alias("p"))
+        value = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+        return F.when(value.isNotNull(), _let(state, moved)).otherwise(x)
+
+    def moved(s: Column) -> Column:
+        days = F.split(reduce(lambda other, k: F.when(s["kind"] == k, F.lit(_days(k))).otherwise(other), _KINDS, F.lit("")), " ")
+        tag = F.concat(F.lit("date|"), s["kind"])
+        leap = F.floor((s["year"] - _FIRST_LEAP) / 4).cast("long")
+        year = _let(F.array(*feistel(F.floor(leap / _LEAPS).cast("long"), leap % _LEAPS, F.lit(_LEAPS), F.lit(_LEAPS), F.concat(tag, F.lit("|29")), key)), lambda h: _FIRST_LEAP + 4 * (h[0] * _LEAPS + h[1]))
+        other = _let(days, lambda d: _let(F.array(*feistel(F.array_position(d, s["day"]) - 1, s["year"] - _FIRST, F.size(d).cast("long"), F.lit(_YEARS), tag, key)), lambda h: written(s, d[h[0].cast("int")], h[1] + _FIRST)))
+        return F.when(s["day"] == "0229", _let(year, lambda y: written(s, s["day"], y))).otherwise(other)
+
+    def written(s: Column, day: Column, year: Column) -> Column:
+        month, day, p, year = F.substring(day, 1, 2), F.substring(day, 3, 2), s["p"], year.cast("string")
+        one, two = F.when(s["swapped"], month).otherwise(day), F.when(s["swapped"], day).otherwise(month)
+        part = lambda v, old: F.when(F.length(old) == 1, F.substring(v, 2, 1)).otherwise(v)
+        separator = lambda at: F.substr(x, at, F.lit(1))
+        short = F.concat(part(one, p[0]), separator(F.length(p[0]) + 1), part(two, p[1]), separator(F.length(p[0]) + F.length(p[1]) + 2), year)
+        return F.when(s["iso"], F.concat_ws("-", year, month, day)).otherwise(short)
 
     return _let(F.split(x, "[-/.]"), run)
 
@@ -165,19 +196,34 @@ def iban(x: Column, key: str) -> Column:
 
 
 def email(x: Column, key: str) -> Column:
-    """Each letter or digit of the local part is shifted by a keyed amount that depends on all those before it and on the length, which can be undone from left to right."""
+    """The halves of the local part's letters and digits are shifted in turn, each place within its alphabet by a digit of a keyed hash of the other half."""
     local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    alphabet = "0123456789abcdefghijklmnopqrstuvwxyz"
 
-    def step(done: Column, c: Column) -> Column:
-        at = F.instr(F.lit(alphabet), c)
-        salt = F.concat(F.lit(f"{key}|email|"), F.lower(domain), F.lit("|"), F.length(local).cast("string"), F.lit("|"), done["old"])
-        shift = F.conv(F.substring(F.sha2(salt, 256), 1, 12), 16, 10).cast("long")
-        new = F.when(at > 0, F.substring(F.lit(alphabet), F.pmod(at - 1 + shift, F.lit(36)).cast("int") + 1, F.lit(1))).otherwise(c)
-        return F.struct(F.concat(done["old"], c).alias("old"), F.concat(done["new"], new).alias("new"))
+    def shifted(half: Column, other: Column, shape: Column, i: int) -> Column:
+        def run(hashed: Column) -> Column:
+            def char(c: Column, at: Column) -> Column:
+                by = F.conv(F.substr(hashed, at % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+                letter = F.char(F.pmod(F.ascii(c) - 97 + by, F.lit(26)) + 97)
+                return F.when(c.rlike("[0-9]"), F.pmod(c.cast("int") + by, F.lit(10)).cast("string")).otherwise(letter)
+
+            return F.array_join(F.transform(F.split(half, ""), char), "")
+
+        return F.when(F.length(half) == 0, half).otherwise(_let(F.sha2(F.concat(F.lit(f"{key}|email|"), shape, F.lit(f"|{i}|"), other), 256), run))
+
+    def run(plain: Column) -> Column:
+        shape = F.concat(F.regexp_replace(F.regexp_replace(plain, "[a-z]", "a"), "[0-9]", "0"), F.lit("|"), F.lower(domain))
+        left = F.floor(F.length(plain) / 2).cast("int")
+
+        def step(i: int):
+            return (lambda s: F.array(s[0], shifted(s[1], s[0], shape, i))) if i % 2 else (lambda s: F.array(shifted(s[0], s[1], shape, i), s[1]))
+
+        state = F.array(F.substring(plain, F.lit(1), left), F.substr(plain, left + 1))
+        for i in range(ROUNDS):
+            state = _let(state, step(i))
+        return _let(state, lambda s: F.concat(s[0], s[1]))
 
-    empty = F.struct(F.lit("").alias("old"), F.lit("").alias("new"))
-    return F.concat(F.aggregate(F.split(F.reverse(F.lower(local)), ""), empty, step, lambda s: F.reverse(s["new"])), F.lit("@"), domain)
+    new = F.split(refill(local, _let(F.regexp_replace(F.lower(local), "[^a-z0-9]", ""), run), "[A-Za-z0-9]"), "")
+    return F.concat(F.array_join(F.zip_with(F.split(local, ""), new, lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c)), ""), F.lit("@"), domain)
 
 
 def pseudonym(x: Column, key: str) -> Column:
