@@ -107,7 +107,7 @@ def test_decontamination(spark, docs, none, block):
     got = decontaminate.hits(docs, bench, block_bytes=block).collect()
     want = {i: brute_hits(t, items) for i, t in TEXTS}
     assert len(got) == len(TEXTS) and all(tuple(r)[1:] == want[r.doc_id] for r in got)
-    kept = decontaminate.clean(docs, bench)
+    kept = decontaminate.clean(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
     assert decontaminate.hits(none, bench).count() == 0 and decontaminate.hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -117,7 +117,7 @@ def test_hits_come_from_longest_matches(monkeypatch):
     monkeypatch.setattr(decontaminate.TestSet, "find", lambda self, w, matches=False: asked.append((matches, find(self, w, matches))) or asked[-1][1])
     item = [f"w{i}" for i in range(20)]
     doc = "x " + " ".join(item[2:18]) + " y " + " ".join(item[:12])
-    _, begin, hit, items = decontaminate._shard([decontaminate.TestSet([("a", " ".join(item).encode())])], [b"w1", doc.encode(), b""])
+    _, begin, hit, items = decontaminate._shard(decontaminate.TestSet([("a", " ".join(item).encode())]), [b"w1", doc.encode(), b""])
     assert hit[begin[1] : begin[2]].nonzero()[0].tolist() == list(range(1, 17)) and items == [set(), {"a"}, set()]
     assert asked[0][0] and {(s, int(n)) for _, length, _, s in asked[0][1] for n in length} == {(2, 16), (3, 15), (4, 14), (5, 13)}
 

@@ -35,7 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
+def forget(*tables: DataFrame | None) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:
         if at := getattr(df, "stored_at", None):

@@ -2,7 +2,9 @@
 
 Every Arrow batch of documents is one shard. A shard's suffix array holds, in word order, the suffixes at which a
 benchmark window could begin; each test suffix is found in it by binary search, which gives its longest verbatim match
-and all its places. Documents stay where they are: the only thing that travels is the test set, in blocks of bounded size.
+and all its places. Documents stay where they are: the only thing that travels is the test set, in blocks of bounded size,
+one after another: the driver and each worker hold one block, and what a block finds is kept with the documents in the
+shared folder before the next one is fetched.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is WINDOW consecutive words of an item;
 an item of fewer words, but not none, is one window.
@@ -14,17 +16,18 @@ Columns of the inputs other than doc_id, item_id and text are not read.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, per_text, texts
+from .common import forget, steps, stored, texts
 
 WINDOW = 13
 #: Test text that one pass over the documents takes: what is sent to each executor has this bound.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -48,15 +51,23 @@ class TestSet:
                 self.items.append(np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], np.int64))
                 self.owner.append(at[name])
         self.depth = max((len(x) for x in self.items), default=0)
-        #: (item, start, words) of each window
-        self.suffixes = [(k, s, min(window, len(x))) for k, x in enumerate(self.items) for s in range(max(1, len(x) - window + 1))]
-        key = lambda fill: np.array([[*self.items[k][s : s + n], *[fill] * (window - n)] for k, s, n in self.suffixes], ">u4").reshape(-1, window).view(f"S{4 * window}").ravel()
+        #: item, start, words of each window
+        size = np.array([len(x) for x in self.items], np.int64)
+        each = np.maximum(1, size - window + 1)
+        self.item = np.repeat(np.arange(len(size)), each)
+        self.start = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        self.n = np.minimum(window, size)[self.item]
+        flat = np.concatenate([*self.items, np.zeros(window, np.int64)])
+        at = (np.cumsum(size) - size)[self.item] + self.start
+        inside = np.arange(window) < self.n[:, None]
+        words_of = flat[at[:, None] + np.arange(window)]
+        key = lambda fill: np.ascontiguousarray(np.where(inside, words_of, fill).astype(">u4")).view(f"S{4 * window}").ravel()
         self.low, self.high = key(0), key(0xFFFFFFFF)
-        self.pairs = np.unique([int(x[s]) << 32 | int(x[s + 1]) if n > 1 else 0 for x, s, n in ((self.items[k], s, n) for k, s, n in self.suffixes)])
-        self.shortest = min((n for *_, n in self.suffixes), default=window)
-        self.singles = np.unique([int(self.items[k][s]) for k, s, n in self.suffixes if n == 1]).astype(np.int64)
-        short = {n for *_, n in self.suffixes if n < window}
-        self.short_pairs = np.unique([int(self.items[k][s]) << 32 | int(self.items[k][s + 1]) for k, s, n in self.suffixes if n in short and n > 1] or [0])
+        first = words_of[:, 0] << 32 | np.where(self.n > 1, words_of[:, 1], 0)
+        self.pairs = np.unique(np.where(self.n > 1, first, 0))
+        self.shortest = int(self.n.min()) if len(self.n) else window
+        self.singles = np.unique(words_of[self.n == 1, 0])
+        self.short_pairs = np.unique(np.append(first[(self.n < window) & (self.n > 1)], 0))
 
     def starts(self, w: np.ndarray) -> np.ndarray:
         """Where a window could begin: a first pair of words that begins a window, and enough known words after it."""
@@ -85,7 +96,7 @@ class TestSet:
         lows, highs = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         found = []
         for i in np.flatnonzero(lows < highs):
-            (k, s, n), lo, hi = self.suffixes[i], lows[i], highs[i]
+            k, s, n, lo, hi = int(self.item[i]), int(self.start[i]), int(self.n[i]), lows[i], highs[i]
             x = self.items[k]
             if lo < hi:
                 at = order[lo:hi]
@@ -102,77 +113,98 @@ class TestSet:
         return found
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``limit`` bytes (or one item), fetched block by block."""
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
+    """The items in blocks of at most ``limit`` bytes (or one item), fetched block by block; and whether a block is the last."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    out, size = [[]], 0
+    block, size = [], 0
     for row in items.toLocalIterator():
-        if out[-1] and size + len(row.text) > limit:
-            out, size = [*out, []], 0
-        out[-1].append((row.item, bytes(row.text)))
+        if block and size + len(row.text) > limit:
+            yield block, False
+            block, size = [], 0
+        block.append((row.item, bytes(row.text)))
         size += len(row.text)
-    return out
+    yield block, True
 
 
-def _shard(tests: list[TestSet], docs: list[bytes]):
-    """Each block's numbers for a shard: word counts, and for each document the hit flags and the items found."""
+def _shard(test: TestSet, docs: list[bytes]):
+    """Of a shard: the words of each document, where they begin, the hit flags, and the items found in each document."""
     split = [words(x) for x in docs]
     begin = np.cumsum([0] + [len(x) + 1 for x in split])  # one unknown word between documents
-    hit = np.zeros(begin[-1] + 1, np.int64)
-    items = [set() for _ in docs]
-    for t in tests:
-        w = np.zeros(begin[-1], np.int64)
-        get = t.ids.get
-        for b, x in zip(begin, split, strict=False):
-            w[b : b + len(x)] = [get(y, 0) for y in x]
-        # a test suffix's longest match covers the windows that lie in it
-        for at, n, k, _ in t.find(w, matches=True):
-            np.add.at(hit, at, 1)
-            np.add.at(hit, at + n, -1)
-            for d in np.unique(np.searchsorted(begin, at, "right") - 1):
-                items[d].add(t.names[t.owner[k]])
-    hit = np.cumsum(hit) > 0
-    return split, begin, hit, items
+    hit, items = np.zeros(begin[-1] + 1, np.int64), [set() for _ in docs]
+    w, get = np.zeros(begin[-1], np.int64), test.ids.get
+    for b, x in zip(begin, split, strict=False):
+        w[b : b + len(x)] = [get(y, 0) for y in x]
+    # a test suffix's longest match covers the windows that lie in it
+    for at, n, k, _ in test.find(w, matches=True):
+        np.add.at(hit, at, 1)
+        np.add.at(hit, at + n, -1)
+        for d in np.unique(np.searchsorted(begin, at, "right") - 1):
+            items[d].add(test.names[test.owner[k]])
+    return split, begin, np.cumsum(hit) > 0, items
+
+
+_FOUND = {"__words": pa.int64(), "__spans": pa.list_(pa.int64()), "__items": pa.list_(pa.string())}
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``docs`` with __words, __spans (first and end of each run of hit words, one after the other) and __items."""
+    marked = docs.selectExpr("*", "0L AS __words", "CAST(array() AS array<bigint>) AS __spans", "CAST(array() AS array<string>) AS __items")
+    schema, before = marked.schema, None
+    for block, last in _blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(TestSet(block, window))
+
+        def run(batches, sent=sent):
+            for part in steps(batches):
+                split, begin, hit, items = _shard(sent.value, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()])
+                spans, named = [], []
+                for b, x, old, found, mine in zip(begin, split, part.column("__spans").to_pylist(), part.column("__items").to_pylist(), items, strict=False):
+                    flags = np.zeros(len(x) + 2, np.int8)
+                    flags[1:-1] = hit[b : b + len(x)]
+                    for i in range(0, len(old), 2):
+                        flags[1 + old[i] : 1 + old[i + 1]] = 1
+                    spans.append(np.flatnonzero(np.diff(flags)).tolist())
+                    named.append(sorted({*found, *mine}))
+                new = [pa.array(c, t) for c, t in zip(([len(x) for x in split], spans, named), _FOUND.values(), strict=True)]
+                kept = [part.column(n) for n in part.schema.names if n not in _FOUND]
+                yield pa.RecordBatch.from_arrays(kept + new, names=[n for n in part.schema.names if n not in _FOUND] + [*_FOUND])
+
+        marked = marked.mapInArrow(run, schema)
+        if not last:
+            marked = stored(marked, "marked")
+            sent.destroy()
+            forget(before)
+            before = marked
+    return marked
+
+
+def _hit() -> Column:
+    """The summed lengths of the spans."""
+    return F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["sum"] + s["sign"] * x).alias("sum"), (-s["sign"]).alias("sign")), lambda s: s["sum"])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated of every row of ``docs``."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(TestSet(b, window)) for b in _blocks(benchmark, block_bytes)]
-
-    def make():
-        def run(ids, batch):
-            parts = [_shard([b.value], batch) for b in sent]
-            split, begin = parts[0][:2]
-            hit, items = np.logical_or.reduce([p[2] for p in parts]), [set().union(*x) for x in zip(*(p[3] for p in parts), strict=True)]
-            n_words, n_hit = [len(x) for x in split], [int(hit[b : b + len(x)].sum()) for b, x in zip(begin, split, strict=False)]
-            return {
-                "n_words": n_words,
-                "n_hit": n_hit,
-                "n_items": [len(x) for x in items],
-                "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items],
-                "contaminated": [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)],
-            }
-
-        return run
-
-    return per_text(texts(docs), make, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    found = _found(texts(docs), benchmark, window, block_bytes).select("doc_id", "__words", _hit().alias("n_hit"), "__items")
+    return found.select("doc_id", F.col("__words").alias("n_words"), "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("__words"))).alias("contaminated"))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_start, doc_start, n_words: the longest verbatim match of every test suffix at each of its places, in words, of at least a window."""
-    import pyarrow as pa
-
-    from .common import steps
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id string, item_start long, doc_start long, n_words long")
+    for block, _ in _blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(TestSet(block, window))
+        out = out.union(stored(_longest(docs, sent), "matches"))
+        sent.destroy()
+    return out
 
-    sent = [docs.sparkSession.sparkContext.broadcast(TestSet(b, window)) for b in _blocks(benchmark, block_bytes)]
 
+def _longest(docs: DataFrame, sent) -> DataFrame:
     def run(batches):
         for part in steps(batches):
             ids, split = part.column("doc_id").to_pylist(), [words(x) for x in part.column("text").to_pylist()]
             begin = np.cumsum([0] + [len(x) + 1 for x in split])
             rows = []
-            for t in (b.value for b in sent):
+            for t in (sent.value,):
                 w = np.zeros(begin[-1], np.int64)
                 for b, x in zip(begin, split, strict=False):
                     w[b : b + len(x)] = [t.ids.get(y, 0) for y in x]
@@ -184,21 +216,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return texts(docs).mapInArrow(run, "doc_id long, item_id string, item_start long, doc_start long, n_words long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows; every other row, and every column, is as it was."""
-    sent = [docs.sparkSession.sparkContext.broadcast(TestSet(b, window)) for b in _blocks(benchmark, BLOCK_BYTES)]
-
-    def make():
-        def keep(batch):
-            split, hit = [len(words(x)) for x in batch], [0] * len(batch)
-            flags = []
-            for b in sent:
-                _, begin, flag, _ = _shard([b.value], batch)
-                flags.append(flag)
-            flag = np.logical_or.reduce(flags)
-            hit = [int(flag[a : a + n].sum()) for a, n in zip(begin, split, strict=False)]
-            return [not (h > 0 and 20 * h >= n) for h, n in zip(hit, split, strict=True)]
-
-        return keep
-
-    return filtered(docs, make)
+    return _found(docs, benchmark, window, block_bytes).withColumn("n_hit_", _hit()).where((F.col("n_hit_") == 0) | (20 * F.col("n_hit_") < F.col("__words"))).select(docs.columns)

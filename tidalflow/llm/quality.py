@@ -6,7 +6,7 @@ turned into a score by a logistic curve fitted on the training documents. Featur
 neither labels nor language, source or id take part in a score.
 
 Training: labels of documents, read as those of all their lines, from at most SAMPLE labelled documents (the smallest by a
-hash of the id) of at most LINES lines; rows whose crc32(id as text) mod 3 is 1 are held out. Fitting is on the driver, as
+hash of the id) while these have LINES lines together; rows whose crc32(id as text) mod 3 is 1 are held out. Fitting is on the driver, as
 the sample is bounded; every document is scored, whole.
 
 Defined cases: null and empty texts are one empty line and get its score; without training labels of both kinds every score
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import filtered, per_text, texts
 
-SAMPLE, LINES, PASSES, RATE, RIDGE = 3000, 200, 160, 0.08, 1e-3
+SAMPLE, LINES, PASSES, RATE, RIDGE = 3000, 120_000, 160, 0.08, 1e-3
 _SPACE, _UPPER, _LOWER, _DIGIT, _STOP, _SYMBOL = range(6)
 _KIND = np.array([_SPACE if c in b" \t\n\r\x0b\x0c" else _UPPER if 65 <= c <= 90 else _LOWER if 97 <= c <= 122 or c >= 128 else _DIGIT if 48 <= c <= 57 else _STOP if c in b".,;:?'\"()-" else _SYMBOL for c in range(256)], np.uint8)
 FEATURES = 12
@@ -178,8 +178,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """A model from at most ``sample`` labelled documents that aren't held out."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = LINES):
+    """A model from the first labelled documents that aren't held out, by a hash of the id: at most ``sample``, whole ones, until they have ``most_lines`` lines."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -187,13 +187,23 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         def run(_, batch):
             x, size, count = line_features(batch)
             cut = np.cumsum(count)[:-1]
-            return {"x": [a.astype(np.float32).tobytes() if len(a) <= LINES else None for a in np.split(x, cut)], "size": [a.astype(np.float32).tobytes() for a in np.split(size, cut)]}
+            return {"x": [a.astype(np.float32).tobytes() for a in np.split(x, cut)], "size": [a.astype(np.float32).tobytes() for a in np.split(size, cut)]}
 
         return run
 
     ids = F.broadcast(chosen)  # at most ``sample`` rows
-    found = per_text(texts(docs).join(ids.select("doc_id"), "doc_id", "left_semi"), make, "x binary, size binary").where("x IS NOT NULL")
-    rows = sorted(found.join(ids, "doc_id").collect(), key=lambda r: (r.doc_id, r.x))[: 2 * sample]
+    mine = docs.join(ids.select(F.col("doc_id").alias("of")), F.col("doc_id") == F.col("of"), "left_semi")
+    lines = mine.groupBy("doc_id").agg(F.max(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).alias("lines"))
+    fit, taken = [], 0
+    for row in lines.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").collect():  # two numbers a document
+        if taken < most_lines:
+            fit.append(row.doc_id)
+            taken += row.lines
+    if not fit:
+        return Constant(0.5)
+    # of rows that repeat an id, one
+    found = per_text(texts(mine.where(F.col("doc_id").isin(fit))), make, "x binary, size binary").groupBy("doc_id").agg(F.min(F.struct("x", "size")).alias("f")).select("doc_id", "f.*")
+    rows = sorted(found.join(ids, "doc_id").collect(), key=lambda r: r.doc_id)
     label = np.array([r.quality for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return Constant(float(label.mean()) if len(label) else 0.5)

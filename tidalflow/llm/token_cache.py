@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Recent, shared_dir, steps, texts
 
 LIMIT = 512
+#: A content is frequent that so many rows have, and one in SHARE of all rows: at most SHARE contents are.
+FREQUENT, SHARE = 100, 1000
 #: Bytes in which a task remembers the counts of pieces.
 REMEMBERED = 32 << 20
 _PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
@@ -93,4 +95,11 @@ def counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     # two runs that append at once can store a digest twice, with the same count
     stored_counts = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == tag).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     asked = texts(docs).select("doc_id", digest, F.octet_length("text").cast("long").alias("n_bytes"))
-    return asked.join(stored_counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # the counts of contents that very many rows have are sent to these rows: at most SHARE of them, by the threshold
+    often = asked.groupBy("digest").agg(F.count("*").alias("n"))
+    total = F.broadcast(often.agg(F.sum("n").alias("total")))
+    hot = F.broadcast(often.join(total).where((F.col("n") >= FREQUENT) & (F.col("n") * SHARE >= F.col("total"))).select("digest").join(stored_counts, "digest").withColumnRenamed("n_tokens", "known"))
+    asked = asked.join(hot, "digest", "left")
+    found = asked.where("known IS NULL").select("doc_id", "n_bytes", "digest").join(stored_counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    found = asked.where("known IS NOT NULL").select("doc_id", "n_bytes", F.col("known").alias("n_tokens")).union(found)
+    return found.withColumn("over_limit", F.col("n_tokens") > limit)
