@@ -1,11 +1,19 @@
-"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: each stage's result is written as Parquet and read again as the next one's input.
+
+Defined cases, besides those of the operators: a stage takes any table with the columns of ``documents``, and others, which
+it passes on (the last stage doesn't); an empty table gives an empty one; rows with a null id stay unless a stage rejects
+their text, and null texts are empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidalflow.llm import queries as q
-from tidalflow.llm.common import stored, table
+from tidalflow.llm.common import forget, stored, table
+
+#: Session setting with the key of the pseudonyms; without it, that of the tests is used.
+KEY = "spark.tidalflow.pseudonym.key"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each component of near-duplicates (five-word shingles, similarity 0.8): that of the smallest id; empty texts and null ids stay."""
     from tidalflow.llm.near_dup import deduplicated
 
     return deduplicated(docs, k=5)
@@ -30,10 +38,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbers, dates and addresses of people replaced by pseudonyms within the text."""
+    """Numbers, dates and addresses of people replaced by pseudonyms within the text, by the key that the session's setting KEY names."""
+    from tidalflow.llm.pii import KEY as test_key
     from tidalflow.llm.pii import pseudonymised
 
-    return pseudonymised(docs)
+    return pseudonymised(docs, spark.conf.get(KEY, test_key))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"stage{k}")
+            forget(before)
+            before = docs
     return docs
