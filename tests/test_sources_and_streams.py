@@ -73,6 +73,8 @@ def test_catalog():
         return {}
 
     assert catalog.patient(ask, sleep=waits.append) == {} and waits == [30.0, 2.0]
+    now = catalog.datetime(2024, 1, 1, tzinfo=catalog.timezone.utc)
+    assert catalog.asked_wait("Mon, 01 Jan 2024 00:00:12 GMT", now) == 12 and catalog.asked_wait("7") == 7 and catalog.asked_wait("soon") is None and catalog.asked_wait(None) is None
 
 
 def test_plausible(tmp_path):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TERMINAL = ("complete", "unavailable", "quality_failed")
+TERMINAL = ("complete", "unavailable")
 
 
 def pending(jobs: DataFrame, progress: DataFrame, valid_caches: DataFrame | None = None) -> DataFrame:
-    """Jobs without a terminal row; with ``valid_caches``, complete ones whose cache isn't valid too. Days that failed their quality check are terminal."""
+    """Jobs without a terminal row; with ``valid_caches``, complete ones whose cache isn't valid too. A day that failed its quality check is complete, with quality_passed false."""
     done = progress.where(F.col("status").isin(*TERMINAL)).select("date", "symbol", "status")
     if valid_caches is not None:
         valid = valid_caches.select("date", "symbol").distinct().withColumn("_valid", F.lit(True))
