@@ -66,6 +66,12 @@ class Recent:
         self.size += (len(self.new) - before) * self.each
 
 
+def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """``left`` joined to the much smaller ``right``, each key dealt over ``salts`` tasks."""
+    deal = left.withColumn("_salt", F.pmod(F.xxhash64(*(c for c, kind in left.dtypes if not kind.startswith(("array", "map")))), F.lit(salts)))
+    return deal.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [*on, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
