@@ -539,7 +539,9 @@ def test_html_templates_of_a_large_host(spark):
     assert got == {i: ("Summary\n" if i % 6 == 1 else "") + f"Rare {i % 40}\nText number {i}." for i in range(360)}
 
 
-def test_html_by_recurrence_alone(spark):
+@pytest.mark.parametrize("sent", [html_main.SENT, 0])
+def test_html_by_recurrence_alone(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_main, "SENT", sent)
     # nothing in these pages says what it is; and one host with too few pages for counts, where tags and places speak
     page = lambda i: f"<body><div><p>Where to go</p><a>Here</a></div><p>Text {i} of the page.</p><div>Only once: {i}</div><section>Write to us</section></body>"
     pages = [(i, f"http://many.example/{i}", page(i)) for i in range(30)] + [(100 + i, "http://few.example/", page(i)) for i in range(3)]

@@ -39,6 +39,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 MANY_PAGES = 50
 #: Names and places speak for subtrees on fewer pages of their host.
 KNOWN_PAGES = 5
+#: Bytes of decisions on blocks up to which they are sent to the texts; beyond, both are shuffled.
+SENT = 8 << 20
 #: Elements deeper than this stay at this depth, as in browsers.
 DEEPEST = 512
 
@@ -254,9 +256,9 @@ def host(url: str | None) -> str:
 
 def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES, known_pages: int = KNOWN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
-    schema = "row string, page_id long, url string, host string, digest long, blocks array<struct<text: string, path: array<long>, rare: array<long>>>, subtrees array<long>"
+    schema = "row long, page_id long, url string, host string, digest long, blocks array<struct<text: string, path: array<long>, rare: array<long>>>, subtrees array<long>"
     block = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
-    arrow = pa.schema([("row", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("digest", pa.int64()), ("blocks", pa.list_(block)), ("subtrees", pa.list_(pa.int64()))])
+    arrow = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("digest", pa.int64()), ("blocks", pa.list_(block)), ("subtrees", pa.list_(pa.int64()))])
 
     def run(batches):
         from pyspark import TaskContext
@@ -274,11 +276,11 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
                         joined[-1]["text"] += "\n" + t
                     else:
                         joined.append({"text": t, "path": path, "rare": rare})
-                rows.append({"row": f"{task}-{count}", "page_id": page_id, "url": url, "host": host(url), "digest": digest, "blocks": joined, "subtrees": subtrees})
+                rows.append({"row": task << 33 | count, "page_id": page_id, "url": url, "host": host(url), "digest": digest, "blocks": joined, "subtrees": subtrees})
                 count += 1
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    read = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, schema), "pages")
+    read = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, schema), "pages", "zstd")
     # each main text counts once for a host, however many pages have it
     seen = read.select("host", "digest", F.explode("subtrees").alias("subtree")).distinct()
     often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(least_pages, known_pages))
@@ -288,7 +290,15 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     judged = salted(often, sizes, ["host"]).select("host", "subtree", template.alias("gone"))
     mine = read.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("subtree"))
     found = salted(mine, judged, ["host", "subtree"]).groupBy("row").agg(F.collect_set(F.when(F.col("gone"), F.col("subtree"))).alias("gone"), F.collect_set("subtree").alias("known"))
+    # which blocks stay is worked out without texts; most pages keep just the blocks that no subtree could take away
     none = F.array().cast("array<long>")
-    fate = read.select("row", "page_id", "url", "blocks").join(found, "row", "left").withColumns({"gone": F.coalesce("gone", none), "known": F.coalesce("known", none)})
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("gone")) & (F.size(F.array_except(b["rare"], F.col("known"))) == 0))
-    return fate.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    places = read.select("row", F.col("blocks.path").alias("paths"), F.col("blocks.rare").alias("rares")).where(F.exists("paths", lambda p: F.size(p) > 0))
+    fate = places.join(found, "row", "left").withColumns({"gone": F.coalesce("gone", none), "known": F.coalesce("known", none)})
+    stays = F.zip_with("paths", "rares", lambda p, r: ~F.arrays_overlap(p, F.col("gone")) & (F.size(F.array_except(r, F.col("known"))) == 0))
+    fate = fate.select("row", "paths", stays.alias("stays"))
+    more = stored(fate.where(F.exists(F.zip_with("paths", "stays", lambda p, k: k & (F.size(p) > 0)), lambda x: x)).select("row", "stays"), "stays")
+    size = more.agg(F.coalesce(F.sum(F.size("stays") + 16), F.lit(0))).first()[0]
+    out = read.select("row", "page_id", "url", "blocks").join(F.broadcast(more) if size <= SENT else more, "row", "left")
+    sure = F.filter("blocks", lambda b: F.size(b["path"]) == 0)
+    kept = F.when(F.col("stays").isNull(), sure).otherwise(F.filter("blocks", lambda b, i: F.col("stays")[i]))
+    return out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
