@@ -61,10 +61,62 @@ def test_imatch(docs, none):
     assert [r.near_next for r in imatch.fingerprints(one, 0.01, 1.0).collect()] == [1.0, 1.0]
 
 
-def test_imatch_lexicon_is_bounded(docs):
-    full = imatch.lexicon(docs, 0.01, 0.5)
-    few = imatch.lexicon(docs, 0.01, 0.5, limit=10)
-    assert 0 < len(few) <= 10 < len(full) and set(few) <= set(full)
+@pytest.mark.parametrize("limit, bucket", [(imatch.BLOCK_BYTES, 4000), (imatch.BLOCK_BYTES, 30), (4000, 4000), (4000, 30)])
+def test_imatch_is_brute_force(docs, limit, bucket):
+    """Fingerprints and likeness worked out anew, with a lexicon of one block and of several, and one bucket of ids and several."""
+    import xxhash
+
+    texts = {i: t or "" for i, t in TEXTS}
+    cut = lambda t: set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode().lower()))
+    counts = {}
+    for t in texts.values():
+        for x in cut(t):
+            counts[x] = counts.get(x, 0) + 1
+    words = {x for x, n in counts.items() if max(2, 0.02 * len(texts)) <= n <= max(2, 0.4 * len(texts))}
+    _, blocks = imatch.lexicon(docs, 0.02, 0.4, limit)
+    assert (blocks > 1) == (limit == 4000) and len(words) > 20
+    full, mask = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def fingerprint(t):
+        kept = sorted(cut(t) & words) or sorted(cut(t)) or [b"\0" + t.encode()]
+        out = [f"{xxhash.xxh3_64_intdigest(b' '.join(kept)):016x}"]
+        for k in range(imatch.SCALES * imatch.EACH):
+            total, some = 0, False
+            for h in map(xxhash.xxh3_64_intdigest, kept):
+                draw = (h ^ k * mask & full) * 0xBF58476D1CE4E5B9 & full
+                draw = (draw ^ draw >> 29) * 0x94D049BB133111EB & full
+                if draw < 1 << 63 - k // imatch.EACH:
+                    total, some = total + (h ^ h >> 32) * 0xD6E8FEB86659FD93 & full, True
+            out.append(f"{((total ^ total >> 31) * mask & full) >> 48:04x}" if some else "")
+        return out
+
+    def like(x, y):
+        if x == y:
+            return 1.0
+        shares, pairs = [], [(a, b) for a, b in zip(x[1:], y[1:])]
+        for k in range(0, len(pairs), imatch.EACH):
+            told = [a == b for a, b in pairs[k : k + imatch.EACH] if a or b]
+            if len(told) >= imatch.EACH // 3:
+                shares.append(sum(told) / len(told))
+        told = [a == b for a, b in pairs if a or b]
+        return max(shares) if shares else sum(told) / len(told) if told else 0.0
+
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, 0.02, 0.4, limit, bucket).collect()}
+    order = sorted(texts, reverse=True)
+    own = {i: fingerprint(texts[i]) for i in order}
+    assert set(got) == set(order)
+    for i, nxt in zip(order, order[1:] + order[:1], strict=True):
+        t, half = texts[i], len(texts[i]) // 2
+        other = fingerprint(t[: len(t) - half] + texts[nxt][:half])
+        assert got[i].fingerprint == "-".join(own[i]) and got[i].edited_fingerprint == "-".join(other)
+        assert got[i].near_edited == pytest.approx(like(own[i], other)) and got[i].near_next == pytest.approx(like(own[i], own[nxt]))
+
+
+def test_imatch_blocks_of_repeated_rows_and_none(docs, none):
+    twice = docs.union(docs).withColumn("doc_id", F.expr("nullif(doc_id, 903)"))
+    key = lambda df: sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.edited_sha256, r.fingerprint, r.near_next))
+    assert key(imatch.fingerprints(twice, 0.02, 0.4, 4000, 30)) == key(imatch.fingerprints(twice, 0.02, 0.4, bucket=30))
+    assert imatch.fingerprints(none, limit=1).count() == 0
 
 
 def test_token_cache(spark, docs, none, tmp_path):
