@@ -24,7 +24,7 @@ def rows(found, columns):
     return sorted(tuple(cell(r[i]) for i in order) for r in found)
 
 
-@pytest.mark.parametrize("name", ["trade_buckets", "features", "residualize_k2", "composites", "pairwise_corr", "block_index", "pending_anti", "upsert", "book_topk", "stream_audit", "bh_fdr", "futures_last", "venue_panels", "collection_state"])
+@pytest.mark.parametrize("name", ["trade_buckets", "features", "residualize_k2", "composites", "pairwise_corr", "block_index", "pending_anti", "upsert", "book_topk", "stream_audit", "bh_fdr", "futures_last", "venue_panels", "collection_state", "cross_bootstrap"])
 def test_sql_twin(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     got = duck.execute(ORACLE[name])

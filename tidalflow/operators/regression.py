@@ -109,9 +109,15 @@ def half_betas(design: DataFrame, order: str = "bucket_start") -> DataFrame:
     return design.crossJoin(F.broadcast(bounds)).groupBy(half.alias("half")).agg(*moments(F.col("x1"), F.col("x2"), F.col("y"))).withColumns(slopes()).select("half", F.col("beta1").alias("beta"))
 
 
-def day_bootstrap(design: DataFrame, draws: DataFrame, order: str = "bucket_start") -> DataFrame:
-    """draw, beta of resampled days: ``draws`` (draw, day_index, times) meets one row of sums a day, not the observations."""
-    days = design.groupBy(F.to_date(order).alias("day")).agg(*moments(F.col("x1"), F.col("x2"), F.col("y")))
-    days = days.withColumn("day_index", F.row_number().over(Window.orderBy("day")) - 1)
+def shared_days(one: DataFrame, two: DataFrame, order: str = "bucket_start") -> DataFrame:
+    """day, day_index: the days that both designs have, numbered from 0, so that one draw means the same days in either."""
+    days = one.select(F.to_date(order).alias("day")).intersect(two.select(F.to_date(order).alias("day")))
+    return days.withColumn("day_index", F.row_number().over(Window.orderBy("day")) - 1)  # a row a day
+
+
+def day_bootstrap(design: DataFrame, draws: DataFrame, order: str = "bucket_start", days: DataFrame | None = None) -> DataFrame:
+    """draw, beta of resampled days: ``draws`` (draw, day_index, times) meets one row of sums a day, not the observations. ``days`` (day, day_index) numbers the days; without it, those of the design are numbered in turn."""
+    sums = design.groupBy(F.to_date(order).alias("day")).agg(*moments(F.col("x1"), F.col("x2"), F.col("y")))
+    sums = sums.withColumn("day_index", F.row_number().over(Window.orderBy("day")) - 1) if days is None else sums.join(F.broadcast(days), "day")
     names = ["n", "s1", "s2", "sy", "s11", "s22", "s12", "s1y", "s2y"]
-    return days.join(F.broadcast(draws), "day_index").groupBy("draw").agg(*(F.sum(F.col(k) * F.col("times")).alias(k) for k in names)).withColumns(slopes()).select("draw", F.col("beta1").alias("beta"))
+    return sums.join(F.broadcast(draws), "day_index").groupBy("draw").agg(*(F.sum(F.col(k) * F.col("times")).alias(k) for k in names)).withColumns(slopes()).select("draw", F.col("beta1").alias("beta"))

@@ -696,6 +696,49 @@ def cross_null_summary(spark, root):
     return synchronization.null_summary(_EXACT["cross_null_fixed"](spark, root), "mean_same_asset_correlation", seen)
 
 
+@query(
+    f"""WITH v AS (SELECT *, hour(bucket_start) // 6 AS slot, datediff('day', DATE '2024-01-16', bucket_start::DATE) AS day FROM venues WHERE sample_split = 'oos'),
+  m AS (SELECT draw, bucket_start, avg(r) AS m FROM ({_MOVED_VENUE}) GROUP BY 1, 2),
+  own AS (SELECT regr_slope(second_flow, m) AS b, regr_intercept(second_flow, m) AS a FROM (SELECT bucket_start, avg(flow) AS m FROM v WHERE venue = 'second' GROUP BY 1) JOIN common USING (bucket_start))
+  SELECT draw::BIGINT AS draw, avg((sign(first_flow) = sign(a + b * m))::INT) AS concordance, count(*) AS event_count FROM m JOIN common USING (bucket_start), own, {_EDGES} WHERE abs(first_flow) > e1 OR abs(a + b * m) > e2 GROUP BY 1""",
+    "venues",
+    "common",
+    f="concordance",
+)
+def cross_null_concordance(spark, root):
+    """Concordance of extreme common flows where the second venue is moved as a whole and brought back to its own scale."""
+    v = synchronization.blocks(_venues(spark, root).where("sample_split = 'oos'"), SLOTS, "month")
+    draws = v.select("block").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("offset", (3 + F.col("draw") * 7 % 10).cast("int"))
+    second = v.where("venue = 'second'")
+    found = synchronization.concordance_null(synchronization.shifted(second, draws, "flow"), second, _edged(spark, root), "flow", "first_flow", "second_flow", F.col("e1"), F.col("e2"))
+    return found.withColumn("draw", F.col("draw").cast("long"))
+
+
+def _cross_design(spark, root, source, target):
+    return regression.lead_design(_common(spark, root).where("sample_split = 'oos'"), source, target, 1, True)
+
+
+_CROSS = """SELECT * FROM (SELECT bucket_start, {t} AS x2, {s} AS x1, lead({t}) OVER (ORDER BY bucket_start) AS y, lead(bucket_start) OVER (ORDER BY bucket_start) AS t FROM common WHERE sample_split = 'oos') WHERE y IS NOT NULL AND bucket_start::DATE = t::DATE AND {where}"""
+
+
+@query(
+    f"""WITH one AS ({_CROSS.format(s="first_flow", t="second_flow", where="day(bucket_start) <> 20")}), two AS ({_CROSS.format(s="second_flow", t="first_flow", where="day(bucket_start) <> 23")}),
+  days AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT bucket_start::DATE AS d FROM one INTERSECT SELECT bucket_start::DATE FROM two)), g AS ({_DRAWN.replace("15", "13")}),
+  a AS (SELECT draw, {_BETA} AS a FROM (SELECT g.draw, y, x1, x2 FROM one JOIN days ON days.d = one.bucket_start::DATE JOIN g ON g.day_index = days.i, range(g.times)) GROUP BY 1),
+  b AS (SELECT draw, {_BETA} AS b FROM (SELECT g.draw, y, x1, x2 FROM two JOIN days ON days.d = two.bucket_start::DATE JOIN g ON g.day_index = days.i, range(g.times)) GROUP BY 1)
+  SELECT draw, a AS beta_first_to_second, b AS beta_second_to_first, a - b AS difference FROM a JOIN b USING (draw)""",
+    "common",
+    f="beta_first_to_second beta_second_to_first difference",
+)
+def cross_bootstrap(spark, root):
+    """Both directions between venues over the same resampled days; each side lacks one day here, so that 13 are shared."""
+    one = _cross_design(spark, root, "first_flow", "second_flow").where(F.dayofmonth("bucket_start") != 20)
+    two = _cross_design(spark, root, "second_flow", "first_flow").where(F.dayofmonth("bucket_start") != 23)
+    days, drawn = regression.shared_days(one, two), _drawn(spark, 13)
+    a, b = (regression.day_bootstrap(x, drawn, days=days).withColumnRenamed("beta", n) for x, n in ((one, "beta_first_to_second"), (two, "beta_second_to_first")))
+    return a.join(b, "draw").withColumn("difference", F.col("beta_first_to_second") - F.col("beta_second_to_first"))
+
+
 # --- futures -----------------------------------------------------------------------------------------------------------
 
 

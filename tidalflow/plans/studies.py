@@ -76,12 +76,12 @@ def lead_lag(flows: DataFrame, directions: Mapping[str, tuple[str, str]], horizo
 
 
 def bootstrap_difference(flows: DataFrame, first: tuple[str, str], second: tuple[str, str], steps: int, draws: int, rng: np.random.Generator, same_day: bool) -> pd.DataFrame:
-    """draw, difference of the two directions' betas over the same resampled days."""
+    """draw, difference of the two directions' betas over the same resampled days, drawn from those that both have."""
     oos = flows.where("sample_split = 'oos'")
     one, two = (regression.lead_design(oos, *x, steps, same_day) for x in (first, second))
-    days = one.select(F.to_date("bucket_start").alias("d")).distinct().count()
-    drawn = numbers.day_draws(flows.sparkSession, days, draws, rng)
-    a, b = (regression.day_bootstrap(x, drawn).withColumnRenamed("beta", name) for x, name in ((one, "a"), (two, "b")))
+    days = regression.shared_days(one, two)
+    drawn = numbers.day_draws(flows.sparkSession, days.count(), draws, rng)
+    a, b = (regression.day_bootstrap(x, drawn, days=days).withColumnRenamed("beta", name) for x, name in ((one, "a"), (two, "b")))
     return a.join(b, "draw").select("draw", (F.col("a") - F.col("b")).alias("difference")).orderBy("draw").toPandas()
 
 
@@ -108,6 +108,37 @@ def synchronisation(panel: DataFrame, slots: int, block: str, symbols: list[str]
     return out
 
 
+def cross_synchronisation(panels: DataFrame, flows: DataFrame, first: str, second: str, slots: int, block: str, quantile: float, draws: int, least_shift: int, seed: int) -> pd.DataFrame:
+    """Agreement of two venues against shifts of the second as a whole: same-asset correlation, and concordance of extreme common flows.
+
+    ``panels``: bucket_start, symbol, venue, flow, sample_split. ``flows``: bucket_start, sample_split, and a common flow of each
+    venue, ``<venue>_flow``, standardised on the development split, whose quantile is the threshold of an extreme.
+    """
+    v = synchronization.blocks(panels.where("sample_split = 'oos'"), slots, block)
+    sizes = [(r["block"], r["days"]) for r in v.select("block", "days").distinct().collect()]
+    offsets = numbers.shift_draws(panels.sparkSession, sizes, None, draws, least_shift, seed)
+    one, two = (v.where(F.col("venue") == x) for x in (first, second))
+    moved = synchronization.shifted(two, offsets, "flow")
+    left = one.select("bucket_start", "symbol", F.col("flow").alias("l"))
+
+    def same_asset(right, value, *keys):
+        return left.join(right, ["bucket_start", "symbol"]).groupBy(*keys, "symbol").agg(F.corr("l", value).alias("c")).groupBy(*keys).agg(F.avg("c").alias("observed"))
+
+    l, r = f"{first}_flow", f"{second}_flow"
+    dev = flows.where("sample_split = 'development'")
+    e1, e2 = dev.agg(F.percentile(F.abs(l), quantile), F.percentile(F.abs(r), quantile)).first()
+    oos = flows.where("sample_split = 'oos'")
+    met = synchronization.concordance(oos, l, r, F.lit(e1), F.lit(e2))
+    rows = [
+        synchronization.null_summary(same_asset(moved, "shifted", "draw").withColumnRenamed("observed", "v"), "v", same_asset(two.select("bucket_start", "symbol", "flow"), "flow")),
+        synchronization.null_summary(synchronization.concordance_null(moved, two, oos, "flow", l, r, F.lit(e1), F.lit(e2)), "concordance", met.select(F.col("concordance").alias("observed"))),
+    ]
+    out = pd.concat([x.toPandas() for x in rows], ignore_index=True)
+    out.insert(0, "metric", ["mean_same_asset_correlation", "extreme_direction_concordance"])
+    out["event_count"] = [math.nan, met.first()["event_count"]]
+    return out.assign(q_value_bh_fdr=adjusted(out["p_value"]))
+
+
 def provider_comparison(new_sync: DataFrame, new_lead: DataFrame, old_sync: DataFrame, old_lead: DataFrame) -> DataFrame:
     """family, metric, old_estimate, new_estimate, ratio (of synchronisation metrics only)."""
     def both(family, new, old, value, ratio):
