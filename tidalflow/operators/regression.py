@@ -7,21 +7,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def moments(x1: Column, x2: Column, y: Column, weight: Column | None = None) -> list[Column]:
-    """Sums that determine the regression of y on 1, x1, x2; they add up over any grouping."""
-    w = F.lit(1.0) if weight is None else weight
-    terms = {"n": F.lit(1.0), "s1": x1, "s2": x2, "sy": y, "s11": x1 * x1, "s22": x2 * x2, "s12": x1 * x2, "s1y": x1 * y, "s2y": x2 * y}
-    return [F.sum(w * v).alias(k) for k, v in terms.items()]
+#: The second moments that a regression on two terms needs.
+_PAIRS = {"c11": ("x1", "x1"), "c22": ("x2", "x2"), "c12": ("x1", "x2"), "c1y": ("x1", "y"), "c2y": ("x2", "y")}
+
+
+def moments(x1: Column, x2: Column, y: Column) -> list[Column]:
+    """Rows, means and centred sums of products that determine the regression of y on 1, x1, x2.
+
+    Centred as they are gathered, so that a large mean costs no digits. Rows with a missing value must be out already.
+    """
+    of = {"x1": x1, "x2": x2, "y": y}
+    n = F.count("*").cast("double")
+    return [n.alias("n"), *(F.avg(v).alias(f"mean_{k}") for k, v in of.items()), *((F.covar_pop(of[a], of[b]) * n).alias(k) for k, (a, b) in _PAIRS.items())]
 
 
 def slopes() -> dict[str, Column]:
     """beta1, beta2, alpha from the columns of ``moments``; null where the design has no full rank."""
     c = F.col
-    v = lambda a, b, ab: c(ab) - c(a) * c(b) / c("n")
-    v11, v22, v12, v1y, v2y = v("s1", "s1", "s11"), v("s2", "s2", "s22"), v("s1", "s2", "s12"), v("s1", "sy", "s1y"), v("s2", "sy", "s2y")
-    det = v11 * v22 - v12 * v12
-    b1, b2 = F.try_divide(v1y * v22 - v2y * v12, det), F.try_divide(v2y * v11 - v1y * v12, det)
-    return {"beta1": b1, "beta2": b2, "alpha": (c("sy") - b1 * c("s1") - b2 * c("s2")) / c("n")}
+    det = c("c11") * c("c22") - c("c12") * c("c12")
+    b1, b2 = F.try_divide(c("c1y") * c("c22") - c("c2y") * c("c12"), det), F.try_divide(c("c2y") * c("c11") - c("c1y") * c("c12"), det)
+    return {"beta1": b1, "beta2": b2, "alpha": c("mean_y") - b1 * c("mean_x1") - b2 * c("mean_x2")}
 
 
 def standardised(df: DataFrame, value: str, name: str, by: list[str], where: Column) -> DataFrame:
@@ -65,6 +70,22 @@ def residualized(features: DataFrame, y: str, terms: list[Column]) -> tuple[Data
     return standardised(done.drop("_x", "_beta"), "residual", "residual_z", ["symbol"], dev), fit.select("symbol", F.posexplode("_beta").alias("term", "coefficient"))
 
 
+def diagnostics(rows: DataFrame, y: str) -> DataFrame:
+    """How the fit of each symbol went: rows of either split, R squared, center and scale of the development residuals, mean and deviation of the scores out of sample."""
+    dev, oos = F.col("sample_split") == "development", F.col("sample_split") == "oos"
+    within = lambda split, c: F.when(split, F.col(c))
+    total = F.var_pop(within(dev, y)) * F.count_if(dev)
+    return rows.groupBy("symbol").agg(
+        F.count_if(dev).alias("development_rows"),
+        F.count_if(oos).alias("oos_rows"),
+        (1 - F.try_divide(F.sum(within(dev, "residual") * within(dev, "residual")), total)).alias("development_r_squared"),
+        F.avg(within(dev, "residual")).alias("development_residual_center"),
+        F.stddev_samp(within(dev, "residual")).alias("development_residual_scale"),
+        F.avg(within(oos, "residual_z")).alias("oos_residual_z_mean"),
+        F.stddev_samp(within(oos, "residual_z")).alias("oos_residual_z_std"),
+    )
+
+
 def hac(df: DataFrame, y: str, x1: str, x2: str, order: str, lags: int, by: list[str] | None = None) -> DataFrame:
     """n, beta, se, t of x1 (and group columns): Bartlett-weighted covariance over ``lags`` positions in ``order``.
 
@@ -86,8 +107,9 @@ def hac(df: DataFrame, y: str, x1: str, x2: str, order: str, lags: int, by: list
     both = fit.join(meat, by) if by else fit.crossJoin(meat)
     c = F.col
     # the row of the inverse Gram matrix that belongs to x1
-    a = c("n") * (c("s11") * c("s22") - c("s12") * c("s12")) - c("s1") * (c("s1") * c("s22") - c("s12") * c("s2")) + c("s2") * (c("s1") * c("s12") - c("s11") * c("s2"))
-    r = [(c("s12") * c("s2") - c("s1") * c("s22")) / a, (c("n") * c("s22") - c("s2") * c("s2")) / a, (c("s1") * c("s2") - c("n") * c("s12")) / a]
+    det = c("c11") * c("c22") - c("c12") * c("c12")
+    r1, r2 = c("c22") / det, -c("c12") / det
+    r = [-(r1 * c("mean_x1") + r2 * c("mean_x2")), r1, r2]
     m = lambda i, j: c(f"m{min(i, j)}{max(i, j)}")
     var = sum(r[i] * r[j] * m(i, j) for i in range(3) for j in range(3))
     return both.select(*by, c("n").cast("long").alias("n"), c("beta1").alias("beta"), F.sqrt(var).alias("se")).withColumn("t", F.try_divide("beta", "se"))
@@ -101,12 +123,21 @@ def lead_design(flows: DataFrame, source: str, target: str, steps: int, same_day
     return out.drop("_to")
 
 
+def halved(design: DataFrame, order: str = "bucket_start") -> DataFrame:
+    """``design`` with half: 1 up to the midpoint of time (itself included), 2 after it."""
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    bounds = design.agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    return design.crossJoin(F.broadcast(bounds)).withColumn("half", F.when(2 * at <= F.col("_a") + F.col("_b"), 1).otherwise(2)).drop("_a", "_b")
+
+
 def half_betas(design: DataFrame, order: str = "bucket_start") -> DataFrame:
-    """half (1, 2), beta: fits before and after the midpoint of time (the midpoint itself is in the first)."""
-    seconds = F.unix_micros(F.col(order).cast("timestamp"))
-    bounds = design.agg(F.min(seconds).alias("_a"), F.max(seconds).alias("_b"))
-    half = F.when(2 * seconds <= F.col("_a") + F.col("_b"), 1).otherwise(2)
-    return design.crossJoin(F.broadcast(bounds)).groupBy(half.alias("half")).agg(*moments(F.col("x1"), F.col("x2"), F.col("y"))).withColumns(slopes()).select("half", F.col("beta1").alias("beta"))
+    """half (1, 2), beta."""
+    return halved(design, order).groupBy("half").agg(*moments(F.col("x1"), F.col("x2"), F.col("y"))).withColumns(slopes()).select("half", F.col("beta1").alias("beta"))
+
+
+def half_fits(design: DataFrame, lags: int, order: str = "bucket_start") -> DataFrame:
+    """half, n, beta, se, t: each half with errors of its own."""
+    return hac(halved(design, order), "y", "x1", "x2", order, lags, ["half"])
 
 
 def shared_days(one: DataFrame, two: DataFrame, order: str = "bucket_start") -> DataFrame:
@@ -116,8 +147,15 @@ def shared_days(one: DataFrame, two: DataFrame, order: str = "bucket_start") ->
 
 
 def day_bootstrap(design: DataFrame, draws: DataFrame, order: str = "bucket_start", days: DataFrame | None = None) -> DataFrame:
-    """draw, beta of resampled days: ``draws`` (draw, day_index, times) meets one row of sums a day, not the observations. ``days`` (day, day_index) numbers the days; without it, those of the design are numbered in turn."""
-    sums = design.groupBy(F.to_date(order).alias("day")).agg(*moments(F.col("x1"), F.col("x2"), F.col("y")))
+    """draw, beta of resampled days: ``draws`` (draw, day_index, times) meets one row of moments a day, not the observations. ``days`` (day, day_index) numbers the days; without it, those of the design are numbered in turn."""
+    names = ("x1", "x2", "y")
+    center = design.agg(*(F.avg(v).alias(f"_{v}") for v in names))  # a shift of all days moves no slope, and keeps the sums small
+    moved = design.crossJoin(F.broadcast(center)).select(F.to_date(order).alias("day"), *((F.col(v) - F.col(f"_{v}")).alias(v) for v in names))
+    sums = moved.groupBy("day").agg(*moments(*map(F.col, names)))
     sums = sums.withColumn("day_index", F.row_number().over(Window.orderBy("day")) - 1) if days is None else sums.join(F.broadcast(days), "day")
-    names = ["n", "s1", "s2", "sy", "s11", "s22", "s12", "s1y", "s2y"]
-    return sums.join(F.broadcast(draws), "day_index").groupBy("draw").agg(*(F.sum(F.col(k) * F.col("times")).alias(k) for k in names)).withColumns(slopes()).select("draw", F.col("beta1").alias("beta"))
+    whole = {k: F.col(k) + F.col("n") * F.col(f"mean_{a}") * F.col(f"mean_{b}") for k, (a, b) in _PAIRS.items()}
+    drawn = sums.join(F.broadcast(draws), "day_index").groupBy("draw").agg(
+        F.sum(F.col("n") * F.col("times")).alias("n"), *(F.sum(F.col("n") * F.col(f"mean_{v}") * F.col("times")).alias(f"s_{v}") for v in names), *(F.sum(v * F.col("times")).alias(k) for k, v in whole.items())
+    )
+    drawn = drawn.withColumns({f"mean_{v}": F.col(f"s_{v}") / F.col("n") for v in names})
+    return drawn.withColumns({k: F.col(k) - F.col("n") * F.col(f"mean_{a}") * F.col(f"mean_{b}") for k, (a, b) in _PAIRS.items()}).withColumns(slopes()).select("draw", F.col("beta1").alias("beta"))

@@ -114,8 +114,9 @@ def _messages(spark, root):
 
 
 def _sampled(spark, root):
-    e = book.epochs(_messages(spark, root))
-    return e, book.samples(e, 6 * 3600)
+    day = F.to_date("ts")  # books are ordered by time here, so days are parts of that order
+    e = book.epochs(_messages(spark, root), day)
+    return e, book.samples(e, 6 * 3600, day)
 
 
 def _minutes(spark, root):
@@ -313,7 +314,9 @@ def except_keys(spark, root):
 
 @query("SELECT date, symbol FROM jobs ANTI JOIN (SELECT * FROM progress WHERE status IN ('complete', 'unavailable')) USING (date, symbol)", "jobs", "progress")
 def pending_anti(spark, root):
-    return _jobs(spark).join(_progress(spark, root).where(F.col("status").isin("complete", "unavailable")), ["date", "symbol"], "left_anti")
+    from ..operators import collection
+
+    return collection.pending(_jobs(spark), _progress(spark, root))
 
 
 @query("SELECT date, symbol FROM (SELECT * FROM jobs ANTI JOIN (SELECT * FROM progress WHERE status IN ('complete', 'unavailable')) USING (date, symbol)) ORDER BY date, symbol LIMIT 25", "jobs", "progress")
@@ -326,7 +329,9 @@ def pending_limit(spark, root):
 def upsert(spark, root):
     old = _progress(spark, root).select("date", "symbol", "status")
     new = old.where("symbol = 'A0'").withColumn("status", F.lit("complete")).distinct()
-    return old.join(new, ["date", "symbol"], "left_anti").unionByName(new)
+    from ..operators import collection
+
+    return collection.upserted(old, new)
 
 
 @query("SELECT b.date, symbol, n FROM (SELECT bucket_start::DATE AS date, symbol, count(*) AS n FROM buckets GROUP BY 1, 2) b SEMI JOIN (SELECT * FROM progress WHERE quality_passed) USING (date, symbol)", "buckets", "progress")
@@ -402,13 +407,17 @@ def value_counts_share(spark, root):
 
 
 @query(
-    """SELECT design, days, gb FROM (SELECT avg(mb) AS a, median(mb) AS m FROM (SELECT ts::DATE AS d, sum(value) AS mb FROM events GROUP BY 1)),
-  LATERAL (VALUES ('day', 1, a / 1000), ('window', 180, a * 180 / 1000), ('history', 730, a * 730 / 1000), ('median_day', 1, m / 1000)) v(design, days, gb)""",
-    f="gb",
+    """SELECT design, days, gb AS estimated_compressed_gb FROM (SELECT avg(mb) AS a, median(mb) AS m FROM (SELECT ts::DATE AS d, sum(value) AS mb FROM events WHERE event_type <> 'error' AND event_id % 10 <> 3 GROUP BY 1)),
+  LATERAL (VALUES ('sampled_catalog_day', 1, a / 1000), ('bounded_confirmatory_window', 180, a * 180 / 1000), ('full_two_year_window', 730, a * 730 / 1000), ('sampled_catalog_day_median', 1, m / 1000)) v(design, days, gb)""",
+    f="estimated_compressed_gb",
 )
 def resource_estimate(spark, root):
-    daily = _events(spark, root, "ts", "value").groupBy(F.to_date("ts").alias("d")).agg(F.sum("value").alias("mb")).agg(F.avg("mb").alias("a"), F.median("mb").alias("m"))
-    return daily.selectExpr("stack(4, 'day', 1, a / 1000, 'window', 180, a * 180 / 1000, 'history', 730, a * 730 / 1000, 'median_day', 1, m / 1000) AS (design, days, gb)")
+    """Events as a catalogue: errors are files that aren't there, and every tenth has no known size."""
+    from ..operators import collection
+
+    e = _events(spark, root, "ts", "value", "event_type", "event_id")
+    catalog = e.select(F.to_date("ts").alias("date"), (F.col("event_type") != "error").alias("available"), F.when(F.col("event_id") % 10 != 3, F.col("value")).alias("size_mb"))
+    return collection.resources(catalog, 180, 730)
 
 
 @query("SELECT bucket_start, sample_split, major_flow, alt_flow, five_flow FROM flows", "flows", f="major_flow alt_flow five_flow")
@@ -513,9 +522,10 @@ def depth_depletion(spark, root):
     return panel.log_change(book.liquidity(_minutes(spark, root), "1 day"), "top10_depth_quote", "depletion", -1).select("bucket_start", "symbol", "depletion")
 
 
-@query("SELECT symbol, count(*) AS violations FROM (SELECT symbol, trade_id, lag(trade_id) OVER (PARTITION BY symbol ORDER BY ts, trade_id) AS before FROM trades) WHERE trade_id <= before GROUP BY 1", "trades")
+@query("SELECT symbol, count(*) AS violations FROM (SELECT symbol, trade_id, lag(trade_id) OVER (PARTITION BY symbol, ts::DATE ORDER BY size, trade_id) AS before FROM trades) WHERE trade_id <= before GROUP BY 1", "trades")
 def id_order_violations(spark, root):
-    before = F.lag("trade_id").over(Window.partitionBy("symbol").orderBy("ts", "trade_id"))
+    """Ids that fall, along an order that isn't theirs (size, within a day as within a file), so that there are some."""
+    before = F.lag("trade_id").over(Window.partitionBy("symbol", F.to_date("ts")).orderBy("size", "trade_id"))
     return _trades(spark, root).withColumn("before", before).where("trade_id <= before").groupBy("symbol").agg(F.count("*").alias("violations"))
 
 
@@ -627,6 +637,21 @@ def hac_ols(spark, root):
     return regression.hac(_design(spark, root), "y", "x1", "x2", "bucket_start", 4)
 
 
+@query(
+    f"""WITH h AS (SELECT *, CASE WHEN 2 * epoch_us(bucket_start) <= (SELECT min(epoch_us(bucket_start)) + max(epoch_us(bucket_start)) FROM design) THEN 1 ELSE 2 END AS half FROM design),
+  f AS (SELECT half, count(*) AS n, {_BETA} AS b1, (covar_pop(x2, y) * var_pop(x1) - covar_pop(x1, y) * covar_pop(x1, x2)) / (var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ** 2) AS b2, avg(y) - b1 * avg(x1) - b2 * avg(x2) AS b0,
+  avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12 FROM h GROUP BY half),
+  q AS (SELECT half, s22 / (s11 * s22 - s12 ** 2) AS r1, -s12 / (s11 * s22 - s12 ** 2) AS r2, -(r1 * m1 + r2 * m2) AS r0 FROM f),
+  e AS (SELECT half, (y - b0 - b1 * x1 - b2 * x2) * (r0 + r1 * x1 + r2 * x2) AS u, row_number() OVER (PARTITION BY half ORDER BY bucket_start) AS r FROM h JOIN f USING (half) JOIN q USING (half)),
+  v AS (SELECT p.half, sum(CASE WHEN l = 0 THEN 1 ELSE 2 * (1 - l / 5.0) END * p.u * o.u) AS v FROM e p, e o, range(5) t(l) WHERE o.half = p.half AND o.r = p.r - l GROUP BY 1)
+  SELECT half, n, b1 AS beta, sqrt(v) AS se, b1 / sqrt(v) AS t FROM f JOIN v USING (half)""",
+    "design",
+    f="beta se t",
+)
+def half_hac(spark, root):
+    return regression.half_fits(_design(spark, root), 4)
+
+
 _DRAWN = "SELECT d AS draw, (d * 13 + k * 7 + k * k * d) % n AS day_index, count(*) AS times FROM range(1, 21) t(d), range(15) u(k), (SELECT 15 AS n) GROUP BY 1, 2"
 
 
@@ -787,7 +812,7 @@ def book_levels(spark, root):
 
 @query("SELECT symbol, ts, event_id, epoch FROM epochs", "epochs")
 def book_epoch(spark, root):
-    return book.epochs(_messages(spark, root)).select("symbol", "ts", F.col("seq.event_id").alias("event_id"), "epoch")
+    return book.epochs(_messages(spark, root), F.to_date("ts")).select("symbol", "ts", F.col("seq.event_id").alias("event_id"), "epoch")
 
 
 @query("SELECT symbol, sample_ts, at_id AS event_id FROM sampled", "sampled")
@@ -801,7 +826,7 @@ def book_asof(spark, root):
     return book.as_of(e, s)
 
 
-_TOP = "spread_bps depth_1 imbalance_1 depth_5 imbalance_5 depth_10 imbalance_10"
+_TOP = "spread_bps " + " ".join(f"ask_depth_{k} bid_depth_{k} depth_{k} imbalance_{k}" for k in (1, 5, 10))
 
 
 @query(f"SELECT symbol, sample_ts, empty, crossed, best_bid, best_ask, CASE WHEN ask_levels + bid_levels > 0 THEN ask_levels END AS ask_levels, CASE WHEN ask_levels + bid_levels > 0 THEN bid_levels END AS bid_levels, {', '.join(_TOP.split())} FROM minutes", "minutes", f=_TOP)
@@ -829,14 +854,22 @@ def book_features(spark, root):
     "msgs",
 )
 def stream_audit(spark, root):
-    return book.audit(_messages(spark, root))
+    return book.audit(_messages(spark, root), F.to_date("ts"))
 
 
-@query("SELECT 'synchronization' AS family, symbol AS metric, a / b AS ratio FROM (SELECT symbol, stddev_samp(flow) FILTER (venue = 'first') AS b, stddev_samp(flow) FILTER (venue = 'second') AS a FROM venues GROUP BY 1) UNION ALL SELECT 'lead_lag', direction, NULL FROM (SELECT DISTINCT direction FROM both_designs)", "venues", "both_designs", f="ratio")
+@query(
+    f"""SELECT 'synchronization' AS family, symbol AS metric, b AS old_estimate, a AS new_estimate, a / b AS ratio FROM (SELECT symbol, stddev_samp(flow) FILTER (venue = 'first') AS b, stddev_samp(flow) FILTER (venue = 'second') AS a FROM venues GROUP BY 1)
+  UNION ALL SELECT 'lead_lag', direction, b, a, NULL FROM (SELECT direction, {_BETA} AS b FROM both_designs GROUP BY 1) JOIN (SELECT direction, {_BETA} AS a FROM both_designs WHERE bucket_start >= TIMESTAMP '2024-01-20' GROUP BY 1) USING (direction)""",
+    "venues",
+    "both_designs",
+    f="old_estimate new_estimate ratio",
+)
 def provider_comparison(spark, root):
+    """Second venue against first, and the betas of the later days against those of all."""
     from . import studies
 
     v = _venues(spark, root)
     side = lambda name: v.where(F.col("venue") == name).groupBy(F.col("symbol").alias("metric")).agg(F.stddev_samp("flow").alias("observed"))
-    lead = _both(spark, root).select("direction").distinct().select(F.col("direction").alias("metric"), F.lit(1.0).alias("standardized_beta"))
-    return studies.provider_comparison(side("second"), lead, side("first"), lead).select("family", "metric", "ratio")
+    betas = lambda d: d.groupBy(F.col("direction").alias("metric")).agg(*regression.moments(F.col("x1"), F.col("x2"), F.col("y"))).withColumns(regression.slopes()).withColumnRenamed("beta1", "standardized_beta")
+    both = _both(spark, root)
+    return studies.provider_comparison(side("second"), betas(both.where(F.col("bucket_start") >= F.lit("2024-01-20").cast("timestamp_ntz"))), side("first"), betas(both))

@@ -104,6 +104,7 @@ PIECES: dict[str, tuple[tuple[str, ...], str]] = {
     "minutes": (
         ("tops",),
         """SELECT symbol, sample_ts, empty, NOT empty AND best_bid >= best_ask AS crossed, best_bid, best_ask, ask_levels, bid_levels, CASE WHEN NOT empty THEN (best_ask - best_bid) / ((best_ask + best_bid) / 2) * 10000 END AS spread_bps,
+  CASE WHEN NOT empty THEN a1 END AS ask_depth_1, CASE WHEN NOT empty THEN b1 END AS bid_depth_1, CASE WHEN NOT empty THEN a5 END AS ask_depth_5, CASE WHEN NOT empty THEN b5 END AS bid_depth_5, CASE WHEN NOT empty THEN a10 END AS ask_depth_10, CASE WHEN NOT empty THEN b10 END AS bid_depth_10,
   CASE WHEN NOT empty THEN a1 + b1 END AS depth_1, CASE WHEN NOT empty THEN (b1 - a1) / (a1 + b1) END AS imbalance_1, CASE WHEN NOT empty THEN a5 + b5 END AS depth_5, CASE WHEN NOT empty THEN (b5 - a5) / (a5 + b5) END AS imbalance_5,
   CASE WHEN NOT empty THEN a10 + b10 END AS depth_10, CASE WHEN NOT empty THEN (b10 - a10) / (a10 + b10) END AS imbalance_10 FROM tops""",
     ),

@@ -1,14 +1,15 @@
-"""Archives as DataFrames: zipped CSV ticks, tarred JSON lines. Files are read whole by ``binaryFile`` and decoded where they lie."""
+"""Archives as DataFrames: zipped CSV ticks and metrics, tarred JSON lines. Spark lists and deals out the files; a task streams what is in them."""
 
 from __future__ import annotations
 
-import io
 import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.csv
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,28 +34,78 @@ def readable_zip(path: str) -> bool:
         return False
 
 
+def _listed(spark: SparkSession, paths) -> DataFrame:
+    """The files' paths; their content isn't read here, so that none need fit in a row."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path")
+
+
+def _opened(path: str):
+    """A file as a stream that can seek, on whatever file system its address names."""
+    where, name = pyarrow.fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return where.open_input_file(name)
+
+
+def _csv_batches(path: str, types: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The named columns of a zip's only CSV file, block by block; a value of another type is an error."""
+    options = pa.csv.ConvertOptions(column_types=types, include_columns=list(types), null_values=[""], strings_can_be_null=True)
+    with _opened(path) as raw, zipfile.ZipFile(raw) as z, z.open(only_csv(z)) as member:
+        yield from pa.csv.open_csv(member, read_options=pa.csv.ReadOptions(block_size=4 << 20), convert_options=options)
+
+
+def _numbered(path: str, types: dict[str, pa.DataType], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Those batches behind file and seq. With ``whole``, a missing value is an error."""
+    at = 0
+    for batch in _csv_batches(path, types):
+        lacking = [n for n in batch.schema.names if batch.column(n).null_count] if whole else []
+        if lacking:
+            raise ValueError(f"{path}: rows from {at} on lack {', '.join(lacking)}")
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(range(at, at + n), pa.int64()), *batch.columns], names=["file", "seq", *batch.schema.names])
+        at += n
+
+
 def zipped_ticks(spark: SparkSession, *paths: str) -> DataFrame:
-    """Ticks of zipped CSV files, with their file and place in it. Values that don't parse are an error of the task."""
-    import csv
+    """Ticks of zipped CSV files, with their file and place in it. Values that are missing or don't parse are an error of the task."""
+    types = {"instrument_name": pa.string(), "trade_id": pa.int64(), "side": pa.string(), "price": pa.float64(), "size": pa.float64(), "created_time": pa.int64()}
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from _numbered(path, types, whole=True)
+
+    return _listed(spark, paths).mapInArrow(run, TICK)
+
+
+# Fixed names of the metrics files' columns; all but the first two are numbers.
+METRICS = ["create_time", "symbol", "sum_open_interest", "count_toptrader_long_short_ratio", "sum_toptrader_long_short_ratio", "count_long_short_ratio", "sum_taker_long_short_vol_ratio"]
+
+
+def zipped_metrics(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, seq, ts, symbol and figures of zipped futures metrics; other columns aren't read. Figures that don't parse are null, a time that doesn't is an error."""
+    types = {c: pa.string() for c in METRICS}
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kinds = {"trade_id": int, "price": float, "size": float, "created_time": int}
-        types = [("file", pa.string()), ("seq", pa.int64()), ("instrument_name", pa.string()), ("trade_id", pa.int64()), ("side", pa.string()), ("price", pa.float64()), ("size", pa.float64()), ("created_time", pa.int64())]
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(only_csv(z)) as f:
-                    rows: list[dict] = []
-                    for seq, row in enumerate(csv.DictReader(io.TextIOWrapper(f, "utf-8"))):
-                        missing = [n for n, _ in types[2:] if not row.get(n)]
-                        if missing:
-                            raise ValueError(f"{path}: row {seq} lacks {', '.join(missing)}")
-                        rows.append({"file": path, "seq": seq, **{n: kinds.get(n, str)(row[n]) for n, _ in types[2:]}})
-                        if len(rows) == CHUNK:
-                            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
-                            rows = []
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, TICK)
+            for path in batch.column("path").to_pylist():
+                yield from _numbered(path, types, whole=False)
+
+    raw = _listed(spark, paths).mapInArrow(run, "file string, seq long, " + ", ".join(f"{c} string" for c in METRICS))
+    return raw.select("file", "seq", F.col("create_time").cast("timestamp_ntz").alias("ts"), "symbol", *(F.col(c).try_cast("double").alias(c) for c in METRICS[2:]))
+
+
+def futures_metrics(metrics: DataFrame, start: str, end: str) -> DataFrame:
+    """symbol, ts, row_id, open_interest, taker_ratio and the other ratios in [start, end), as the futures buckets take them. Raises where one of the first two figures is missing."""
+    rows = metrics.where((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+    out = rows.select("symbol", "ts", F.struct("file", "seq").alias("row_id"), F.col("sum_open_interest").alias("open_interest"), F.col("sum_taker_long_short_vol_ratio").alias("taker_ratio"), *METRICS[3:6])
+    missing = out.agg(F.count_if(F.col("open_interest").isNull() | F.col("taker_ratio").isNull())).first()[0]
+    if missing:
+        raise ValueError(f"{missing} rows lack open interest or the taker ratio")
+    return out
+
+
+def metrics_inventory(metrics: DataFrame) -> DataFrame:
+    """file, symbol, rows, and how many rows lack each figure."""
+    return metrics.groupBy("file", "symbol").agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in METRICS[2:]))
 
 
 def tick_problems(ticks: DataFrame) -> DataFrame:
@@ -71,26 +122,37 @@ def trades(ticks: DataFrame) -> DataFrame:
     return ticks.select(F.col("instrument_name").alias("symbol"), "trade_id", F.lower("side").alias("side"), "price", "size", F.timestamp_millis("created_time").cast("timestamp_ntz").alias("ts"))
 
 
+def _lines(path: str) -> Iterator[bytes]:
+    """The lines of a tar.gz file's only data member, in one pass; a second member is an error once it is met."""
+    with _opened(path) as raw, tarfile.open(fileobj=raw, mode="r|gz") as bundle:
+        found = 0
+        for member in bundle:
+            if member.isfile():
+                found += 1
+                if found == 1:
+                    yield from bundle.extractfile(member)
+        if found != 1:
+            raise ValueError(f"{path}: expected one data member, found {found}")
+
+
 def tarred_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """file, seq, line of tar.gz files with one member each; lines are streamed out of the archive."""
 
+    def batch_of(path: str, at: int, lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(path, len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["file", "seq", "line"])
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        names = ["file", "seq", "line"]
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as bundle:
-                    members = [m for m in bundle.getmembers() if m.isfile()]
-                    if len(members) != 1:
-                        raise ValueError(f"{path}: expected one data member, found {len(members)}")
-                    lines, at = [], 0
-                    for line in bundle.extractfile(members[0]):
-                        lines.append(line.decode("utf-8", "replace").rstrip("\n"))
-                        if len(lines) == CHUNK:
-                            yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines)], names=names)
-                            lines, at = [], at + len(lines)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(range(at, at + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=names)
-
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "file string, seq long, line string")
+            for path in batch.column("path").to_pylist():
+                lines, at = [], 0
+                for line in _lines(path):
+                    lines.append(line.decode("utf-8", "replace").rstrip("\n"))
+                    if len(lines) == CHUNK:
+                        yield batch_of(path, at, lines)
+                        lines, at = [], at + len(lines)
+                yield batch_of(path, at, lines)
+
+    return _listed(spark, paths).mapInArrow(run, "file string, seq long, line string")
 
 
 def book_messages(lines: DataFrame) -> DataFrame:
@@ -106,6 +168,22 @@ def progress(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("date").cast("date").alias("date"), "symbol", "status", (F.lower(F.trim("quality_passed")) == "true").alias("quality_passed"), F.col("completed_at").cast("timestamp").alias("completed_at"))
 
 
+def residuals(spark: SparkSession, venues: dict[str, str]) -> DataFrame:
+    """bucket_start, symbol, venue, flow, sample_split of venues' stored residual panels (name: path); symbols are written alike, without hyphens."""
+    out = None
+    for venue, path in venues.items():
+        one = spark.read.parquet(path).select(F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), F.replace("symbol", F.lit("-"), F.lit("")).alias("symbol"), F.lit(venue).alias("venue"), F.col("aggressor_residual_z").alias("flow"), "sample_split")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stored(path: str):
+    """A summary table that a study left behind: one CSV file of a few rows, as pandas reads it."""
+    import pandas as pd
+
+    return pd.read_csv(path)
+
+
 def daily_files(paths: list[str], start: str, end: str) -> list[str]:
     """Paths whose name holds a date of [start, end), compared as text: pruning before anything is opened."""
     import re
