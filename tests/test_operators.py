@@ -60,11 +60,14 @@ def test_full_residuals_equal_dense_solve(spark):
     dense = x.select("bucket_start", "symbol", "sample_split", "aggressor_imbalance", *(c.alias(n) for c, n in zip(panel.design(x), names, strict=True))).toPandas()
     got = done.select("bucket_start", "symbol", "fitted", "residual_z").toPandas()
     assert coefficients.count() == 45
+    seen = {r.symbol: r for r in regression.diagnostics(done, "aggressor_imbalance").collect()}
     for s, g in dense.groupby("symbol"):
         dev = (g.sample_split == "development").to_numpy()
         d, y = g[names].to_numpy(float), g.aggressor_imbalance.to_numpy()
         beta = np.linalg.lstsq(d[dev], y[dev], rcond=None)[0]
         r = y - d @ beta
+        assert math.isclose(seen[s].development_r_squared, 1 - (r[dev] ** 2).sum() / ((y[dev] - y[dev].mean()) ** 2).sum(), abs_tol=1e-8)
+        assert (seen[s].development_rows, seen[s].oos_rows) == (dev.sum(), (~dev).sum()) and math.isclose(seen[s].development_residual_scale, r[dev].std(ddof=1), rel_tol=1e-8)
         z = (r - r[dev].mean()) / r[dev].std(ddof=1)
         m = g.assign(e=d @ beta, z=z)[["bucket_start", "e", "z"]].merge(got[got.symbol == s], on="bucket_start")
         assert np.allclose(m.e, m.fitted, atol=1e-8) and np.allclose(m.z, m.residual_z, atol=1e-7)
@@ -213,6 +216,32 @@ def test_book_equals_replay(spark):
         assert (tuple(sorted(have["ask"].items())), tuple(sorted(have["bid"].items()))) == (asks, bids)
 
 
+def test_books_in_parts_equal_one_window(spark):
+    m = as_messages(spark, random_messages(400, 9))
+    part = F.floor(F.col("seq") / 37)
+    plain, cut = book.epochs(m), book.epochs(m.repartition(3), part)
+    key = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    assert key(plain, "seq", "epoch") == key(cut, "seq", "epoch")
+    assert key(book.samples(plain, 60), "seq") == key(book.samples(cut, 60, part), "seq")
+    assert book.audit(m).first() == book.audit(m, part).first()
+
+
+def test_large_means_cost_no_digits(spark):
+    rng = np.random.default_rng(2)
+    x1, x2 = rng.normal(size=60), rng.normal(size=60)
+    y = 0.4 * x1 - 0.2 * x2 + rng.normal(size=60)
+    at = pd.date_range("2024-01-01", periods=60, freq="6h")
+    beta, se = dense_hac(y, x1, x2, 3)
+    d = frame(spark, pd.DataFrame({"bucket_start": at, "y": y + 1e8, "x1": x1 + 1e8, "x2": x2 - 1e8}))
+    got = regression.hac(d, "y", "x1", "x2", "bucket_start", 3).first()
+    assert math.isclose(got.beta, beta, rel_tol=1e-5) and math.isclose(got.se, se, rel_tol=1e-5)
+    near = frame(spark, pd.DataFrame({"bucket_start": at, "y": y, "x1": x1, "x2": x2}))
+    fits = {r.half: r for r in regression.half_fits(near, 3).collect()}
+    for half, k in ((1, slice(0, 30)), (2, slice(30, 60))):
+        beta, se = dense_hac(y[k], x1[k], x2[k], 3)
+        assert math.isclose(fits[half].beta, beta, rel_tol=1e-9) and math.isclose(fits[half].se, se, rel_tol=1e-9)
+
+
 def test_book_levels_and_flags(spark):
     df = spark.createDataFrame([("x", 1, [["0.50", "1"], ["0.5"], ["0.6", "2", "9"]], [["0.4", "3"]])], "symbol string, seq long, asks array<array<string>>, bids array<array<string>>")
     assert sorted((r.side, r.price, r["size"]) for r in book.levels(df).collect()) == [("ask", 0.5, 1.0), ("ask", 0.6, 2.0), ("bid", 0.4, 3.0)]
@@ -266,6 +295,31 @@ def test_collection(spark):
     assert empty.completed_files == 0 and empty.last_completed_date is None
 
 
+def test_collection_resumes_and_assembles(spark):
+    jobs = spark.createDataFrame([(d, s) for d in ("2025-11-08", "2025-11-09") for s in "XB"], "date string, symbol string")
+    catalog = spark.createDataFrame([("2025-11-08", "X", True, 9.0), ("2025-11-08", "B", True, 2.0), ("2025-11-09", "X", False, None), ("2025-11-09", "B", True, 1.0)], "date string, symbol string, available boolean, size_mb double")
+    assert [(r.date, r.symbol) for r in collection.next_files(jobs, catalog).collect()] == [("2025-11-08", "B"), ("2025-11-08", "X"), ("2025-11-09", "B")]
+    assert collection.next_files(jobs, catalog, 1).count() == 1 and collection.unavailable(jobs, catalog).first().symbol == "X"
+    needs = {r.design: r.estimated_compressed_gb for r in collection.resources(catalog, 180, 730).collect()}
+    assert math.isclose(needs["sampled_catalog_day"], 0.006) and math.isclose(needs["full_two_year_window"], 4.38) and collection.resources(catalog.limit(0), 1, 2).count() == 0
+    at = pd.date_range("2025-11-08", periods=192, freq="15min")
+    rows = pd.DataFrame([(t.strftime("%Y-%m-%d"), s, s, t, 10.0 * (i + 1)) for s in "XB" for i, t in enumerate(at)], columns=["date", "symbol", "own_symbol", "bucket_start", "top10_depth_quote"])
+    rows.loc[0, "own_symbol"] = "other"
+    rows = frame(spark, rows)
+    digests = jobs.withColumn("sha256", F.lit("a"))
+    metadata = jobs.withColumn("cache_sha256", F.when((F.col("symbol") == "B") & (F.col("date") == "2025-11-09"), "b").otherwise("a"))
+    valid = collection.valid_caches(rows.withColumn("date", F.col("date").cast("date")), digests.withColumn("date", F.col("date").cast("date")), metadata.withColumn("date", F.col("date").cast("date")))
+    assert sorted((str(r.date), r.symbol) for r in valid.collect()) == [("2025-11-08", "B"), ("2025-11-09", "X")]
+    progress = spark.createDataFrame([("2025-11-08", "B", "failed", False), ("2025-11-08", "X", "complete", True)], "date string, symbol string, status string, quality_passed boolean")
+    caches = spark.createDataFrame([("2025-11-08", "B", True), ("2025-11-08", "X", False)], "date string, symbol string, quality_passed boolean")
+    assert sorted((r.symbol, r.status, r.quality_passed) for r in collection.recovered(progress, caches).collect()) == [("B", "complete", True), ("X", "complete", True)]
+    days = jobs.withColumn("quality_passed", ~((F.col("symbol") == "B") & (F.col("date") == "2025-11-09")))
+    with pytest.raises(ValueError, match="0.5"):
+        collection.feature_panel(rows.drop("own_symbol", "date"), days, jobs, 0.95)
+    made = collection.feature_panel(rows.drop("own_symbol", "date"), days, jobs, 0.5)
+    assert made.count() == 288 and math.isclose(made.where("symbol = 'X'").orderBy("bucket_start").collect()[1].depth_depletion, -math.log(2))
+
+
 RULES = {"cascade_primary_horizon_minutes": 15, "cascade_minimum_standardized_beta": 0.02, "fdr_alpha": 0.05, "futures_minimum_standardized_beta": 0.05, "futures_minimum_event_count": 100, "futures_minimum_directional_concordance": 0.55}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import as_messages, random_messages, replay, ticks
 
 from tidalflow import cli
-from tidalflow.operators import book, panel
+from tidalflow.operators import book, gates, panel
 from tidalflow.plans import sinks
 from tidalflow.sources import archives, calendar, catalog
 from tidalflow.streaming import flows
@@ -57,6 +57,51 @@ def test_tarred_lines(spark, tmp_path):
     assert [(r.best_ask, r.best_bid) for r in top] == [(0.501, 0.499), (0.502, 0.499)]
 
 
+def test_archive_day(spark, tmp_path):
+    """A day of three messages: rows, samples and the day's quality through the whole path."""
+    start = catalog.epoch_ms("2024-04-08")
+    message = lambda ms, action, asks, bids: json.dumps({"instId": "A", "action": action, "ts": str(start + ms), "asks": asks, "bids": bids})
+    lines = [message(5, "snapshot", [["0.501", "10", "2"], ["0.502", "20", "1"]], [["0.499", "10", "2"], ["0.498", "20", "1"]]), message(60_005, "update", [["0.501", "0", "0"], ["0.503", "30", "1"]], [["0.499", "12", "3"]]), message(86_399_500, "update", [], [])]
+    files = {"good": lines, "broken": ["{", "{"], "late": [message(5000, "update", [["1", "0", "0"]], []), "x", *lines[1:2], lines[1]]}
+    for name, of in files.items():
+        data = ("\n".join(of) + "\n").encode()
+        with tarfile.open(tmp_path / f"{name}.tar.gz", "w:gz") as t:
+            info = tarfile.TarInfo("book.data")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    m = archives.book_messages(archives.tarred_lines(spark, str(tmp_path))).cache()
+    jobs = m.select("file").distinct().withColumns({"symbol": F.lit("A"), "date": F.lit("2024-04-08")})
+    minutes = book.archive_minutes(m)
+    days = {r.file.rsplit("/", 1)[1].split(".")[0]: r for r in book.archive_days(m, jobs, minutes).collect()}
+    good = days["good"]
+    assert (good["rows"], good.snapshots, good.updates, good.zero_size_deletions, good.out_of_order_rows, good.sample_count) == (3, 1, 2, 1, 0, 3)
+    assert (good.start_delay_ms, good.end_early_ms, good.initial_ask_levels, good.initial_bid_levels, good.sampled_empty_books, good.gaps_over_5s) == (5, 500, 2, 2, 0, 2)
+    second = minutes.where(F.col("file").contains("good")).orderBy("sample_ts").collect()[1]
+    assert (second.best_ask, second.best_bid) == (0.502, 0.499) and abs(second.ask_depth_10 - (0.502 * 20 + 0.503 * 30)) < 1e-12 and abs(second.bid_depth_1 - 0.499 * 12) < 1e-12
+    assert (days["broken"]["rows"], days["broken"].parse_errors, days["broken"].snapshots, days["broken"].sample_count) == (2, 2, None, None)
+    late = days["late"]
+    assert (late["rows"], late.parse_errors, late.duplicate_timestamps, late.start_delay_ms, late.initial_ask_levels, late.zero_size_deletions) == (4, 1, 1, 5000, None, 3)
+    limits = {"minimum_initial_levels_per_side": 2, "maximum_start_delay_ms": 1000, "maximum_end_early_ms": 1000}
+    quality = {r.file.rsplit("/", 1)[1]: r.failures for r in gates.day_quality(book.archive_days(m, jobs, minutes), limits, 3).collect()}
+    assert quality["good.tar.gz"] == "" and quality["late.tar.gz"] == "snapshot;initial_depth;start_boundary;end_boundary;parse;empty;minutes"
+    assert quality["broken.tar.gz"].startswith("snapshot;initial_depth")
+
+
+def test_futures_zip(spark, tmp_path):
+    head = "create_time,symbol,sum_open_interest,sum_open_interest_value,count_toptrader_long_short_ratio,sum_toptrader_long_short_ratio,count_long_short_ratio,sum_taker_long_short_vol_ratio\n"
+    a = zipped(tmp_path / "A-metrics-2024-01-01.zip", head + "2024-01-01 00:05:00,A,10.5,1,2,3,4,1.5\n2024-01-01 00:10:00,A,11,1,,x,4,0.5\n")
+    b = zipped(tmp_path / "A-metrics-2024-01-02.zip", head + "2024-01-02 00:00:00,A,,1,2,3,4,1\n")
+    raw = archives.zipped_metrics(spark, a, b)
+    found = {r.file.rsplit("/", 1)[1]: r for r in archives.metrics_inventory(raw).collect()}
+    one = found["A-metrics-2024-01-01.zip"]
+    assert (one["rows"], one.missing_count_toptrader_long_short_ratio, one.missing_sum_toptrader_long_short_ratio, one.missing_sum_open_interest) == (2, 1, 1, 0)
+    got = panel.futures_buckets(archives.futures_metrics(raw, "2024-01-01", "2024-01-02"), "15 minutes").first()
+    assert (got.open_interest, got.source_rows) == (11.0, 2) and abs(got.taker_direction - (0.5 / 2.5 - 0.5 / 1.5) / 2) < 1e-12
+    with pytest.raises(ValueError, match="1 rows"):
+        archives.futures_metrics(raw, "2024-01-01", "2024-01-03")
+    assert [p.rsplit("/", 1)[1] for p in archives.daily_files([a, b], "2024-01-02", "2024-01-03")] == ["A-metrics-2024-01-02.zip"]
+
+
 def test_catalog():
     p = catalog.payload(["ADA-USDT"], "2024-04-08")
     assert p["dateQuery"]["begin"] == "1712534400000" and p["instQueryParam"]["instIdList"] == ["ADA-USDT"]

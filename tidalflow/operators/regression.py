@@ -89,30 +89,26 @@ def diagnostics(rows: DataFrame, y: str) -> DataFrame:
 def hac(df: DataFrame, y: str, x1: str, x2: str, order: str, lags: int, by: list[str] | None = None) -> DataFrame:
     """n, beta, se, t of x1 (and group columns): Bartlett-weighted covariance over ``lags`` positions in ``order``.
 
-    Residuals need one pass; each lag is an equi-join on the row's position, so the work is rows x (lags + 1), and only
-    3 x 3 sums leave it. Positions are numbered within a group; a series is as long as its calendar, not as its trades.
+    A row's score for beta is one number, its centred terms weighed by the inverse moments times its residual. Each lag is an
+    equi-join on the row's position, so the work is rows x (lags + 1), and one sum leaves it. Positions are numbered within a
+    group; a series is as long as its calendar, not as its trades.
     """
     by = by or []
     ok = df.dropna(subset=[y, x1, x2])
-    fit = ok.groupBy(*by).agg(*moments(F.col(x1), F.col(x2), F.col(y)))
-    fit = fit.withColumns(slopes())
+    fit = ok.groupBy(*by).agg(*moments(F.col(x1), F.col(x2), F.col(y))).withColumns(slopes())
     at = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(order))
-    joined = ok.join(F.broadcast(fit), by) if by else ok.crossJoin(F.broadcast(fit))
-    e = F.col(y) - F.col("alpha") - F.col("beta1") * F.col(x1) - F.col("beta2") * F.col(x2)
-    score = joined.select(*by, at.alias("_at"), e.alias("u0"), (e * F.col(x1)).alias("u1"), (e * F.col(x2)).alias("u2"))
-    ahead = score.select(*by, (F.col("_at")).alias("_to"), *(F.col(f"u{i}").alias(f"w{i}") for i in range(3)))
-    lagged = score.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("_to", F.col("_at") - F.col("_lag")).join(ahead, [*by, "_to"])
-    weight = (1 - F.col("_lag") / (lags + 1)) * F.when(F.col("_lag") == 0, 0.5).otherwise(1.0)
-    meat = lagged.groupBy(*by).agg(*(F.sum(weight * (F.col(f"u{i}") * F.col(f"w{j}") + F.col(f"w{i}") * F.col(f"u{j}"))).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)))
-    both = fit.join(meat, by) if by else fit.crossJoin(meat)
+    joined = ok.join(F.broadcast(fit), by) if by else ok.crossJoin(F.broadcast(fit))  # a row a group
     c = F.col
-    # the row of the inverse Gram matrix that belongs to x1
-    det = c("c11") * c("c22") - c("c12") * c("c12")
-    r1, r2 = c("c22") / det, -c("c12") / det
-    r = [-(r1 * c("mean_x1") + r2 * c("mean_x2")), r1, r2]
-    m = lambda i, j: c(f"m{min(i, j)}{max(i, j)}")
-    var = sum(r[i] * r[j] * m(i, j) for i in range(3) for j in range(3))
-    return both.select(*by, c("n").cast("long").alias("n"), c("beta1").alias("beta"), F.sqrt(var).alias("se")).withColumn("t", F.try_divide("beta", "se"))
+    d1, d2 = c(x1) - c("mean_x1"), c(x2) - c("mean_x2")
+    residual = c(y) - c("mean_y") - c("beta1") * d1 - c("beta2") * d2
+    weighed = F.try_divide(c("c22") * d1 - c("c12") * d2, c("c11") * c("c22") - c("c12") * c("c12"))
+    score = joined.select(*by, at.alias("_at"), (residual * weighed).alias("_u"))
+    ahead = score.select(*by, c("_at").alias("_to"), c("_u").alias("_w"))
+    lagged = score.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("_to", c("_at") - c("_lag")).join(ahead, [*by, "_to"])
+    weight = (1 - c("_lag") / (lags + 1)) * F.when(c("_lag") == 0, 1.0).otherwise(2.0)
+    spread = lagged.groupBy(*by).agg(F.sum(weight * c("_u") * c("_w")).alias("_var"))
+    both = fit.join(spread, by) if by else fit.crossJoin(spread)
+    return both.select(*by, c("n").cast("long").alias("n"), c("beta1").alias("beta"), F.sqrt("_var").alias("se")).withColumn("t", F.try_divide("beta", "se"))
 
 
 def lead_design(flows: DataFrame, source: str, target: str, steps: int, same_day: bool, order: str = "bucket_start") -> DataFrame:

@@ -41,6 +41,16 @@ def document(content: str | dict, path: str) -> None:
     os.replace(f"{path}.part", path)
 
 
+def snapshot(config: dict, path: str) -> None:
+    """A configuration as YAML, in its own order; as JSON, which YAML readers take too, where no YAML writer is installed."""
+    try:
+        import yaml
+    except ImportError:
+        document(dict(config), path)
+    else:
+        document(yaml.safe_dump(dict(config), sort_keys=False, allow_unicode=True), path)
+
+
 def manifest(spark: SparkSession, *paths: str) -> DataFrame:
     """path, size, sha256 of input files, read where they lie."""
     return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -37,7 +37,7 @@ def futures_figures(joined: DataFrame, quantile: float) -> DataFrame:
 def futures_summary(joined: DataFrame, quantile: float, lags: int) -> pd.DataFrame:
     """test, observations, estimate, standard_error, test_statistic, p_value, event_count, q_value: the regression with robust errors, and the sign test."""
     oos = joined.where("sample_split = 'oos'").withColumn("lagged", F.lag("futures_flow").over(Window.orderBy("bucket_start")))
-    fit = regression.hac(oos, "futures_flow", "spot_flow", "lagged", "bucket_start", lags).first()
+    fit = known(regression.hac(oos, "futures_flow", "spot_flow", "lagged", "bucket_start", lags))
     counts = futures_figures(joined, quantile).first()
     n, k = counts["event_count"], counts["matches"]
     rows = [
@@ -48,6 +48,11 @@ def futures_summary(joined: DataFrame, quantile: float, lags: int) -> pd.DataFra
     return out.assign(q_value_bh_fdr=adjusted(out["p_value"]))
 
 
+def known(fit: DataFrame) -> dict:
+    """The only row of a fit; what a design without full rank leaves open is NaN."""
+    return {k: math.nan if v is None else v for k, v in fit.first().asDict().items()}
+
+
 def adjusted(p) -> np.ndarray:
     """Benjamini-Hochberg q values of a short list; missing p stay missing."""
     p = np.asarray(p, float)
@@ -66,7 +71,7 @@ def lead_lag(flows: DataFrame, directions: Mapping[str, tuple[str, str]], horizo
     for minutes, steps in horizons.items():
         for name, (source, target) in directions.items():
             d = regression.lead_design(oos, source, target, steps, same_day)
-            fit = regression.hac(d, "y", "x1", "x2", "bucket_start", lags).first()
+            fit = known(regression.hac(d, "y", "x1", "x2", "bucket_start", lags))
             halves = {r["half"]: r["beta"] for r in regression.half_betas(d).collect()}
             low, high = numbers.normal_ci(fit["beta"], fit["se"])
             rows.append((name, minutes, fit["n"], fit["beta"], fit["se"], fit["t"], numbers.normal_p(fit["t"]), low, high, halves.get(1), halves.get(2)))
