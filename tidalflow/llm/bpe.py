@@ -158,13 +158,20 @@ class SegmentTreeBpe:
         got = [array("I", (i for x in parts for i in ((x,) if isinstance(x, int) else ids[pieces[x]]))).tobytes() for parts in layout]
         self.known.put(chunks, got)
 
-    def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each text: the number of ids, the ids and the decoded text. The file has no decoder: tokens are joined by a space."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers of this machine."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
         self.learn(self.known.lacking(set().union(*split)))
-        out, known = [], self.known.new
-        for x in split:
-            ids = array("I", b"".join(map(known.__getitem__, x))).tolist()
+        known = self.known.new
+        out = [b"".join(map(known.__getitem__, x)) for x in split]
+        self.known.trim()
+        return out
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: the number of ids, the ids and the decoded text. The file has no decoder: tokens are joined by a space."""
+        out = []
+        for x in self.ids(texts):
+            ids = array("I", x).tolist()
             out.append((len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.name.__getitem__, ids))))
         return out
 

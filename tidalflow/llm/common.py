@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -44,26 +45,42 @@ def forget(*tables: DataFrame | None) -> None:
 
 
 class Recent:
-    """What a task has worked out for keys that it may meet again, in about ``limit`` bytes: a new part, and an old one that goes when the new one is full."""
+    """What a task has worked out for keys that it may meet again: a new part, and an old one that goes when the new one has grown.
 
-    def __init__(self, limit: int, each: int = 200):
-        self.new, self.old, self.size, self.limit, self.each = {}, {}, 0, limit // 2, each
+    Sizes are those of the objects. Between steps it holds at most ``limit`` bytes; keys of over LONG characters only until the next step.
+    """
+
+    LONG = 256
+    #: Bytes of an entry in a dictionary, about.
+    ENTRY = 120
+
+    def __init__(self, limit: int):
+        self.new, self.old, self.long, self.size, self.limit = {}, {}, [], 0, limit
 
     def lacking(self, keys: set) -> list:
         """Those of ``keys`` without a value; the others are in ``new`` from now on."""
-        if self.size > self.limit:
-            self.old, self.new, self.size = self.new, {}, 0
+        self.trim()
         new, old = self.new, self.old
         lacking = [x for x in keys if x not in new]
         again = [x for x in lacking if x in old]
-        self.put(again, map(old.__getitem__, again))
+        self.put(again, [old[x] for x in again])
         return [x for x in lacking if x not in old] if again else lacking
 
     def put(self, keys: Iterable, values: Iterable) -> None:
-        """``values`` are numbers, or bytes that are shorter than their keys, about."""
-        before = len(self.new)
-        self.new.update(zip(keys, values, strict=True))
-        self.size += (len(self.new) - before) * self.each
+        for k, v in zip(keys, values, strict=True):
+            if len(k) > self.LONG:
+                self.long.append(k)
+            else:
+                self.size += getsizeof(k) + getsizeof(v) + self.ENTRY
+            self.new[k] = v
+
+    def trim(self) -> None:
+        """Forgets long keys, and the old part once the new one has a quarter of the limit; a new part of over half of it goes too."""
+        for k in self.long:
+            self.new.pop(k, None)
+        self.long = []
+        if self.size > self.limit // 4:
+            self.old, self.new, self.size = self.new if self.size <= self.limit // 2 else {}, {}, 0
 
 
 def salted(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
@@ -81,11 +98,13 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *extra)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterable[pa.RecordBatch], column: str = "text", *others: str) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches where their texts exceed STEP_BYTES, so that Python's share of memory is bounded."""
     for batch in batches:
         start = taken = 0
         sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        for more in others:
+            sizes = [(a or 0) + (b or 0) for a, b in zip(sizes, pa.compute.binary_length(batch.column(more)).to_pylist(), strict=True)]
         for i, n in enumerate(sizes):
             if taken and taken + (n or 0) > STEP_BYTES:
                 yield batch.slice(start, i - start)

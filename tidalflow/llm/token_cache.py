@@ -65,6 +65,7 @@ class Counter:
         out, known = [0] * len(texts), self.known.new
         for i, x in plain.items():
             out[i] = sum(map(known.__getitem__, x))
+        self.known.trim()
         for i, n in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
             out[i] = n
         return out
