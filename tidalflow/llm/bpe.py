@@ -4,7 +4,7 @@ The tree's leaves hold, for each symbol of a piece, the rank of the pair it begi
 the leftmost pair of lowest rank. Merging it changes three leaves, whose paths to the root are renewed; it ends when no
 pair at the root can be merged. Pieces of like length are worked on side by side as rows of one array.
 
-Only distinct white-space-delimited chunks are worked on: no piece of this pre-tokenizer crosses white space. A task
+Only distinct white-space-delimited chunks are worked on: no piece of this pre-tokenizer crosses white space. A worker
 remembers the ids of chunks that it has met lately, in REMEMBERED bytes. Normalising and splitting a chunk is the tokenizer file's own business.
 
 Defined cases: null and empty texts have no tokens, ids and text ""; repeated rows each get a row; texts of one very long
@@ -13,9 +13,11 @@ piece take n log n steps; an empty table gives no rows; columns other than doc_i
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import sys
 from array import array
 
 import numpy as np
@@ -23,10 +25,12 @@ from pyspark.sql import DataFrame
 
 from .common import Recent, per_text, texts
 
-#: Bytes in which a task remembers chunks.
-REMEMBERED = 32 << 20
+#: Bytes in which a worker remembers chunks.
+REMEMBERED = 64 << 20
 _NONE = np.int64(1) << 60
-_PLAIN = re.compile(r"([a-z]+)([.,;:!?]*)\Z")
+# Letters, lower-cased, and marks behind them: one piece each, whatever the tokenizer file's own rules for the rest. No line of these has an
+# apostrophe, which may begin a piece, or a <, which may begin a special token.
+_LINES = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)|.*)$", re.M)
 
 
 class SegmentTreeBpe:
@@ -60,6 +64,8 @@ class SegmentTreeBpe:
             elif x.endswith(self.end) and len(x) == 1 + len(self.end):
                 self.outer[ord(x[0])] = i
         self.numbers = {i: str(i) for i in self.name}
+        # the byte-level alphabet: a byte above 127 is shown by the character that the tokenizer file's splitter gives it
+        self.shown = {b: self.split(c)[0][0][k] for c, k in [(bytes([x, y]).decode(), k) for x, y in ((0xC3, z) for z in range(0x80, 0xC0)) for k in (0, 1)] for b in [c.encode()[k]] if c.isalpha()}
         self.known = Recent(REMEMBERED)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,9 +74,9 @@ class SegmentTreeBpe:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, at, len(self.keys) - 1)
 
-    def merged(self, pieces: list[str]) -> list[list[int]]:
+    def merged(self, pieces: list[str]) -> list[bytes]:
         """The ids of pieces of byte-level characters. Those of like length go together; a row of the tree is a piece."""
-        out: list[list[int]] = [[]] * len(pieces)
+        out: list[bytes] = [b""] * len(pieces)
         size = np.array([len(x) for x in pieces], np.int64)
         start = np.cumsum(size) - size
         codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
@@ -81,9 +87,9 @@ class SegmentTreeBpe:
             members = np.flatnonzero(group == leaves)
             if not leaves:
                 for i, x in zip(members.tolist(), symbols[start[members]].tolist(), strict=True):
-                    out[i] = [x]
+                    out[i] = x.to_bytes(4, sys.byteorder)
                 continue
-            at_once = max(1, (1 << 19) // leaves)
+            at_once = max(1, (1 << 16) // leaves)
             for k in range(0, len(members), at_once):
                 part = members[k : k + at_once]
                 column = np.arange(leaves + 1)
@@ -93,7 +99,7 @@ class SegmentTreeBpe:
                     out[i] = ids
         return out
 
-    def _merge(self, sym: np.ndarray, leaves: int) -> list[list[int]]:
+    def _merge(self, sym: np.ndarray, leaves: int) -> list[bytes]:
         """``sym``: a piece's symbols a row, one more column than leaves, -1 behind the last; no more than ``leaves`` of them."""
         rows, none = len(sym), len(self.keys) - 1
         place = np.arange(leaves)
@@ -131,32 +137,32 @@ class SegmentTreeBpe:
                 node >>= 1
             live = live[tree[live, 1] < _NONE]
         left = sym >= 0
-        flat, ends = sym[left].tolist(), np.cumsum(left.sum(1)).tolist()
+        flat, ends = sym[left].astype(np.uint32).tobytes(), (4 * np.cumsum(left.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _pieces(self, chunk: str) -> list[str]:
         return [x for x, _ in self.split(self.normalise(chunk))]
 
     def learn(self, chunks: list[str]) -> None:
-        """Remembers the ids of new chunks."""
-        layout: list[list] = []  # of each chunk: ids of special tokens and pieces
+        """Remembers the ids of new chunks. None of them has a line's end."""
         pieces: dict[str, int] = {}
-        for c in chunks:
-            if m := _PLAIN.match(low := c.lower()) if c.isascii() else None:
-                parts = [m[1], m[2]] if m[2] else [m[1]]
-            elif "<|" in c:
-                parts = []
-                for x in self.cut.split(c):
-                    parts += [self.special[x]] if x in self.special else self._pieces(x) if x else []
+        number = lambda x: pieces.setdefault(x, len(pieces))
+        if not chunks:
+            return
+        layout: list[tuple] = []  # of each chunk: numbers of pieces, and special tokens' ids as bytes
+        low = "\n".join(chunks).lower()
+        for chunk, (word, marks) in zip(chunks, _LINES.findall(low), strict=True):
+            if word:
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+                first = pieces.setdefault(word, len(pieces))
+                layout.append((first, pieces.setdefault(marks, len(pieces))) if marks else (first,))
+            elif "<|" in chunk:
+                parts = (x for x in self.cut.split(chunk) if x)
+                layout.append(tuple(y for x in parts for y in ((self.special[x].to_bytes(4, sys.byteorder),) if x in self.special else map(number, self._pieces(x)))))
             else:
-                parts = self._pieces(c)
-            layout.append(parts)
-            for x in parts:
-                if isinstance(x, str):
-                    pieces.setdefault(x, len(pieces))
+                layout.append(tuple(map(number, self._pieces(chunk))))
         ids = self.merged(list(pieces)) if pieces else []
-        got = [array("I", (i for x in parts for i in ((x,) if isinstance(x, int) else ids[pieces[x]]))).tobytes() for parts in layout]
-        self.known.put(chunks, got)
+        self.known.put(chunks, [ids[x[0]] if len(x) == 1 and isinstance(x[0], int) else b"".join([ids[y] if isinstance(y, int) else y for y in x]) for x in layout])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers of this machine."""
@@ -176,11 +182,17 @@ class SegmentTreeBpe:
         return out
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> SegmentTreeBpe:
+    """The encoder that a worker process keeps for its next tasks, with the chunks that it remembers."""
+    return SegmentTreeBpe(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``."""
 
     def make():
-        bpe = SegmentTreeBpe(path)
+        bpe = encoder(path)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
         def run(_, batch):
@@ -196,7 +208,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every row of ``docs``."""
 
     def make():
-        bpe = SegmentTreeBpe(path)
+        bpe = encoder(path)
 
         def run(_, batch):
             got = bpe([x.decode() for x in batch])

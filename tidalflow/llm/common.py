@@ -66,19 +66,19 @@ class Recent:
         self.put(again, [old[x] for x in again])
         return [x for x in lacking if x not in old] if again else lacking
 
-    def put(self, keys: Iterable, values: Iterable) -> None:
-        for k, v in zip(keys, values, strict=True):
-            if len(k) > self.LONG:
-                self.long.append(k)
-            else:
-                self.size += getsizeof(k) + getsizeof(v) + self.ENTRY
-            self.new[k] = v
+    def put(self, keys: list, values: list) -> None:
+        self.long += [k for k in keys if len(k) > self.LONG]
+        self.size += self._held(keys, values)
+        self.new.update(zip(keys, values, strict=True))
+
+    def _held(self, keys: list, values: list) -> int:
+        return sum(map(getsizeof, keys)) + sum(map(getsizeof, values)) + self.ENTRY * len(keys)
 
     def trim(self) -> None:
         """Forgets long keys, and the old part once the new one has a quarter of the limit; a new part of over half of it goes too."""
-        for k in self.long:
-            self.new.pop(k, None)
-        self.long = []
+        if self.long:
+            self.size -= self._held(self.long, [self.new.pop(k) for k in self.long])
+            self.long = []
         if self.size > self.limit // 4:
             self.old, self.new, self.size = self.new if self.size <= self.limit // 2 else {}, {}, 0
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SegmentTreeBpe
+from .bpe import encoder
 from .common import steps, texts
 
 #: The id behind each document.
@@ -171,7 +171,7 @@ def packed(examples: DataFrame, path: str, limits: Limits = Limits(), prompt: st
     said = [F.coalesce(F.col(prompt), F.lit("")).cast("binary").alias("prompt")] if prompt else []
 
     def run(batches):
-        bpe, packer, kept = SegmentTreeBpe(path), Packer(limits), {}
+        bpe, packer, kept = encoder(path), Packer(limits), {}
         first, numbered, example = TaskContext.get().partitionId() << 36, 0, 0
         tail = int(end).to_bytes(4, "little")
 
