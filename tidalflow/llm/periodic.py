@@ -100,12 +100,12 @@ def runs(words: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tupl
     found: list[tuple[int, int, int]] = []
     starts = ends = np.empty(0, np.int64)
 
-    def outside(p: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which survivors' grid points don't all lie within one found run."""
+    def outside(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which stretches don't lie within one found run."""
         if not len(starts):
-            return np.ones(len(b), bool)
-        k = np.searchsorted(starts, b - 3 * p, side="right") - 1
-        return (k < 0) | (ends[np.maximum(k, 0)] <= b)
+            return np.ones(len(first), bool)
+        k = np.searchsorted(starts, first, side="right") - 1
+        return (k < 0) | (ends[np.maximum(k, 0)] <= last)
 
     if len(words) < least:
         return found
@@ -114,7 +114,7 @@ def runs(words: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tupl
             between = b - k * p + p // 2
             same = words[between] == words[between + p]
             p, b = p[same], b[same]
-        out = outside(p, b)
+        out = outside(b - 3 * p, b)
         p, b = p[out], b[out]
         while len(p):
             q, new = int(p[0]), []
@@ -122,7 +122,8 @@ def runs(words: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tupl
             places, i = b[:here], 0
             while i < here:
                 start, end = extent(words, q, int(places[i]) - q)
-                if end - start + q >= max(least, times * q):
+                # a multiple of a found run's period can have a survivor whose outer grid points are equal by chance
+                if end - start + q >= max(least, times * q) and outside(np.array([start]), np.array([end + q - 1]))[0]:
                     new.append((start, end - start + q, q))
                 # places before end + q have a grid point in the same stretch
                 i = max(i + 1, int(np.searchsorted(places, end + q)))
@@ -132,7 +133,7 @@ def runs(words: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tupl
                 order = sorted((s, s + length) for s, length, _ in found)
                 starts = np.array([x for x, _ in order], np.int64)
                 ends = np.maximum.accumulate(np.array([x for _, x in order], np.int64))
-                out = outside(p, b)
+                out = outside(b - 3 * p, b)
                 p, b = p[out], b[out]
     return sorted(found, key=lambda x: (x[0], x[2]))
 
