@@ -243,6 +243,7 @@ def audit(spark: SparkSession, config: Mapping, path: str, base: str = ".", list
     ready = bool(gates.one(tables["quality_decisions"], quality_gate="bounded_l2_study_ready")["passed"])
     papers(config, path, out, "Availability of order books", {k: tables[k] for k in ("pilot_audit_summary", "resource_estimates", "quality_decisions")}, {"bounded_l2_study_ready": ready}, None, base)
     messages.unpersist()
+    minutes.unpersist()
     return tables
 
 
@@ -255,24 +256,6 @@ def archive_figures(spark: SparkSession, files: list[tuple[str, str, str]], seco
     return messages, book.archive_days(messages, jobs, minutes), minutes
 
 
-def collect(spark: SparkSession, config: Mapping, files: list[tuple[str, str, str]], out: str) -> DataFrame:
-    """Features and progress of archives (path, symbol, date) that were fetched: a cache a symbol and day, then the day's row. Safe to run again: days with a terminal row are left alone.
-
-    The features' table is written before the progress, so that a run that dies between the two is taken up by ``collection.recovered``.
-    """
-    c = config["collection"]
-    messages, days, minutes = archive_figures(spark, files, int(c["sample_interval_seconds"]))
-    jobs = days.select("file", "symbol", F.col("date").cast("date").alias("date"))
-    checked = gates.day_quality(days, c, 86_400 // int(c["sample_interval_seconds"]))
-    per_file = minutes.join(F.broadcast(jobs.select("file", "symbol")), "file")
-    features = book.liquidity(per_file, "15 minutes").withColumn("date", F.to_date("bucket_start"))
-    features.repartition("symbol", "date").write.mode("append").partitionBy("symbol", "date").parquet(f"{out}/features.parquet")
-    rows = checked.select(F.col("date").cast("date").alias("date"), "symbol", F.lit("complete").alias("status"), F.col("passed").alias("quality_passed"), F.col("failures").alias("quality_failures"), F.current_timestamp().alias("completed_at"))
-    rows.coalesce(1).write.mode("append").parquet(f"{out}/progress.parquet")
-    messages.unpersist()
-    return spark.read.parquet(f"{out}/progress.parquet")
-
-
 def _finish(config, path, base, out, title, tables, panels, decisions, seal) -> dict[str, pd.DataFrame]:
     """Files in an order that leaves the decisions for last: a run that died can be repeated."""
     write({**tables, **panels}, out)

@@ -163,9 +163,11 @@ def book_messages(lines: DataFrame) -> DataFrame:
 
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
-    """A progress CSV; its flags may be written in any case."""
-    raw = spark.read.schema("date string, symbol string, status string, quality_passed string, completed_at string").csv(path, header=True)
-    return raw.select(F.col("date").cast("date").alias("date"), "symbol", "status", (F.lower(F.trim("quality_passed")) == "true").alias("quality_passed"), F.col("completed_at").cast("timestamp").alias("completed_at"))
+    """A progress CSV, its columns taken by name; its flags may be written in any case, and a completion's time may be missing."""
+    raw = spark.read.csv(path, header=True)
+    at = next((c for c in ("completed_at", "completed_at_utc") if c in raw.columns), None)
+    done = F.col(at).cast("timestamp") if at else F.lit(None).cast("timestamp")
+    return raw.select(F.col("date").cast("date").alias("date"), "symbol", "status", (F.lower(F.trim("quality_passed")) == "true").alias("quality_passed"), done.alias("completed_at"))
 
 
 def residuals(spark: SparkSession, venues: dict[str, str]) -> DataFrame:
