@@ -145,7 +145,7 @@ def test_an_archive_stays_until_its_cache_was_read_back(spark, shelf, tmp_path):
 
 def test_paused_after_so_many_files(spark, shelf, clean, tmp_path):
     counts = [collector.collect(spark, RESEARCH, SETTINGS, str(tmp_path), most=1, listed=Shop(spark, shelf)) for _ in range(3)]
-    assert [(c["status"], c["completed_files"]) for c in counts] == [("paused", 1), ("paused", 2), ("complete", 4)]
+    assert [(c["status"], c["completed_files"]) for c in counts] == [("paused", 1), ("paused", 3), ("complete", 4)]  # the second meets the day without a file
     assert tables(spark, str(tmp_path)) == clean[3]
 
 
