@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +57,54 @@ def shifted(panel: DataFrame, offsets: DataFrame, value: str) -> DataFrame:
     return moved.select("draw", "block", "symbol", "slot", "day", "shifted").join(panel.select("block", "symbol", "slot", "day", "bucket_start"), ["block", "symbol", "slot", "day"])
 
 
+def spectra(z: DataFrame, value: str) -> DataFrame:
+    """block, days, symbol, width, spectrum of ``z``: for each slot the Fourier transform along a block's days, missing buckets being 0.
+
+    A group is one asset's block: days times slots numbers, however long the calendar is.
+    """
+
+    def transform(rows: pd.DataFrame) -> pd.DataFrame:
+        days, width = int(rows["days"].iloc[0]), int(rows["slot"].max()) + 1
+        table = np.zeros((days, width))
+        np.add.at(table, (rows["day"].to_numpy(), rows["slot"].to_numpy()), rows[value].to_numpy(float))
+        found = np.fft.rfft(table, axis=0)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "days": days, "symbol": rows["symbol"].iloc[0], "width": width, "spectrum": [found.tobytes()]})
+
+    return z.select("block", "days", "symbol", "day", "slot", value).groupBy("block", "symbol").applyInPandas(transform, "block long, days long, symbol string, width int, spectrum binary")
+
+
+def lagged_products(spectrum: DataFrame) -> DataFrame:
+    """block, days, l_symbol, r_symbol, dots of each pair of a block: dots[g] is the sum of products of the left asset's values, g days on (around the block), and the right's."""
+    names = spectrum.select("block", "symbol")
+    pairs = names.withColumnRenamed("symbol", "l_symbol").join(names.withColumnRenamed("symbol", "r_symbol"), "block").where("l_symbol < r_symbol")
+    l, r = (spectrum.select("block", "days", *(F.col(c).alias(f"{s}_{c}") for c in ("symbol", "width", "spectrum"))) for s in "lr")  # noqa: E741
+    both = pairs.join(l, ["block", "l_symbol"]).join(r.drop("days"), ["block", "r_symbol"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dots = []
+            for x in batch.select(["days", "l_width", "l_spectrum", "r_width", "r_spectrum"]).to_pylist():
+                left, right = (np.frombuffer(x[f"{s}_spectrum"], complex).reshape(-1, x[f"{s}_width"]) for s in "lr")
+                width = min(x["l_width"], x["r_width"])
+                dots.append(np.fft.irfft((left[:, :width] * right[:, :width].conj()).sum(axis=1), x["days"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("block", "days", "l_symbol", "r_symbol")), pa.array(dots, pa.list_(pa.float64()))], names=["block", "days", "l_symbol", "r_symbol", "dots"])
+
+    return both.mapInArrow(products, "block long, days long, l_symbol string, r_symbol string, dots array<double>")
+
+
 def shifted_correlations(panel: DataFrame, offsets: DataFrame, value: str) -> DataFrame:
-    """draw, mean_pairwise_correlation under per-asset shifts, from tables of day-by-day products.
+    """draw, mean_pairwise_correlation under per-asset shifts, from circular cross-correlations of the assets' days.
 
-    For each block and pair the products of day p and day q are summed over slots once; a draw then only looks up the
-    days that meet. A shift is a permutation, so means and deviations stay. Work: pairs x days^2, whatever the draws.
+    For each block and pair the sums of products at every distance in days are one inverse transform, days log days; a draw
+    then looks up the distance that its two shifts make. A shift is a permutation, so means and deviations stay.
     """
     stats = panel.groupBy("symbol").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     z = panel.join(F.broadcast(stats), "symbol").select("block", "symbol", "slot", "day", "days", ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z"))
-    a, b = (z.select("block", "slot", "days", F.col("symbol").alias(f"{s}_symbol"), F.col("day").alias(f"{s}_day"), F.col("z").alias(f"{s}_z")) for s in ("l", "r"))
-    table = a.join(b.drop("days"), ["block", "slot"]).where("l_symbol < r_symbol").groupBy("block", "days", "l_symbol", "r_symbol", "l_day", "r_day").agg(F.sum(F.col("l_z") * F.col("r_z")).alias("dot"))
-    # days that meet at output day d: (d - offset) mod days of either side, so their distance is fixed by the offsets
-    gap = F.pmod(F.col("l_day") - F.col("r_day"), F.col("days"))
-    gaps = table.groupBy("block", "days", "l_symbol", "r_symbol", gap.alias("gap")).agg(F.sum("dot").alias("dot"))
+    dots = lagged_products(spectra(z, "z"))
+    # at output day d the days that meet are (d - offset) mod days of either side, so their distance is fixed by the offsets
     lo, ro = (offsets.select("draw", "block", F.col("symbol").alias(f"{s}_symbol"), F.col("offset").alias(f"{s}_offset")) for s in ("l", "r"))
-    met = gaps.join(F.broadcast(lo), ["block", "l_symbol"]).join(F.broadcast(ro), ["draw", "block", "r_symbol"]).where(F.col("gap") == F.pmod(F.col("r_offset") - F.col("l_offset"), F.col("days")))
+    asked = lo.join(ro, ["draw", "block"]).where("l_symbol < r_symbol")
+    met = dots.join(asked, ["block", "l_symbol", "r_symbol"]).select("draw", "l_symbol", "r_symbol", F.get("dots", F.pmod(F.col("r_offset") - F.col("l_offset"), F.col("days")).cast("int")).alias("dot"))
     n = panel.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
     pairs = met.groupBy("draw", "l_symbol", "r_symbol").agg(F.sum("dot").alias("dot")).crossJoin(F.broadcast(n))
     return pairs.groupBy("draw").agg(F.avg(F.col("dot") / F.col("n")).alias("mean_pairwise_correlation"))
