@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import Recent, per_text, texts
 
 #: Bytes in which a worker remembers chunks.
-REMEMBERED = 64 << 20
+REMEMBERED = 256 << 20
 _NONE = np.int64(1) << 60
 # Letters, lower-cased, and marks behind them: one piece each, whatever the tokenizer file's own rules for the rest. No line of these has an
 # apostrophe, which may begin a piece, or a <, which may begin a special token.
@@ -145,24 +145,29 @@ class SegmentTreeBpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Remembers the ids of new chunks. None of them has a line's end."""
-        pieces: dict[str, int] = {}
-        number = lambda x: pieces.setdefault(x, len(pieces))
         if not chunks:
             return
-        layout: list[tuple] = []  # of each chunk: numbers of pieces, and special tokens' ids as bytes
-        low = "\n".join(chunks).lower()
-        for chunk, (word, marks) in zip(chunks, _LINES.findall(low), strict=True):
-            if word:
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-                first = pieces.setdefault(word, len(pieces))
-                layout.append((first, pieces.setdefault(marks, len(pieces))) if marks else (first,))
-            elif "<|" in chunk:
-                parts = (x for x in self.cut.split(chunk) if x)
-                layout.append(tuple(y for x in parts for y in ((self.special[x].to_bytes(4, sys.byteorder),) if x in self.special else map(number, self._pieces(x)))))
-            else:
-                layout.append(tuple(map(number, self._pieces(chunk))))
-        ids = self.merged(list(pieces)) if pieces else []
-        self.known.put(chunks, [ids[x[0]] if len(x) == 1 and isinstance(x[0], int) else b"".join([ids[y] if isinstance(y, int) else y for y in x]) for x in layout])
+        lines = _LINES.findall("\n".join(chunks).lower())
+        # words and marks are pieces as they stand; other chunks are cut by the tokenizer file's rules
+        pieces = dict.fromkeys([x for pair in lines for x in pair])
+        pieces.pop("", None)
+        odd = {i: self._cut(chunks[i]) for i, (word, _) in enumerate(lines) if not word}
+        shown = [x if x.isascii() else x.encode().decode("latin-1").translate(self.shown) for x in pieces]
+        more = [x for parts in odd.values() for x in parts if isinstance(x, str)]
+        got = self.merged(shown + more) if pieces or more else []
+        ids = dict(zip(pieces, got)) | {"": b""}
+        found = [ids[word] + ids[marks] for word, marks in lines]
+        rest = iter(got[len(shown) :])
+        for i, parts in odd.items():
+            found[i] = b"".join([next(rest) if isinstance(x, str) else x for x in parts])
+        self.known.put(chunks, found)
+
+    def _cut(self, chunk: str) -> list[str | bytes]:
+        """The pieces of any chunk, and its special tokens' ids as bytes."""
+        if "<|" not in chunk:
+            return self._pieces(chunk)
+        parts = (x for x in self.cut.split(chunk) if x)
+        return [y for x in parts for y in ([self.special[x].to_bytes(4, sys.byteorder)] if x in self.special else self._pieces(x))]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers of this machine."""

@@ -75,11 +75,11 @@ class Recent:
         return sum(map(getsizeof, keys)) + sum(map(getsizeof, values)) + self.ENTRY * len(keys)
 
     def trim(self) -> None:
-        """Forgets long keys, and the old part once the new one has a quarter of the limit; a new part of over half of it goes too."""
+        """Forgets long keys, and the old part once the new one has three eighths of the limit; a new part of over half of it goes too."""
         if self.long:
             self.size -= self._held(self.long, [self.new.pop(k) for k in self.long])
             self.long = []
-        if self.size > self.limit // 4:
+        if self.size > 3 * self.limit // 8:
             self.old, self.new, self.size = self.new if self.size <= self.limit // 2 else {}, {}, 0
 
 

@@ -14,6 +14,7 @@ table gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import uuid
@@ -27,8 +28,8 @@ from .common import Recent, shared_dir, steps, texts
 LIMIT = 512
 #: A content is frequent that so many rows have, and one in SHARE of all rows: at most SHARE contents are.
 FREQUENT, SHARE = 100, 1000
-#: Bytes in which a task remembers the counts of pieces.
-REMEMBERED = 32 << 20
+#: Bytes in which a worker remembers the counts of pieces.
+REMEMBERED = 128 << 20
 _PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _ODD = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85]|<\\|endoftext\\|>")
 
@@ -71,6 +72,12 @@ class Counter:
         return out
 
 
+@functools.lru_cache(1)
+def counter(path: str) -> Counter:
+    """The counter that a worker process keeps for its next tasks, with the pieces that it remembers."""
+    return Counter(path)
+
+
 def counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs``; new counts are appended to the Parquet table ``cache`` (none: a new one in the shared folder)."""
     spark, tag = docs.sparkSession, version(tokenizer)
@@ -87,7 +94,7 @@ def counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int
     missing = distinct.join(have.where(F.col("tokenizer") == tag).select("digest"), "digest", "left_anti")
 
     def encode(batches):
-        count = Counter(tokenizer)
+        count = counter(tokenizer)
         for part in steps(batches):
             n = count([x.decode() for x in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array([tag] * len(n)), pa.array(n, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
