@@ -226,6 +226,29 @@ def test_books_in_parts_equal_one_window(spark):
     assert book.audit(m).first() == book.audit(m, part).first()
 
 
+def test_a_book_without_snapshots_is_cut_into_parts(spark):
+    """One epoch of three snapshots at most: each part is worked on by itself, and books are the same."""
+    rng = np.random.default_rng(3)
+    rows, ms = [], 1_700_000_000_000
+    for i in range(600):
+        ms += int(rng.integers(-400, 3000))
+        action = "snapshot" if i in (0, 317, 318) else str(rng.choice(["update", "odd"], p=[0.95, 0.05]))
+        rows.append((ms, action, str(rng.choice(["ask", "bid"])), float(rng.integers(1, 40)), float(rng.choice([0, 1, 2]))))
+    m = as_messages(spark, rows).unionByName(as_messages(spark, rows[100:250]).withColumn("symbol", F.lit("y")))  # a book without any snapshot
+    part = F.floor(F.col("seq") / 50)
+    e = book.epochs(m.repartition(3), part)
+    s = book.samples(e, 20, part)
+    key = lambda df: sorted(tuple(r) for r in df.select("symbol", "sample_ts", "side", "price", "size").collect())
+    whole, cut = book.as_of(e, s), book.as_of(e, s, part=part)
+    assert key(whole) == key(cut) and cut.count() > 500
+    assert key(book.as_of(e, s, part=F.lit(1))) == key(cut) == key(book.as_of(e, s, part=F.col("seq")))
+    level_rows, marks = book.opened(e.where("action IN ('snapshot', 'update')").withColumn("pos", F.lit(0)), s, part, "symbol")
+    most = level_rows.groupBy("symbol", "epoch").agg(F.count("*").alias("n"), F.count_if(F.col("seq").isNull()).alias("opening"))
+    # a group has a part's rows and the levels that the part opens with, of which there are 78 prices at most
+    assert most.agg(F.max(F.col("n") - F.col("opening"))).first()[0] <= 50 and 20 < most.agg(F.max("opening")).first()[0] <= 78
+    assert marks.count() == s.count()
+
+
 def test_large_means_cost_no_digits(spark):
     rng = np.random.default_rng(2)
     x1, x2 = rng.normal(size=60), rng.normal(size=60)

@@ -55,14 +55,47 @@ def samples(messages: DataFrame, seconds: int, part: Column | None = None, key:
     return cut.withColumn("_before", F.greatest(here, "_before")).where(F.col("_before").isNull() | (F.col("_slot") > F.col("_before"))).drop("_slot", "_before", "_part")
 
 
-def as_of(level_rows: DataFrame, sampled: DataFrame, key: str = "symbol") -> DataFrame:
+def opened(level_rows: DataFrame, sampled: DataFrame, part: Column, key: str) -> tuple[DataFrame, DataFrame]:
+    """``level_rows`` and ``sampled`` with an epoch of their own in each part, every part's rows behind the levels that it opens with.
+
+    A segmented prefix scan: a part sums up to its last size at each price; a size lives on into later parts, up to the first one that
+    writes its price again or has a snapshot. No step puts more than a part's rows in one place: carries are sorted by
+    price, one row a part, and a part opens with as many rows as its book has levels.
+    """
+    last_epoch, first_epoch = F.max("epoch").alias("_last"), F.min("epoch").alias("_first")
+    both = level_rows.withColumn("_part", part).select(key, "_part", "epoch").unionByName(sampled.withColumn("_part", part).select(key, "_part", "epoch"))
+    parts = both.groupBy(key, "_part").agg(last_epoch, first_epoch)  # a row a part
+    in_order = Window.partitionBy(key).orderBy("_part")
+    parts = parts.withColumn("_at", F.row_number().over(in_order)).withColumn("_opens", F.lag("_last").over(in_order))
+    numbered = lambda df: df.withColumn("_part", part).join(parts.select(key, "_part", "_at", "_last"), [key, "_part"]).drop("_part")
+    rows, marks = numbered(level_rows), numbered(sampled)
+    written = rows.groupBy(key, "_at", "_last", "side", "price").agg(F.max_by(F.struct("epoch", "size"), F.struct("seq", "pos")).alias("_w"))
+    again = F.lead("_at").over(Window.partitionBy(key, "side", "price").orderBy("_at"))
+    left = written.withColumn("_again", again).where((F.col("_w.epoch") == F.col("_last")) & (F.col("_w.size") != 0))
+    # the parts that open in an epoch: the last of them is that with the next snapshot, or the end
+    upto = parts.where("_opens IS NOT NULL").groupBy(key, F.col("_opens").alias("_last")).agg(F.max("_at").alias("_upto"))
+    carried = left.join(upto, [key, "_last"]).withColumn("_to", F.least("_upto", "_again")).where(F.col("_to") > F.col("_at"))
+    opening = carried.select(key, F.explode(F.sequence(F.col("_at") + 1, F.col("_to"))).alias("_at"), F.col("_last").alias("epoch"), "side", "price", F.col("_w.size").alias("size"))
+    own = F.struct("_at", "epoch").alias("epoch")
+    rest = ["seq", "side", "price", "size", "pos"]
+    # a null seq comes before every other
+    first = opening.select(key, own, F.lit(None).cast(rows.schema["seq"].dataType).alias("seq"), "side", "price", "size", F.lit(0).alias("pos"))
+    return rows.select(key, own, *rest).unionByName(first), marks.withColumn("epoch", F.struct("_at", "epoch")).drop("_at", "_last")
+
+
+def as_of(level_rows: DataFrame, sampled: DataFrame, key: str = "symbol", part: Column | None = None) -> DataFrame:
     """key, sample_ts, side, price, size: each sample's book.
 
     Within an epoch one sort gives every level row the first sample that sees it; the row lives until the next row of its
-    price, so it is repeated for its own samples only, and the work is that of the result.
+    price, so it is repeated for its own samples only, and the work is that of the result. With ``part``, a long epoch is cut
+    into its parts, each of which opens with the levels that the one before leaves.
     """
-    pos = F.col("pos") if "pos" in level_rows.columns else F.lit(0)
-    rows = level_rows.where(F.col("action").isin("snapshot", "update")).select(key, "epoch", "seq", "side", "price", "size", pos.alias("pos"), F.lit(0).alias("_is"))
+    level_rows = level_rows.where(F.col("action").isin("snapshot", "update"))
+    if "pos" not in level_rows.columns:
+        level_rows = level_rows.withColumn("pos", F.lit(0))
+    if part is not None:
+        level_rows, sampled = opened(level_rows, sampled, part, key)
+    rows = level_rows.select(key, "epoch", "seq", "side", "price", "size", "pos", F.lit(0).alias("_is"))
     marks = rows.unionByName(sampled.select(key, "epoch", "seq", F.col("ts").alias("sample_ts"), F.lit(1).alias("_is")), allowMissingColumns=True)
     epoch = Window.partitionBy(key, "epoch")
     placed = marks.withColumn("_no", F.sum("_is").over(epoch.orderBy("seq", "_is").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_is").over(epoch))
@@ -129,14 +162,19 @@ def audit(messages: DataFrame, part: Column | None = None, key: str = "symbol",
     )
 
 
-def archive_minutes(messages: DataFrame, seconds: int = 60) -> DataFrame:
-    """The sampled books of archives: ``messages`` as read from them, each file a book of its own."""
-    good = epochs(messages.where("NOT parse_error"), key="file")
-    s = samples(good, seconds, key="file")
-    return top(as_of(levels(good), s, "file"), s, key="file")
+#: Lines of an archive that are one part of its book.
+PART = 100_000
+
+
+def archive_minutes(messages: DataFrame, seconds: int = 60, lines: int = PART) -> DataFrame:
+    """The sampled books of archives: ``messages`` as read from them, each file a book of its own, in parts of so many lines."""
+    part = F.floor(F.col("seq") / lines)
+    good = epochs(messages.where("NOT parse_error"), part, "file")
+    s = samples(good, seconds, part, "file")
+    return top(as_of(levels(good), s, "file", part), s, key="file")
 
 
-def archive_days(messages: DataFrame, jobs: DataFrame, minutes: DataFrame) -> DataFrame:
+def archive_days(messages: DataFrame, jobs: DataFrame, minutes: DataFrame, part_lines: int = PART) -> DataFrame:
     """A row for each file of ``jobs`` (file, symbol, date): the audit of its messages, how late it starts and how early it ends, the first snapshot's levels, its samples.
 
     Lines that can't be read count as rows and as parse_errors, and change nothing else. A file without a readable line has
@@ -149,7 +187,7 @@ def archive_days(messages: DataFrame, jobs: DataFrame, minutes: DataFrame) -> Da
     depth = first.select("file").join(opened.groupBy("file").agg(*(F.count_if(F.col("side") == s).alias(f"initial_{s}_levels") for s in ("ask", "bid"))), "file", "left").fillna(0)
     sampled = minutes.groupBy("file").agg(F.count("*").alias("sample_count"), F.count_if("crossed").alias("sampled_crossed_books"), F.count_if("empty").alias("sampled_empty_books"))
     out = jobs.select("file", "symbol", "date")
-    for table in (lines, audit(good, key="file", zeros=zero_levels()).drop("rows"), depth, sampled):
+    for table in (lines, audit(good, F.floor(F.col("seq") / part_lines), "file", zero_levels()).drop("rows"), depth, sampled):
         out = out.join(table, "file", "left")
     at = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     day = F.unix_millis(F.col("date").cast("date").cast("timestamp_ntz").cast("timestamp"))
