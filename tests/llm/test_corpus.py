@@ -606,6 +606,54 @@ def test_html_by_recurrence_alone(spark, monkeypatch, sent):
     assert all(off[i] != got[i] for i in range(30)) and off[205] == "Menu of variant 1\nStory 5" and off[101] == got[101]
 
 
+def test_adverts_that_recur_in_articles_go(spark):
+    """The same advert in 1, 2, 4, 10 or all of the articles of a host; and comments in containers that recur."""
+    rows, want = [], {}
+    for k, often in enumerate((1, 2, 4, 10, 100)):
+        for i in range(100):
+            advert = f'<div class="advert">Buy it, {k}</div>' if i < often else ""
+            talk = f'<div class="comments"><p>Great, {i % 20}</p></div>'
+            rows.append((1000 * k + i, f"http://host{k}.example/{i}", f"<body><article><h1>Title {i}</h1>{advert}<p>Story {k} {i}</p>{talk}</article></body>"))
+            want[1000 * k + i] = f"Title {i}\nStory {k} {i}"
+    got = html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def brute_main_texts(rows, least_pages=5, least_share=0.2, many_pages=50, known_pages=5, named_pages=2):
+    """Counts and decisions anew, from the parsed pages."""
+    pages = [(i, html_main.host(url), *html_main.parsed(h or "")) for i, url, h in rows]
+    main = ["\n".join(t for t, _, rare, inside in blocks if inside and not rare) for _, _, blocks, _ in pages]
+    seen, sizes = {}, {}
+    for (_, h, _, subtrees), text in zip(pages, main, strict=True):
+        sizes.setdefault(h, set()).add(text)
+        for s in subtrees:
+            seen.setdefault((h, s), set()).add(text)
+
+    def gone(h, s):
+        n, of = len(seen[h, s]), len(sizes[h])
+        return bool(s & 4) and n >= named_pages or n >= least_pages and (bool(s & 2) or n >= least_share * of or s & 1 and n >= max(many_pages, least_pages))
+
+    def known(h, s):
+        return len(seen[h, s]) >= (min(named_pages, least_pages) if s & 4 else min(least_pages, known_pages))
+
+    return sorted((i, "\n".join(t for t, path, rare, _ in blocks if not any(gone(h, s) for s in path) and all(known(h, s) for s in rare))) for i, h, blocks, _ in pages)
+
+
+def test_html_is_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in df.collect()]
+    r = random.Random(6)
+    parts = ["<nav>Home</nav>", "<div>Box {a}</div>", '<div class="promo">Deal {a}</div>', "<p>Text {b}</p>", "<section><p>Note {a}</p><div>In {c}</div></section>", "<article><p>Story {b}</p><div>Box {a}</div><aside>See {a}</aside></article>", "<h2>Head {c}</h2>", "<footer>Foot {c}</footer>"]
+    for i in range(300):
+        page = "".join(r.choice(parts).format(a=r.randint(0, 3), b=r.randint(0, 200), c=r.randint(0, 30)) for _ in range(r.randint(1, 7)))
+        rows.append((10_000_000 + i, f"http://h{r.randint(0, 4)}.example/", f"<body>{page}</body>"))
+    made = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((x.page_id, x.text) for x in html_main.main_text(made).collect())
+    assert got == brute_main_texts(rows)
+    few = {"least_pages": 3, "many_pages": 4, "known_pages": 2, "named_pages": 9}
+    assert sorted((x.page_id, x.text) for x in html_main.main_text(made, **few).collect()) == brute_main_texts(rows, **few)
+
+
 def test_html_takes_time_in_proportion():
     import time
 

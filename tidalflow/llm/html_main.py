@@ -8,9 +8,10 @@ each host, on how many pages of different main text a subtree occurs. The counts
   on MANY_PAGES pages too, however many the host has.
 * within ``article`` only neutral containers can be templates, never a paragraph, heading, list or table of its own, so a
   text that is published twice isn't taken for one; copies of a page count once.
-* Only what is too rare on its host to be judged so (under KNOWN_PAGES pages) is judged by what it says of itself: it goes
-  where it lies outside an article, or calls itself, by tag, role, class or id, a menu, header, footer, sidebar, notice or
-  advert. Reader comments, unlike on every page, go this way.
+* the bar is low, NAMED_PAGES, for a subtree that calls itself, by tag, role, class or id, a menu, header, footer, sidebar,
+  notice or advert, wherever it lies: it need only recur.
+* Only what is too rare on its host to be judged so is judged by what it says of itself: it goes where it lies outside an
+  article and occurs on under KNOWN_PAGES pages, or has such a name and occurs once. Reader comments, unlike on every page, go this way.
 
 Scripts, styles, forms and the like have no text of the page and are never read.
 
@@ -39,6 +40,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.2
 MANY_PAGES = 50
 #: Names and places speak for subtrees on fewer pages of their host.
 KNOWN_PAGES = 5
+#: A subtree whose name says that it isn't main text is a template where it recurs at all.
+NAMED_PAGES = 2
 #: Bytes of decisions on blocks up to which they are sent to the texts; beyond, both are shuffled.
 SENT = 8 << 20
 #: Elements deeper than this stay at this depth, as in browsers.
@@ -198,8 +201,8 @@ def parsed(page: str) -> tuple[list[tuple[str, list[int], list[int], bool]], lis
     for x in reversed(order):
         text = "\x01".join(c if isinstance(c, str) else f"\x02{c.hash}" for c in x.children)
         x.hash = int.from_bytes(hashlib.blake2b(f"{x.tag}\x00{x.named}\x00{' '.join(text.split())}".encode(), digest_size=8).digest(), "big", signed=True)
-        # the last bits: a neutral container; outside an article that the page has
-        x.hash = x.hash & ~3 | (x.tag not in _OWN and x.tag not in _INLINE) | 2 * bool(main and id(x) not in within)
+        # the last bits: a neutral container; outside an article that the page has; named as something else than main text
+        x.hash = x.hash & ~7 | (x.tag not in _OWN and x.tag not in _INLINE) | 2 * bool(main and id(x) not in within) | 4 * _boilerplate(x, id(x) in within)
         if id(x) not in around and x.tag not in ("#", "html", "head", "body", "main", "article", "meta", "br", "img", "link", "hr") and not (id(x) in within and (x.tag in _OWN or x.tag in _INLINE)):
             candidates.add(id(x))
     blocks, current, path, rare, stack = [], [], [], [], []
@@ -237,7 +240,7 @@ def parsed(page: str) -> tuple[list[tuple[str, list[int], list[int], bool]], lis
         stack.append(x)
         if id(x) in candidates:
             path.append(x.hash)
-            if main and id(x) not in within or _boilerplate(x, id(x) in within):
+            if x.hash & 6:
                 rare.append(x.hash)
         todo.append((x, True))
         todo += [(c, False) for c in reversed(x.children)]
@@ -254,7 +257,7 @@ def host(url: str | None) -> str:
         return ""
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES, known_pages: int = KNOWN_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES, known_pages: int = KNOWN_PAGES, named_pages: int = NAMED_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``."""
     schema = "row long, page_id long, url string, host string, digest long, blocks array<struct<text: string, path: array<long>, rare: array<long>>>, subtrees array<long>"
     block = pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
@@ -281,12 +284,12 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     read = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html")).mapInArrow(run, schema), "pages", "zstd")
+    neutral, beside, named = (F.col("subtree").bitwiseAND(F.lit(bit)) > 0 for bit in (1, 2, 4))
     # each main text counts once for a host, however many pages have it
     seen = read.select("host", "digest", F.explode("subtrees").alias("subtree")).distinct()
-    often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min(least_pages, known_pages))
+    often = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(named, min(named_pages, least_pages)).otherwise(min(least_pages, known_pages)))
     sizes = read.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    neutral, beside = (F.col("subtree").bitwiseAND(F.lit(bit)) > 0 for bit in (1, 2))
-    template = (F.col("n") >= least_pages) & (beside | (F.col("n") >= least_share * F.col("of")) | neutral & (F.col("n") >= F.greatest(F.lit(many_pages), F.lit(least_pages))))
+    template = named & (F.col("n") >= named_pages) | (F.col("n") >= least_pages) & (beside | (F.col("n") >= least_share * F.col("of")) | neutral & (F.col("n") >= F.greatest(F.lit(many_pages), F.lit(least_pages))))
     judged = salted(often, sizes, ["host"]).select("host", "subtree", template.alias("gone"))
     mine = read.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("subtree"))
     found = salted(mine, judged, ["host", "subtree"]).groupBy("row").agg(F.collect_set(F.when(F.col("gone"), F.col("subtree"))).alias("gone"), F.collect_set("subtree").alias("known"))
