@@ -355,7 +355,12 @@ def pii_twin(text, key=pii.KEY):
         return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
 
     def ssn(x):
-        return refill(x, permuted(digits(x), "ssn")) if re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", x) else x
+        if not re.fullmatch(VALID_SSN, x):
+            return x
+        areas = [n for n in range(1, 900) if n != 666]
+        area, group, serial = map(int, x.split("-"))
+        a, b = feistel(areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
+        return f"{areas[a]:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
 
     def phone(x):
         m = re.match(r"^\+[0-9]{1,3}(?=[^0-9])|^\+(?:1|7|[2-9][0-9])", x)
@@ -373,6 +378,20 @@ def pii_twin(text, key=pii.KEY):
     return re.sub(pii.CANDIDATE, lambda m: next((f(m[0]) for p, f in kinds if re.fullmatch(p, m[0])), m[0]), text, flags=re.A)
 
 
+VALID_SSN = "(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
+
+
+def test_valid_numbers_have_valid_pseudonyms_of_their_own(spark):
+    draw = random.Random(9)
+    edges = [f"{a:03}-{g:02}-{n:04}" for a in (1, 665, 667, 899) for g in (1, 99) for n in (1, 9999)]
+    valid = sorted({*edges, *(f"{draw.choice([*range(1, 666), *range(667, 900)]):03}-{draw.randint(1, 99):02}-{draw.randint(1, 9999):04}" for _ in range(5000))})
+    invalid = ["000-12-3456", "666-12-3456", "900-12-3456", "123-00-3456", "123-12-0000"]
+    got = {r.doc_id: r.text for r in pii.report(spark.createDataFrame(list(enumerate(valid + invalid)), "doc_id long, text string")).collect()}
+    new = [got[i] for i in range(len(valid))]
+    assert all(re.fullmatch(VALID_SSN, x) for x in new) and len(set(new)) == len(valid) and sum(a == b for a, b in zip(valid, new, strict=True)) < 5
+    assert [got[len(valid) + i] for i in range(len(invalid))] == invalid
+
+
 def test_pii_equals_its_plain_twin(spark, sf):
     draw = random.Random(4)
     text = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

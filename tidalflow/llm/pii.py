@@ -8,7 +8,8 @@ values get equal pseudonyms in every document and different values stay differen
 * payment card (13 to 19 digits, blanks or hyphens between; Luhn): all but the check digit are permuted, which is renewed.
 * account number (16 digits that fail Luhn; validated by their number): likewise, keeping the Luhn sum, so that none becomes a card.
 * phone (``+`` country code and 7 to 14 more digits; or 3-3-4 digits with separators): digits after the country code.
-* IPv4 address: its 32 bits. Social security number 3-2-4 with a valid area: its nine digits.
+* IPv4 address: its 32 bits.
+* social security number 3-2-4 with a valid area, group and serial: its place among all valid ones.
 * date (1900-2099, year first, or day and month first with ``/`` or ``.``; in the calendar): among the dates that are written
   alike, with the same order of the parts, widths and separators; leap days among leap days. A date in which both orders
   are possible is read day first, before and after. One date in two notations has two pseudonyms.
@@ -126,8 +127,24 @@ def phone(x: Column, key: str) -> Column:
     return F.when(_digits(rest).rlike("^[0-9]{7,14}$"), F.concat(code, refill(rest, digits_permuted(_digits(rest), "phone", key)))).otherwise(x)
 
 
+# Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999: fixed bounds of valid numbers.
+_AREAS, _NO_AREA, _SERIALS, _RESTS = 898, 666, 9999, 99 * 9999
+
+
 def ssn(x: Column, key: str) -> Column:
-    return F.when(x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), refill(x, digits_permuted(_digits(x), "ssn", key))).otherwise(x)
+    """The number's place among all valid ones is permuted, as area and rest, so that a valid number always has a valid one."""
+
+    def run(d: Column) -> Column:
+        number = lambda at, n: F.substring(d, at, n).cast("long")
+        area = number(1, 3) - 1 - F.when(number(1, 3) > _NO_AREA, 1).otherwise(0)
+        rest = (number(4, 2) - 1) * _SERIALS + number(6, 4) - 1
+        return _let(F.array(*feistel(area, rest, F.lit(_AREAS), F.lit(_RESTS), F.lit("ssn"), key)), lambda h: F.concat_ws("-", *written(h[0] + 1, h[1])))
+
+    def written(area: Column, rest: Column) -> tuple[Column, ...]:
+        parts = ((area + F.when(area >= _NO_AREA, 1).otherwise(0), 3), (F.floor(rest / _SERIALS) + 1, 2), (rest % _SERIALS + 1, 4))
+        return tuple(F.lpad(v.cast("string"), n, "0") for v, n in parts)
+
+    return F.when(x.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), _let(_digits(x), run)).otherwise(x)
 
 
 def ipv4(x: Column, key: str) -> Column:
