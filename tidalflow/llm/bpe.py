@@ -172,9 +172,12 @@ class SegmentTreeBpe:
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers of this machine."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        self.learn(self.known.lacking(set().union(*split)))
-        known = self.known.new
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
+        get = self.known.new.get
+        got = [list(map(get, x)) for x in split]
+        gaps = {i for i, x in enumerate(got) if None in x}
+        self.learn(self.known.lacking({c for i in gaps for c, x in zip(split[i], got[i], strict=True) if x is None}))
+        new = self.known.new
+        out = [b"".join([new[c] if x is None else x for c, x in zip(split[i], found, strict=True)] if i in gaps else found) for i, found in enumerate(got)]
         self.known.trim()
         return out
 
