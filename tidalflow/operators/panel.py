@@ -29,6 +29,31 @@ def trade_buckets(trades: DataFrame, interval: str, *keys: str) -> DataFrame:
     return sums.withColumns({"bucket_return": F.try_divide("last_price", "first_price") - 1, "aggressor_imbalance": F.try_divide(signed, F.col("total_quote_quantity"))})
 
 
+def bucket_parts(trades: DataFrame, interval: str, *keys: str, sums: list[str] | None = None) -> DataFrame:
+    """Buckets by symbol (and ``keys``) as sums that can be merged with those of other trades, and the totals of the columns ``sums``."""
+    quote, end = F.col("price") * F.col("size"), F.struct("ts", "trade_id", "price")
+    buy = F.col("side") == "buy"
+    return trades.groupBy(F.window("ts", interval).start.alias("bucket_start"), "symbol", *keys).agg(
+        F.min(end).alias("opened"),
+        F.max(end).alias("closed"),
+        F.count("*").alias("transaction_count"),
+        F.sum("size").alias("total_quantity"),
+        F.sum(quote).alias("total_quote_quantity"),
+        F.sum(F.when(buy, quote).otherwise(0.0)).alias("buy_quote_quantity"),
+        F.sum(F.when(~buy, quote).otherwise(0.0)).alias("sell_quote_quantity"),
+        *(F.sum(c).alias(c) for c in sums or []),
+    )
+
+
+def merged_buckets(parts: DataFrame) -> DataFrame:
+    """What ``trade_buckets`` gives of all trades together, from the parts of several sets of them."""
+    total = ("transaction_count", "total_quantity", "total_quote_quantity", "buy_quote_quantity", "sell_quote_quantity")
+    whole = parts.groupBy("bucket_start", "symbol").agg(F.min("opened").alias("_o"), F.max("closed").alias("_c"), *(F.sum(c).alias(c) for c in total))
+    signed = F.col("buy_quote_quantity") - F.col("sell_quote_quantity")
+    ends = [F.col(f"{side}.{c}").alias(name) for c, names in (("ts", ("first_timestamp", "last_timestamp")), ("price", ("first_price", "last_price"))) for side, name in zip(("_o", "_c"), names, strict=True)]
+    return whole.select("bucket_start", "symbol", *ends, *total, (F.try_divide("_c.price", "_o.price") - 1).alias("bucket_return"), F.try_divide(signed, F.col("total_quote_quantity")).alias("aggressor_imbalance"))
+
+
 def sample_split(ts: Column, development: tuple[str, str], oos: tuple[str, str]) -> Column:
     inside = lambda b: (ts >= F.lit(b[0]).cast("timestamp_ntz")) & (ts < F.lit(b[1]).cast("timestamp_ntz"))
     return F.when(inside(development), "development").when(inside(oos), "oos").otherwise("excluded")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import sha256_file
 from ..operators import book, collection, gates
 from ..sources import archives, calendar, catalog
-from . import runners, sinks
+from . import sinks
 
 LOG = logging.getLogger(__name__)
 KEY = ["symbol", "date"]
@@ -75,23 +75,24 @@ def jobs(spark: SparkSession, research: Mapping) -> DataFrame:
     return calendar.jobs(spark, str(d["start_inclusive"])[:10], str(d["end_exclusive"])[:10], list(d["symbols"]))
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table of the collection; no rows where nothing was written yet."""
+def read(spark: SparkSession, path: str, schema: str, placed: bool = False) -> DataFrame:
+    """A table of the collection; no rows where nothing was written yet. ``placed`` adds each row's file and place in it, _file and _row."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+        return spark.createDataFrame([], schema + ", _file string, _row long" * placed)
+    table = spark.read.schema(schema).parquet(path)
+    return table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")) if placed else table
 
 
-def replace(rows: DataFrame, path: str) -> None:
-    """Writes ``rows`` in place of what the table has for their symbols and dates; other partitions stay."""
-    rows.repartition(*KEY).sortWithinPartitions(*KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).parquet(path)
+def replace(rows: DataFrame, path: str, key: list[str] = KEY, *order: str) -> None:
+    """Writes ``rows`` in place of what the table has for their keys; other partitions stay. Each partition is one file, in ``order``."""
+    rows.repartition(*key).sortWithinPartitions(*key, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
 
 
-def digests(features: DataFrame) -> DataFrame:
-    """symbol, date, bucket_rows and the digest of a day's features by their content, however they lie in files."""
-    shown = F.sha2(F.to_json(F.struct(*[c for c in features.columns if c not in KEY])), 256)
-    return features.groupBy(*KEY).agg(F.count("*").alias("bucket_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(shown)), ","), 256).alias("cache_sha256"))
+def digests(features: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """``key``, bucket_rows and the digest of a partition's buckets by their content, however they lie in files."""
+    shown = F.sha2(F.to_json(F.struct(*[c for c in features.columns if c not in key])), 256)
+    return features.groupBy(*key).agg(F.count("*").alias("bucket_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list(shown)), ","), 256).alias("cache_sha256"))
 
 
 def whole(spark: SparkSession, at: Places, asked: DataFrame, buckets: int) -> DataFrame:
@@ -129,6 +130,15 @@ def fetched(files: DataFrame, timeout: int) -> DataFrame:
     return files.mapInArrow(run, "date string, symbol string, path string, archive_size_bytes long, archive_sha256 string")
 
 
+def archive_figures(spark: SparkSession, files: list[tuple[str, str, str]], seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages, a row of figures a file, and sampled books of archives given as (path, symbol, date)."""
+    named = spark.createDataFrame([(os.path.basename(p), s, day) for p, s, day in files], "name string, symbol string, date string")
+    messages = archives.book_messages(archives.tarred_lines(spark, *(p for p, _, _ in files))).persist()
+    jobs = messages.select("file").distinct().withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(named), "name").drop("name")
+    minutes = book.archive_minutes(messages, seconds).persist()
+    return messages, book.archive_days(messages, jobs, minutes), minutes
+
+
 def day_features(minutes: DataFrame, named: DataFrame, interval: str) -> DataFrame:
     """The features of each file's books under the symbol and date that ``named`` (file, symbol, date) gives it, whatever its own times say."""
     by_file = book.liquidity(minutes.drop("symbol").withColumnRenamed("file", "symbol"), interval).withColumnRenamed("symbol", "file")
@@ -141,7 +151,7 @@ def batch(spark: SparkSession, at: Places, files: list[dict], settings: Mapping,
     rows = [(f["date"], f["symbol"], f["url"], f["size_mb"], f"{at.raw}/{f['symbol']}/{f['filename']}") for f in files]
     got = fetched(spark.createDataFrame(rows, JOB).repartition(len(rows), "date", "symbol"), int(s.get("timeout_seconds", 300))).collect()
     reached("archives")
-    messages, days, books = runners.archive_figures(spark, [(r["path"], r["symbol"], r["date"]) for r in got], int(c["sample_interval_seconds"]))
+    messages, days, books = archive_figures(spark, [(r["path"], r["symbol"], r["date"]) for r in got], int(c["sample_interval_seconds"]))
     named = days.select("file", "symbol", F.col("date").cast("date").alias("date"))
     features = day_features(books, named, f"{minutes} minutes").persist()
     replace(features, at.table("features"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import book, collection, gates, panel, regression, synchronization
 from ..sources import archives, calendar, catalog
-from . import sinks, studies
+from . import collector, months, sinks, studies
 
 #: Layers of text data that no study may use.
 EXCLUDED = ("news", "reddit", "sentiment")
@@ -139,25 +139,13 @@ def primary(spark: SparkSession, config: Mapping, path: str, base: str = ".") ->
 
 
 def external(spark: SparkSession, config: Mapping, path: str, base: str = ".", others: Mapping[str, str] | None = None) -> dict[str, pd.DataFrame]:
-    """The same study on a second provider's monthly archives of ticks, compared with the first one's stored summaries (``compared_with``)."""
+    """The same study on a second provider's monthly archives of ticks, collected month by month, compared with the first one's stored summaries (``compared_with``)."""
     gates.frozen(config, {}, EXCLUDED)
     source, d = config["source"], config["data"]
     seal, out = sealed(config, path, base, (*EXCLUDED, "twitter_x"), others), output(config, base)
-    months = calendar_months(_plain(d["expected_start"]), _plain(d["expected_end_exclusive"]))
-    files = {(s, m): os.path.join(base, source["local_data_dir"], s, f"{s}-trades-{m}.zip") for s in d["symbols"] for m in months}
-    for (s, m), file in files.items():
-        if not archives.readable_zip(file):
-            if not source.get("base_url"):
-                raise FileNotFoundError(file)
-            catalog.download(f"{source['base_url'].rstrip('/')}/{m.replace('-', '')}/{s}-trades-{m}.zip", file, None, source.get("retries", 5), source.get("timeout_seconds", 300), archives.readable_zip)
-    ticks = archives.zipped_ticks(spark, *files.values())
-    problems = archives.tick_problems(ticks).where("wrong_side + not_increasing + non_finite > 0 OR symbols <> 1")
-    bad = problems.first()
-    if bad:
-        raise ValueError(f"invalid ticks: {bad}")
     interval = int(d["expected_interval_minutes"])
-    start, end = (F.lit(_plain(d[k])).cast("timestamp_ntz") for k in ("expected_start", "expected_end_exclusive"))
-    buckets = panel.trade_buckets(archives.trades(ticks), f"{interval} minutes").where((F.col("bucket_start") >= start) & (F.col("bucket_start") < end)).persist()
+    found, manifest = months.collect(spark, config, base, out)
+    buckets = found.persist()
     whole = panel.complete_buckets(buckets, len(d["symbols"]))
     grid = calendar.spine(spark, _plain(d["expected_start"]), _plain(d["expected_end_exclusive"]), f"{interval} minutes").count()
     share = whole.count() / grid
@@ -166,7 +154,7 @@ def external(spark: SparkSession, config: Mapping, path: str, base: str = ".", o
     kept = buckets.join(whole, "bucket_start", "left_semi")
     coverage = buckets.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("bucket_start").alias("start"), F.max("bucket_start").alias("end")).withColumns({"available_share": F.col("rows") / grid, "complete_intersection_share": F.lit(share)}).toPandas()
     tables, panels = core(kept, config)
-    tables = {"source_coverage": coverage, "source_file_manifest": sinks.manifest(spark, *files.values()).toPandas(), **tables}
+    tables = {"source_coverage": coverage, "source_file_manifest": manifest, **tables}
     if config.get("compared_with"):
         old = {n: spark.createDataFrame(archives.stored(f"{os.path.join(base, config['compared_with'])}/{n}.csv")) for n in ("synchronization_summary", "lead_lag_summary")}
         new = {n: spark.createDataFrame(tables[n]) for n in old}
@@ -176,12 +164,6 @@ def external(spark: SparkSession, config: Mapping, path: str, base: str = ".", o
     return _finish(config, path, base, out, "External validation", tables, {"trade_buckets": kept, **panels}, decisions, seal)
 
 
-def calendar_months(start: str, end: str) -> list[str]:
-    """Months that [start, end) touches, as yyyy-mm."""
-    last = pd.Timestamp(end) - pd.Timedelta(microseconds=1)
-    return [str(m) for m in pd.period_range(pd.Timestamp(start), last, freq="M")]
-
-
 def cross(spark: SparkSession, config: Mapping, path: str, base: str = ".") -> dict[str, pd.DataFrame]:
     """Agreement and transmission between two venues, from the residual panels at ``data.<venue>_residual_path``."""
     gates.frozen(config, {}, EXCLUDED)
@@ -235,7 +217,7 @@ def audit(spark: SparkSession, config: Mapping, path: str, base: str = ".", list
         raise RuntimeError("the pilot's archive isn't listed as available")
     archive = os.path.join(base, d["archive_dir"], pilot[0]["filename"])
     catalog.download(pilot[0]["url"], archive, pilot[0]["size_mb"])
-    messages, days, minutes = archive_figures(spark, [(archive, d["pilot_symbol"], d["pilot_date"])], int(a["sample_interval_seconds"]))
+    messages, days, minutes = collector.archive_figures(spark, [(archive, d["pilot_symbol"], d["pilot_date"])], int(a["sample_interval_seconds"]))
     summary = days.toPandas()
     tables = {"archive_catalog_sample": files.toPandas(), "pilot_audit_summary": summary, "resource_estimates": collection.resources(files, int(a["confirmatory_window_days"]), int(a["full_history_days"])).toPandas(), "quality_decisions": gates.pilot(files, summary.iloc[0].to_dict(), a)}
     write(tables, out)
@@ -247,15 +229,6 @@ def audit(spark: SparkSession, config: Mapping, path: str, base: str = ".", list
     return tables
 
 
-def archive_figures(spark: SparkSession, files: list[tuple[str, str, str]], seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages, a row of figures a file, and sampled books of archives given as (path, symbol, date)."""
-    named = spark.createDataFrame([(os.path.basename(p), s, day) for p, s, day in files], "name string, symbol string, date string")
-    messages = archives.book_messages(archives.tarred_lines(spark, *(p for p, _, _ in files))).persist()
-    jobs = messages.select("file").distinct().withColumn("name", F.element_at(F.split("file", "/"), -1)).join(F.broadcast(named), "name").drop("name")
-    minutes = book.archive_minutes(messages, seconds).persist()
-    return messages, book.archive_days(messages, jobs, minutes), minutes
-
-
 def _finish(config, path, base, out, title, tables, panels, decisions, seal) -> dict[str, pd.DataFrame]:
     """Files in an order that leaves the decisions for last: a run that died can be repeated."""
     write({**tables, **panels}, out)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows that a task passes on at a time.
 CHUNK = 50_000
-TICK = "file string, seq long, instrument_name string, trade_id long, side string, price double, size double, created_time long"
+TICK = "file string, seq long, id_before long, instrument_name string, trade_id long, side string, price double, size double, created_time long"
 BOOK = "instId string, action string, ts string, asks array<array<string>>, bids array<array<string>>"
 
 
@@ -65,13 +65,18 @@ def _numbered(path: str, types: dict[str, pa.DataType], whole: bool) -> Iterator
 
 
 def zipped_ticks(spark: SparkSession, *paths: str) -> DataFrame:
-    """Ticks of zipped CSV files, with their file and place in it. Values that are missing or don't parse are an error of the task."""
+    """Ticks of zipped CSV files, with their file, place in it and the id before theirs. Values that are missing or don't parse are an error of the task."""
     types = {"instrument_name": pa.string(), "trade_id": pa.int64(), "side": pa.string(), "price": pa.float64(), "size": pa.float64(), "created_time": pa.int64()}
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                yield from _numbered(path, types, whole=True)
+                last = None
+                for got in _numbered(path, types, whole=True):
+                    ids = got.column("trade_id")
+                    before = pa.concat_arrays([pa.array([last], pa.int64()), ids.slice(0, len(ids) - 1)]) if len(ids) else ids
+                    last = ids[-1].as_py() if len(ids) else last
+                    yield pa.RecordBatch.from_arrays([*got.columns[:2], before, *got.columns[2:]], names=["file", "seq", "id_before", *got.schema.names[2:]])
 
     return _listed(spark, paths).mapInArrow(run, TICK)
 
@@ -117,9 +122,10 @@ def tick_problems(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("_b", before).groupBy("file").agg(F.count_if(~F.lower("side").isin("buy", "sell")).alias("wrong_side"), F.count_if(F.col("trade_id") <= F.col("_b")).alias("not_increasing"), F.count_if(bad("price") | bad("size")).alias("non_finite"), F.count_distinct("instrument_name").alias("symbols"))
 
 
-def trades(ticks: DataFrame) -> DataFrame:
-    """symbol, trade_id, side, price, size, ts (UTC) of ticks."""
-    return ticks.select(F.col("instrument_name").alias("symbol"), "trade_id", F.lower("side").alias("side"), "price", "size", F.timestamp_millis("created_time").cast("timestamp_ntz").alias("ts"))
+def trades(ticks: DataFrame, *keep: str) -> DataFrame:
+    """symbol, trade_id, side, price, size, ts (UTC) of ticks, and the columns ``keep``; a symbol among them is taken in place of the ticks' own."""
+    own = [] if "symbol" in keep else [F.col("instrument_name").alias("symbol")]
+    return ticks.select(*own, *keep, "trade_id", F.lower("side").alias("side"), "price", "size", F.timestamp_millis("created_time").cast("timestamp_ntz").alias("ts"))
 
 
 def _lines(path: str) -> Iterator[bytes]:
