@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -25,9 +25,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("x"), "a", "b")
         small = small.select(F.col("x").alias("a"), F.col("b")).union(small.where("a <> x").select(F.col("x").alias("a"), F.col("a").alias("b"))).distinct()
-        now = stored(small, name)
+        now, last = stored(small, name), now
+        forget(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a")).distinct()
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a")).distinct()
+    out.stored_at = now.stored_at  # for ``forget``
+    return out

@@ -17,13 +17,14 @@ Columns of the inputs other than doc_id, item_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, steps, stored, texts
+from .common import steps, stored, texts
 
 WINDOW = 13
 #: Test text that one pass over the documents takes: what is sent to each executor has this bound.
@@ -144,37 +145,64 @@ def _shard(test: TestSet, docs: list[bytes]):
 
 
 _FOUND = {"__words": pa.int64(), "__spans": pa.list_(pa.int64()), "__items": pa.list_(pa.string())}
+_TYPES = "__words long, __spans array<long>, __items array<string>"
+
+
+def _spans(test: TestSet, texts: list[bytes]) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """Of each text: its number of words, the runs of hit words, and the items found."""
+    split, begin, hit, items = _shard(test, texts)
+    spans = []
+    for b, x in zip(begin, split, strict=False):
+        flags = np.zeros(len(x) + 2, np.int8)
+        flags[1:-1] = hit[b : b + len(x)]
+        spans.append(np.flatnonzero(np.diff(flags)).tolist())
+    return [len(x) for x in split], spans, [sorted(x) for x in items]
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """``docs`` with __words, __spans (first and end of each run of hit words, one after the other) and __items."""
-    marked = docs.selectExpr("*", "0L AS __words", "CAST(array() AS array<bigint>) AS __spans", "CAST(array() AS array<string>) AS __items")
-    schema, before = marked.schema, None
+    """``docs`` with __words, __spans (first and end of each run of hit words, one after the other) and __items.
+
+    A benchmark of one block needs one pass and no shuffle. With several, the rows are stored once under numbers, each block's pass
+    stores what it found in the rows where it found something, and what all blocks found is joined to the rows at the end.
+    """
+    context, base, stores = docs.sparkSession.sparkContext, None, []
     for block, last in _blocks(benchmark, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(TestSet(block, window))
+        sent = context.broadcast(TestSet(block, window))
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, every=not stores, whole=last and not stores):
             for part in steps(batches):
-                split, begin, hit, items = _shard(sent.value, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()])
-                spans, named = [], []
-                for b, x, old, found, mine in zip(begin, split, part.column("__spans").to_pylist(), part.column("__items").to_pylist(), items, strict=False):
-                    flags = np.zeros(len(x) + 2, np.int8)
-                    flags[1:-1] = hit[b : b + len(x)]
-                    for i in range(0, len(old), 2):
-                        flags[1 + old[i] : 1 + old[i + 1]] = 1
-                    spans.append(np.flatnonzero(np.diff(flags)).tolist())
-                    named.append(sorted({*found, *mine}))
-                new = [pa.array(c, t) for c, t in zip(([len(x) for x in split], spans, named), _FOUND.values(), strict=True)]
-                kept = [part.column(n) for n in part.schema.names if n not in _FOUND]
-                yield pa.RecordBatch.from_arrays(kept + new, names=[n for n in part.schema.names if n not in _FOUND] + [*_FOUND])
-
-        marked = marked.mapInArrow(run, schema)
-        if not last:
-            marked = stored(marked, "marked")
-            sent.destroy()
-            forget(before)
-            before = marked
-    return marked
+                columns = _spans(sent.value, [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()])
+                new = [pa.array(c, t) for c, t in zip(columns, _FOUND.values(), strict=True)]
+                names = part.schema.names if whole else ["__row"]
+                out = pa.RecordBatch.from_arrays([part.column(n) for n in names] + new, names=[*names, *_FOUND])
+                yield out if every else out.filter(pa.array([bool(x) for x in columns[1]], pa.bool_()))
+
+        if last and base is None:
+            return docs.mapInArrow(run, docs.selectExpr("*", "0L AS __words", "CAST(array() AS array<bigint>) AS __spans", "CAST(array() AS array<string>) AS __items").schema)
+        if base is None:
+            base = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        stores.append(stored(base.select("__row", "text").mapInArrow(run, f"__row long, {_TYPES}"), "spans"))
+        sent.destroy()
+    pieces = reduce(DataFrame.union, stores)
+    gathered = pieces.groupBy("__row").agg(F.max("__words").alias("__words"), F.collect_list("__spans").alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+
+    def joined(batches):
+        for part in batches:
+            spans = [_union(x) for x in part.column("__spans").to_pylist()]
+            yield part.set_column(part.schema.get_field_index("__spans"), "__spans", pa.array(spans, _FOUND["__spans"]))
+
+    return base.join(gathered.mapInArrow(joined, f"__row long, {_TYPES}"), "__row").drop("__row")
+
+
+def _union(spans: list[list[int]]) -> list[int]:
+    """The runs that several lists of runs cover together."""
+    out: list[int] = []
+    for first, end in sorted((x[i], x[i + 1]) for x in spans for i in range(0, len(x), 2)):
+        if out and first <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [first, end]
+    return out
 
 
 def _hit() -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, stored, texts
+from .common import forget, steps, stored, texts
 from .components import components
 
 WORDS, PERCENT = 2, 80
@@ -269,14 +269,17 @@ def with_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def with_components(guests: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of ``guests`` (id, root, main) with the members of the component ``main``, which is cut into blocks that every guest meets."""
+    """Links of ``guests`` (id, root, main) with the members of the component ``main``: both are cut into blocks, and each pair of blocks meets in a step of its own."""
     none = F.lit(None).cast("array<long>").alias("keys")
     wanted = guests.select("main").distinct()
     alone = wanted.join(roots, wanted["main"] == roots["node"], "left_anti").select(F.col("main").alias("id"), "main")
     inside = roots.join(wanted, roots["root"] == wanted["main"]).select(F.col("node").alias("id"), "main").union(alone)
-    sizes = _parts(inside, "main", sets)
-    members = inside.join(sizes, "main").select(F.col("main").alias("group"), _block(F.col("of")).alias("part"), F.lit(0).alias("side"), "id", F.col("main").alias("root"), none)
-    met = guests.join(sizes, "main").select(F.col("main").alias("group"), _each(F.col("of")).alias("part"), F.lit(1).alias("side"), "id", "root", none)
+    sizes = _parts(inside, "main", sets).join(_parts(guests, "main", sets).withColumnRenamed("of", "of_guests"), "main")
+    part = F.col("block") * F.col("of_guests") + F.col("guest_block")
+    members = inside.join(sizes, "main").withColumn("block", _block(F.col("of"))).withColumn("guest_block", _each(F.col("of_guests")))
+    met = guests.join(sizes, "main").withColumn("guest_block", _block(F.col("of_guests"))).withColumn("block", _each(F.col("of")))
+    members = members.select(F.col("main").alias("group"), part.alias("part"), F.lit(0).alias("side"), "id", F.col("main").alias("root"), none)
+    met = met.select(F.col("main").alias("group"), part.alias("part"), F.lit(1).alias("side"), "id", "root", none)
     return compared(members.unionByName(met), sets, percent)
 
 
@@ -321,6 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     classes, buckets = _shared(rows)
     sets = _sets(docs, classes, buckets, k)
     none = docs.sparkSession.createDataFrame([], "a long, b long")
+    used: list[DataFrame] = []
     tested, roots = none, none.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,15 +345,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
         if links_.isEmpty():
             break
         tested = tested.union(best.select("id", "lead")).union(best.select("lead", "id"))
-        roots = joined(roots, links_)
+        roots, last = joined(roots, links_), roots
+        used += [best, links_]
+        forget(last)
     # what is left: in each bucket, everything outside its most frequent component, with that component and among itself
     now = rooted()
     main = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     outside = stored(now.join(main, "key").where("root <> main"), "outside")
-    found = with_components(stored(outside.select("id", "root", "main").distinct(), "guests"), roots, sets, percent)
+    guests = stored(outside.select("id", "root", "main").distinct(), "guests")
+    found = with_components(guests, roots, sets, percent)
     found = stored(found.union(among(outside.select("key", "id", "root"), sets, percent)), "links")
     if not found.isEmpty():
-        roots = joined(roots, found)
+        roots, last = joined(roots, found), roots
+        forget(last)
+    forget(*used, outside, guests, found, buckets, sets)
     named = rows.select("doc_id", "n_shingles", "digest")
     own = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
     out = named.join(own, "digest", "left").withColumn("component_id", F.coalesce("id", "doc_id"))
