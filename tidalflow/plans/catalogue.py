@@ -8,7 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import book, panel, regression, synchronization
+from ..operators import book, panel, positions, regression, synchronization
+from ..operators import quantiles as selection
 from ..sources import calendar, events
 from .sqltext import sql
 
@@ -183,19 +184,22 @@ def json_decode(spark, root):
     return _events(spark, root, "event_id", "props").select("event_id", k.alias("k"), k.isNull().alias("failed"))
 
 
-@query("SELECT CAST(ts AS TIMESTAMP) AS bucket_start FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 18:00:00', INTERVAL '6 hours') g(ts)")
+@query("SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)) + INTERVAL 18 HOUR, INTERVAL 6 HOUR))::TIMESTAMP AS bucket_start FROM events")
 def calendar_spine(spark, root):
-    return calendar.spine(spark, START, END, INTERVAL)
+    """Of the days from the first event's to the last one's."""
+    return calendar.spine_of(_events(spark, root, "ts"), "ts", INTERVAL)
 
 
-@query("SELECT CAST(m AS DATE) AS month FROM generate_series(DATE '2023-11-01', DATE '2024-12-01', INTERVAL 1 MONTH) g(m)")
+@query("SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM orders")
 def month_spine(spark, root):
-    return calendar.months(spark, "2023-11-15", "2025-01-01")
+    """Of the months in which there are orders."""
+    return calendar.months_of(spark.read.parquet(f"{root}/orders.parquet"), "o_orderdate")
 
 
-@query("SELECT date, symbol FROM jobs", "jobs")
+@query("SELECT d::DATE AS date, symbol FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), max(ts), INTERVAL 1 DAY)) AS d FROM events) JOIN (SELECT DISTINCT symbol FROM trades) ON true", "trades")
 def job_cross_join(spark, root):
-    return _jobs(spark)
+    """Each day that events span with each symbol that trades have."""
+    return calendar.jobs_of(_trades(spark, root), "ts")
 
 
 @query("SELECT bucket_start, symbol, venue, flow FROM venues", "venues", f="flow")
@@ -437,7 +441,8 @@ def dev_zscore(spark, root):
 
 @query("SELECT symbol, quantile_cont(size, 0.5) AS p50, quantile_cont(size, 0.95) AS p95, quantile_cont(size, 0.99) AS p99 FROM trades GROUP BY 1", "trades", f="p50 p95 p99")
 def quantiles(spark, root):
-    return _trades(spark, root).groupBy("symbol").agg(*(F.percentile("size", p / 100).alias(f"p{p}") for p in (50, 95, 99)))
+    found = selection.exact_quantiles(_trades(spark, root), "size", [0.5, 0.95, 0.99], ["symbol"])
+    return found.groupBy("symbol").agg(*(F.max(F.when(F.col("p") == p / 100, F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)))
 
 
 @query("SELECT left_symbol, right_symbol, correlation FROM pairs", "pairs", f="correlation")
@@ -542,7 +547,8 @@ def lead_same_day(spark, root):
 @query("SELECT bucket_start, five_flow, lag(five_flow) OVER (ORDER BY bucket_start) AS lagged FROM oos_flows", "oos_flows", f="five_flow lagged")
 def futures_lag(spark, root):
     """The lag is taken after the restriction to the out-of-sample split."""
-    return _oos_flows(spark, root).select("bucket_start", "five_flow", F.lag("five_flow").over(Window.orderBy("bucket_start")).alias("lagged"))
+    placed = positions.numbered(_oos_flows(spark, root).select("bucket_start", "five_flow"), ["bucket_start"])
+    return positions.behind(placed, "five_flow", "lagged").drop("position")
 
 
 _P = "(SELECT symbol, event_type, (count(*) % 97 + 1) / 100.0::DOUBLE AS p FROM (SELECT 'A' || (user_id % 7) AS symbol, event_type FROM events) GROUP BY 1, 2)"
@@ -577,7 +583,7 @@ def circular_shift_panel(spark, root):
 @query("SELECT bucket_start, major_flow FROM (SELECT *, row_number() OVER (ORDER BY bucket_start) AS r FROM flows) WHERE (r - 1) % 8 = 0", "flows", f="major_flow")
 def stride_sample(spark, root):
     """Sampling is the operator: every eighth bucket of a plot's series."""
-    return _flows(spark, root).withColumn("r", F.row_number().over(Window.orderBy("bucket_start"))).where("(r - 1) % 8 = 0").select("bucket_start", "major_flow")
+    return positions.numbered(_flows(spark, root), ["bucket_start"]).where("position % 8 = 0").select("bucket_start", "major_flow")
 
 
 # --- regressions and tests ---------------------------------------------------------------------------------------------
@@ -826,6 +832,13 @@ def book_asof(spark, root):
     return book.as_of(e, s)
 
 
+@query("SELECT symbol, sample_ts, side, price, size FROM book", "book")
+def book_in_parts(spark, root):
+    """The same books, each day by itself from the levels that it opens with."""
+    e, s = _sampled(spark, root)
+    return book.as_of(e, s, part=F.to_date("ts"))
+
+
 _TOP = "spread_bps " + " ".join(f"ask_depth_{k} bid_depth_{k} depth_{k} imbalance_{k}" for k in (1, 5, 10))
 
 
