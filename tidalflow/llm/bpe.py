@@ -21,12 +21,14 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import Recent, per_text, texts
 
 #: Bytes in which a worker remembers chunks.
-REMEMBERED = 256 << 20
+REMEMBERED = 384 << 20
 _NONE = np.int64(1) << 60
 # Letters, lower-cased, and marks behind them: one piece each, whatever the tokenizer file's own rules for the rest. No line of these has an
 # apostrophe, which may begin a piece, or a <, which may begin a special token.
@@ -169,17 +171,28 @@ class SegmentTreeBpe:
         parts = (x for x in self.cut.split(chunk) if x)
         return [y for x in parts for y in ([self.special[x].to_bytes(4, sys.byteorder)] if x in self.special else self._pieces(x))]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as 32-bit numbers of this machine."""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        get = self.known.new.get
-        got = [list(map(get, x)) for x in split]
-        gaps = {i for i, x in enumerate(got) if None in x}
-        self.learn(self.known.lacking({c for i in gaps for c, x in zip(split[i], got[i], strict=True) if x is None}))
-        new = self.known.new
-        out = [b"".join([new[c] if x is None else x for c, x in zip(split[i], found, strict=True)] if i in gaps else found) for i, found in enumerate(got)]
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers of this machine. Chunks are cut and told apart by Arrow; only distinct ones are looked up."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        chunks = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.new.get, distinct))
+        if None in found:
+            self.learn(self.known.recalled([c for c, x in zip(distinct, found, strict=True) if x is None]))
+            new = self.known.new
+            found = [new[c] if x is None else x for c, x in zip(distinct, found, strict=True)]
         self.known.trim()
-        return out
+        # each chunk's ids are a stretch of those of all distinct ones
+        held = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        size = held[which]
+        end = np.cumsum(size)
+        at = np.repeat((np.cumsum(held) - held)[which] - (end - size), size) + np.arange(size.sum())
+        flat = np.frombuffer(b"".join(found), np.uint32)[at].tobytes()
+        # of a text's chunks, of which there is one at least
+        ends = (4 * end[chunks.offsets.to_numpy()[1:] - 1]).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Of each text: the number of ids, the ids and the decoded text. The file has no decoder: tokens are joined by a space."""

@@ -52,7 +52,7 @@ class Recent:
 
     LONG = 256
     #: Bytes of an entry in a dictionary, about.
-    ENTRY = 120
+    ENTRY = 80
 
     def __init__(self, limit: int):
         self.new, self.old, self.long, self.size, self.limit = {}, {}, [], 0, limit
@@ -60,11 +60,17 @@ class Recent:
     def lacking(self, keys: set) -> list:
         """Those of ``keys`` without a value; the others are in ``new`` from now on."""
         self.trim()
-        new, old = self.new, self.old
-        lacking = [x for x in keys if x not in new]
-        again = [x for x in lacking if x in old]
-        self.put(again, [old[x] for x in again])
-        return [x for x in lacking if x not in old] if again else lacking
+        return self.recalled([x for x in keys if x not in self.new])
+
+    def recalled(self, keys: list) -> list:
+        """Of ``keys``, which ``new`` doesn't have, those that ``old`` doesn't have either; the others are in ``new`` from now on."""
+        if not self.old:
+            return keys
+        values = list(map(self.old.get, keys))
+        again = [(k, v) for k, v in zip(keys, values, strict=True) if v is not None]
+        if again:
+            self.put([k for k, _ in again], [v for _, v in again])
+        return [k for k, v in zip(keys, values, strict=True) if v is None]
 
     def put(self, keys: list, values: list) -> None:
         self.long += [k for k in keys if len(k) > self.LONG]

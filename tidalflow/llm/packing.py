@@ -192,7 +192,7 @@ def packed(examples: DataFrame, path: str, limits: Limits = Limits(), prompt: st
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for part in steps(batches, "text", *(["prompt"] if prompt else [])):
-            said_by = lambda column: bpe.ids(part.column(column).cast(pa.string()).to_pylist())  # noqa: B023, E731
+            said_by = lambda column: bpe.ids(part.column(column).cast(pa.string()))  # noqa: B023, E731
             asked = said_by("prompt") if prompt else [b""] * part.num_rows
             told, full = said_by("text"), []
             for doc_id, a, b in zip(part.column("doc_id").to_pylist(), asked, told, strict=True):
