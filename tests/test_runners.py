@@ -54,12 +54,20 @@ def test_primary_sensitivity_cross_and_verification(spark, tmp_path):
     said = got["decisions"].set_index("decision")
     assert said.passed["spot_synchronization"] and said.passed["futures_confirmation"] and not said.passed["directional_alpha"]
     assert got["synchronization_summary"]["observed"][0] > 0.5 and len(got["pairwise_residual_correlations"]) == 6 and got["spot_coverage"]["rows"][0] == 640
+    report = (tmp_path / "out/report.md").read_text()
+    assert "spot_synchronization: **supported** (`" in report and "640 rows, 160 buckets, 4 assets" in report and "## Confirmation by futures" in report and "no news, forum or sentiment data" in report
+    assert f"| mean_pairwise_correlation | {got['synchronization_summary']['observed'][0]:.5f} |" in report and "| major_to_alt | 360 |" in report
+    drawn = {n: pd.read_csv(tmp_path / f"out/figures/{n}.csv") for n in ("null_bars", "lead_lag_intervals", "correlation_matrix", "flow_density")}
+    assert len(drawn["null_bars"]) == 6 and (drawn["lead_lag_intervals"][["below", "above"]] > 0).all(axis=None)
+    matrix = drawn["correlation_matrix"].set_index("left_symbol")
+    assert np.allclose(matrix, matrix.T) and (np.diag(matrix) == 1).all() and list(matrix.columns) == SYMBOLS and drawn["flow_density"]["n"].sum() == 80
     with pytest.raises(FileExistsError):
         runners.primary(spark, config, path, str(tmp_path))
     cli.main(["verify", "--config", path, "--base", str(tmp_path)])
     assert json.loads((tmp_path / "out/verification.json").read_text())["decision_recomputation_match"]
     both = runners.sensitivity(spark, config, path, str(tmp_path))["futures_aggregation_comparison"]
     assert set(both["aggregation"]) == {"mean_primary", "last_sensitivity"} and len(both) == 4
+    assert (tmp_path / "out/futures_aggregation_sensitivity/report.md").read_text().count("| last_sensitivity |") == 2
     assert json.loads((tmp_path / "out/futures_aggregation_sensitivity/run_summary.json").read_text())["primary_decision_replaced"] is False
     stored = pd.read_csv(tmp_path / "out/decisions.csv")
     stored.loc[0, "classification"] = "other"
@@ -76,6 +84,7 @@ def test_primary_sensitivity_cross_and_verification(spark, tmp_path):
     path = config_file(tmp_path, "x.json", config)
     got = runners.cross(spark, config, path, str(tmp_path))
     assert got["decisions"].set_index("decision").passed["cross_venue_synchronization"] and 0.9 < got["synchronization_summary"]["observed"][0] < 1
+    assert "cross_venue_synchronization: **supported**" in (tmp_path / "cross/report.md").read_text() and (tmp_path / "cross/figures/flow_density.csv").exists()
     assert len(got["lead_lag_direction_bootstrap"]) == 9 and got["source_coverage"]["rows"].tolist() == [640, 640]
     assert runners.verify(config, path, str(tmp_path), "cross")["lead-lag_family_size"] == 2
 
@@ -113,6 +122,29 @@ def test_external(spark, tmp_path):
     assert len(got["source_file_manifest"]) == 8 and got["source_coverage"]["complete_intersection_share"].tolist() == [1.0] * 4
 
 
+def test_the_audit_of_an_archive(spark, tmp_path):
+    """Catalogue, one archive read whole, gates, sizes and the report; then an archive that fails."""
+    from tests.test_collector import Shop, archive
+
+    archive(f"{tmp_path}/shelf/A-T-2024-01-01.tar.gz", "A-T", "2024-01-01")
+    archive(f"{tmp_path}/shelf/B-T-2024-01-01.tar.gz", "B-T", "2024-01-01", skip=range(30))
+    limits = {"sample_interval_seconds": 60, "confirmatory_window_days": 180, "full_history_days": 730, "minimum_initial_levels_per_side": 3, "maximum_start_delay_ms": 1000, "maximum_end_early_ms": 60_000, "maximum_parse_errors": 0, "maximum_out_of_order_rows": 0, "maximum_sampled_crossed_books": 0}
+    for symbol, ready in (("A-T", True), ("B-T", False)):
+        config = {"data": {"symbols": ["A-T", "B-T"], "sample_dates": ["2024-01-01"], "pilot_symbol": symbol, "pilot_date": "2024-01-01", "archive_dir": "raw", "module": "4"}, "audit": limits, "output": {"base_dir": f"audit-{symbol}"}}
+        listed = Shop(spark, f"{tmp_path}/shelf")(["A-T", "B-T"], "2024-01-01")
+        got = runners.audit(spark, config, config_file(tmp_path, "a.json", config), str(tmp_path), listed)
+        out = tmp_path / f"audit-{symbol}"
+        summary = got["pilot_audit_summary"].iloc[0]
+        assert (summary["symbol"], summary["sample_count"], summary["initial_ask_levels"]) == (symbol, 1440 if ready else 1410, 3)
+        assert bool(gates.one(got["quality_decisions"], quality_gate="bounded_l2_study_ready")["passed"]) is ready
+        report = (out / "report.md").read_text()
+        assert "2 assets on 1 days: 2 files asked for, 2 available" in report and (("every gate passed" in report) is ready) and f"- {symbol} 2024-01-01: {summary['rows']:,} lines" in report
+        assert spark.read.parquet(f"{out}/pilot_minute_books.parquet").count() == summary["sample_count"]
+        assert json.loads((out / "run_summary.json").read_text())["bounded_l2_study_ready"] is ready
+    with pytest.raises(RuntimeError, match="pilot"):
+        runners.audit(spark, {**config, "data": {**config["data"], "pilot_date": "2024-01-09"}}, "", str(tmp_path), listed)
+
+
 def test_whole_downloads(tmp_path, monkeypatch):
     """A file whose content isn't accepted is fetched again; one that stays wrong leaves no part behind."""
     monkeypatch.setattr(catalog.urllib.request, "urlopen", lambda *a, **k: io.BytesIO(b"new"))

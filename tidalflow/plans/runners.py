@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import book, collection, gates, panel, regression, synchronization
 from ..sources import archives, calendar, catalog
-from . import collector, months, sinks, studies
+from . import collector, months, reports, sinks, studies
 
 #: Layers of text data that no study may use.
 EXCLUDED = ("news", "reddit", "sentiment")
@@ -57,9 +57,12 @@ def write(tables: Mapping[str, pd.DataFrame | DataFrame], out: str) -> None:
             sinks.small_csv(t, f"{out}/{name}.csv")
 
 
-def papers(config: Mapping, path: str, out: str, title: str, tables: Mapping[str, pd.DataFrame], said: Mapping, seal: dict | None, base: str) -> None:
-    """The report, a snapshot of the configuration and protocol, the seal's check, provenance, and the summary."""
-    sinks.document(sinks.report(title, dict(tables), ["No participant ids, so no intent is identified.", "No future return was tested."]), f"{out}/report.md")
+def papers(config: Mapping, path: str, out: str, kind: str, tables: Mapping[str, pd.DataFrame], panels: Mapping[str, DataFrame], said: Mapping, seal: dict | None, base: str) -> None:
+    """The figures' data, the report, a snapshot of the configuration and protocol, the seal's check, provenance, and the summary."""
+    drawn = reports.figures(tables, panels, list(config["data"]["symbols"]))
+    for name, data in drawn.items():
+        sinks.small_csv(data, f"{out}/figures/{name}.csv")
+    sinks.document(reports.written(kind, tables, [f"figures/{n}.csv" for n in drawn]), f"{out}/report.md")
     sinks.snapshot(config, f"{out}/config_snapshot.yaml")
     if seal:
         with open(os.path.join(base, config["protocol"]["path"]), encoding="utf-8") as f:
@@ -135,7 +138,7 @@ def primary(spark: SparkSession, config: Mapping, path: str, base: str = ".") ->
         decisions = gates.study(tables["synchronization_summary"], tables["lead_lag_summary"], tables["lead_lag_direction_bootstrap"], tables["futures_confirmation_summary"], config["analysis"])
     else:
         decisions = gates.replication(tables["synchronization_summary"], tables["lead_lag_summary"], tables["lead_lag_direction_bootstrap"], config["analysis"], "spot")
-    return _finish(config, path, base, out, "Synchronisation of order flow", tables, panels, decisions, seal)
+    return _finish(config, path, base, out, "primary", tables, panels, decisions, seal)
 
 
 def external(spark: SparkSession, config: Mapping, path: str, base: str = ".", others: Mapping[str, str] | None = None) -> dict[str, pd.DataFrame]:
@@ -161,7 +164,7 @@ def external(spark: SparkSession, config: Mapping, path: str, base: str = ".", o
         lead = lambda t: t["lead_lag_summary"].withColumn("metric", F.concat_ws("_", "direction", "horizon_minutes"))
         tables["provider_comparison"] = studies.provider_comparison(new["synchronization_summary"], lead(new), old["synchronization_summary"], lead(old)).toPandas()
     decisions = gates.replication(tables["synchronization_summary"], tables["lead_lag_summary"], tables["lead_lag_direction_bootstrap"], config["analysis"], source["provider"].lower())
-    return _finish(config, path, base, out, "External validation", tables, {"trade_buckets": kept, **panels}, decisions, seal)
+    return _finish(config, path, base, out, "external", tables, {"trade_buckets": kept, **panels}, decisions, seal)
 
 
 def cross(spark: SparkSession, config: Mapping, path: str, base: str = ".") -> dict[str, pd.DataFrame]:
@@ -185,7 +188,7 @@ def cross(spark: SparkSession, config: Mapping, path: str, base: str = ".") -> d
     boot = studies.bootstrap_difference(flows, *ways.values(), int(a["transmission_primary_horizon_minutes"]) // interval, a["bootstrap_repetitions"], np.random.default_rng(a["bootstrap_seed"]), True)
     decisions = gates.cross_venue(sync, lead, boot["difference"], a, there, back)
     tables = {"source_coverage": coverage, "synchronization_summary": sync, "lead_lag_summary": lead, "lead_lag_direction_bootstrap": boot}
-    return _finish(config, path, base, out, "Order flow between venues", tables, {"cross_venue_common_flows": flows}, decisions, seal)
+    return _finish(config, path, base, out, "cross", tables, {"cross_venue_common_flows": flows}, decisions, seal)
 
 
 def sensitivity(spark: SparkSession, config: Mapping, path: str, base: str = ".") -> dict[str, pd.DataFrame]:
@@ -202,7 +205,7 @@ def sensitivity(spark: SparkSession, config: Mapping, path: str, base: str = "."
     tables = {"futures_confirmation_last_summary": by_last, "futures_source_row_quality": quality, "futures_aggregation_comparison": pd.concat([by_mean.assign(aggregation="mean_primary"), by_last.assign(aggregation="last_sensitivity")], ignore_index=True)}
     write(tables, out)
     passed = {"primary_mean_gate_passed": gates.futures(by_mean, config["analysis"]), "last_snapshot_gate_passed": gates.futures(by_last, config["analysis"])}
-    sinks.document(sinks.report("Sensitivity to the futures' aggregation", tables, [f"{k}: {v}" for k, v in passed.items()]), f"{out}/report.md")
+    sinks.document(reports.written("sensitivity", tables) + "\n" + "\n".join(f"- {k}: {v}" for k, v in passed.items()) + "\n", f"{out}/report.md")
     sinks.document({"status": "complete", "analysis_type": "post_result_sensitivity", **passed, "primary_decision_replaced": False, "news_reddit_sentiment_used": False}, f"{out}/run_summary.json")
     return tables
 
@@ -223,17 +226,17 @@ def audit(spark: SparkSession, config: Mapping, path: str, base: str = ".", list
     write(tables, out)
     sinks.table(minutes, f"{out}/pilot_minute_books.parquet", overwrite=True)
     ready = bool(gates.one(tables["quality_decisions"], quality_gate="bounded_l2_study_ready")["passed"])
-    papers(config, path, out, "Availability of order books", {k: tables[k] for k in ("pilot_audit_summary", "resource_estimates", "quality_decisions")}, {"bounded_l2_study_ready": ready}, None, base)
+    papers(config, path, out, "audit", tables, {}, {"bounded_l2_study_ready": ready}, None, base)
     messages.unpersist()
     minutes.unpersist()
     return tables
 
 
-def _finish(config, path, base, out, title, tables, panels, decisions, seal) -> dict[str, pd.DataFrame]:
+def _finish(config, path, base, out, kind, tables, panels, decisions, seal) -> dict[str, pd.DataFrame]:
     """Files in an order that leaves the decisions for last: a run that died can be repeated."""
     write({**tables, **panels}, out)
     said = {"status": "complete", **{r["decision"]: r["classification"] for _, r in decisions.iterrows()}}
-    papers(config, path, out, title, {k: v for k, v in {**tables, "decisions": decisions}.items() if len(v) <= 60}, said, seal, base)
+    papers(config, path, out, kind, {**tables, "decisions": decisions}, panels, said, seal, base)
     write({"decisions": decisions}, out)
     return {**tables, "decisions": decisions}
 
