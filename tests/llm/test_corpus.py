@@ -700,5 +700,53 @@ def test_pipeline(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     bad = {i for i in kept[1] if brute_hits(texts[i], items)[4]}
     assert set(kept[2]) == set(kept[1]) - bad and set(kept[3]) == set(kept[2])
+    # the last two stages by what they make: pseudonyms of the plain twin, and the library's ids and decoded texts
+    assert {i: r.text for i, r in kept[3].items()} == {i: pii_twin(r.text) for i, r in kept[2].items()}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for i, r in kept[3].items():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[i] = len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
     last = corpus_pipeline.run(spark, sf).collect()
-    assert sorted(r.doc_id for r in last) == sorted(kept[3])
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in last} == want and len(last) == len(want)
+
+
+def test_a_component_with_many_guests(spark, monkeypatch):
+    """One large group of near copies, and as many texts at its edge, each with one of its members only: both are cut into blocks, and no task has more than two blocks' rows."""
+    monkeypatch.setattr(near_dup, "BLOCK", 6000)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[r.randrange(60)] = word()
+        texts.append((i, " ".join(w)))
+    for i in range(60):  # at the edge of the similarity
+        w = texts[i][1].split()
+        for k in r.sample(range(60), r.choice([3, 4, 5, 6, 7])):
+            w[k] = word()
+        texts.append((100 + i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(df).collect()}
+    assert got == {i: v[1] for i, v in brute_components(texts, 80, 2).items()}
+    # the blocks by themselves: every link of guests and members is found, and blocks are bounded
+    rows = near_dup.stored(near_dup.sketches(df, 2), "sketches")
+    classes, buckets = near_dup._shared(rows)
+    sets = near_dup._sets(df, classes, buckets, 2)
+    ids = {x.id for x in sets.collect()}
+    inside = sorted(i for i in ids if i < 100)
+    roots = spark.createDataFrame([(i, inside[0]) for i in inside], "node long, root long")
+    guests = spark.createDataFrame([(i, i, inside[0]) for i in sorted(ids) if i >= 100], "id long, root long, main long")
+    met = []
+    compared = near_dup.compared
+    monkeypatch.setattr(near_dup, "compared", lambda groups, *a: met.append(groups) or compared(groups, *a))
+    found = {tuple(sorted(x)) for x in near_dup.with_components(guests, roots, sets, 80).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in texts}
+    close = lambda a, b: 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])
+    assert {b for _, b in found} == {g for g in ids if g >= 100 and any(close(g, m) for m in inside)} and all(close(a, b) for a, b in found)
+    sizes = met[0].groupBy("group", "part", "side").count().agg(F.max("count"), F.count_distinct("part")).first()
+    assert sizes[1] > 20 and sizes[0] <= 25
