@@ -4,7 +4,7 @@ The tree's leaves hold, for each symbol of a piece, the rank of the pair it begi
 the leftmost pair of lowest rank. Merging it changes three leaves, whose paths to the root are renewed; it ends when no
 pair at the root can be merged. Pieces of like length are worked on side by side as rows of one array.
 
-Only distinct white-space-delimited chunks are worked on: no piece of this pre-tokenizer crosses white space. A worker
+Only distinct white-space-delimited chunks are worked on: no piece of this pre-tokenizer crosses white space. A task
 remembers the ids of chunks that it has met lately, in REMEMBERED bytes. Normalising and splitting a chunk is the tokenizer file's own business.
 
 Defined cases: null and empty texts have no tokens, ids and text ""; repeated rows each get a row; texts of one very long
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import Recent, per_text, texts
 
-#: Bytes in which a worker remembers chunks.
-REMEMBERED = 384 << 20
+#: Bytes in which a task remembers chunks, and those in which a worker does that keeps its encoder between tasks.
+REMEMBERED, KEPT = 64 << 20, 384 << 20
 _NONE = np.int64(1) << 60
 # Letters, lower-cased, and marks behind them: one piece each, whatever the tokenizer file's own rules for the rest. No line of these has an
 # apostrophe, which may begin a piece, or a <, which may begin a special token.
@@ -38,7 +38,7 @@ _LINES = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)|.*)$", re.M)
 class SegmentTreeBpe:
     """A word-end BPE model file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,7 +68,7 @@ class SegmentTreeBpe:
         self.numbers = {i: str(i) for i in self.name}
         # the byte-level alphabet: a byte above 127 is shown by the character that the tokenizer file's splitter gives it
         self.shown = {b: self.split(c)[0][0][k] for c, k in [(bytes([x, y]).decode(), k) for x, y in ((0xC3, z) for z in range(0x80, 0xC0)) for k in (0, 1)] for b in [c.encode()[k]] if c.isalpha()}
-        self.known = Recent(REMEMBERED)
+        self.known = Recent(remembered)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of the merge of symbols a and b, or of none."""
@@ -205,15 +205,15 @@ class SegmentTreeBpe:
 
 @functools.lru_cache(1)
 def encoder(path: str) -> SegmentTreeBpe:
-    """The encoder that a worker process keeps for its next tasks, with the chunks that it remembers."""
-    return SegmentTreeBpe(path)
+    """The encoder that a worker process keeps for its next tasks, with the chunks that it remembers; for jobs that do little else, as it stays when they are done."""
+    return SegmentTreeBpe(path, KEPT)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``."""
 
     def make():
-        bpe = encoder(path)
+        bpe = SegmentTreeBpe(path)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
         def run(_, batch):
@@ -229,7 +229,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, decoded string of every row of ``docs``."""
 
     def make():
-        bpe = encoder(path)
+        bpe = SegmentTreeBpe(path)
 
         def run(_, batch):
             got = bpe([x.decode() for x in batch])
