@@ -115,12 +115,13 @@ def concordance_null(moved: DataFrame, panel: DataFrame, flows: DataFrame, value
 
     ``moved`` (draw, bucket_start, shifted) are the shifted assets of ``panel`` (bucket_start, ``value``), whose common flow is
     ``right`` in ``flows``. The shifted means are brought to that flow's scale by the line that turns the panel's own means into it.
+    A mean that this puts at the threshold, but for rounding, isn't beyond it.
     """
     own = panel.groupBy("bucket_start").agg(F.avg(value).alias("_m")).join(flows.select("bucket_start", right), "bucket_start")
     line = own.agg((F.covar_pop("_m", right) / F.var_pop("_m")).alias("_slope"), F.avg("_m").alias("_center"), F.avg(right).alias("_level"))
     means = moved.groupBy("draw", "bucket_start").agg(F.avg("shifted").alias("_m")).crossJoin(F.broadcast(line))  # one row
     scaled = means.select("draw", "bucket_start", (F.col("_level") + F.col("_slope") * (F.col("_m") - F.col("_center"))).alias("_moved"))
-    return concordance(scaled.join(flows.drop(right), "bucket_start"), left, "_moved", left_threshold, right_threshold, "draw")
+    return concordance(scaled.join(flows.drop(right), "bucket_start"), left, "_moved", left_threshold, right_threshold + F.lit(1e-12), "draw")
 
 
 def null_summary(nulls: DataFrame, value: str, observed: DataFrame, keys: list[str] | None = None) -> DataFrame:

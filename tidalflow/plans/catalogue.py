@@ -731,7 +731,7 @@ def cross_null_summary(spark, root):
     f"""WITH v AS (SELECT *, hour(bucket_start) // 6 AS slot, datediff('day', DATE '2024-01-16', bucket_start::DATE) AS day FROM venues WHERE sample_split = 'oos'),
   m AS (SELECT draw, bucket_start, avg(r) AS m FROM ({_MOVED_VENUE}) GROUP BY 1, 2),
   own AS (SELECT regr_slope(second_flow, m) AS b, regr_intercept(second_flow, m) AS a FROM (SELECT bucket_start, avg(flow) AS m FROM v WHERE venue = 'second' GROUP BY 1) JOIN common USING (bucket_start))
-  SELECT draw::BIGINT AS draw, avg((sign(first_flow) = sign(a + b * m))::INT) AS concordance, count(*) AS event_count FROM m JOIN common USING (bucket_start), own, {_EDGES} WHERE abs(first_flow) > e1 OR abs(a + b * m) > e2 GROUP BY 1""",
+  SELECT draw::BIGINT AS draw, avg((sign(first_flow) = sign(a + b * m))::INT) AS concordance, count(*) AS event_count FROM m JOIN common USING (bucket_start), own, {_EDGES} WHERE abs(first_flow) > e1 OR abs(a + b * m) > e2 + 1e-12 GROUP BY 1""",
     "venues",
     "common",
     f="concordance",

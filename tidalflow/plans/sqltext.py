@@ -50,11 +50,11 @@ PIECES: dict[str, tuple[tuple[str, ...], str]] = {
     "oos_flows": (("flows",), "SELECT * FROM flows WHERE sample_split = 'oos'"),
     "design": (
         ("oos_flows",),
-        "SELECT * FROM (SELECT bucket_start, lead(alt_flow, 1) OVER (ORDER BY bucket_start) AS y, lead(bucket_start, 1) OVER (ORDER BY bucket_start) AS nxt, major_flow AS x1, alt_flow AS x2 FROM oos_flows) WHERE y IS NOT NULL",
+        "SELECT * FROM (SELECT bucket_start, lead(alt_flow, 1) OVER (ORDER BY bucket_start) AS y, lead(bucket_start, 1) OVER (ORDER BY bucket_start) AS nxt, major_flow AS x1, alt_flow AS x2 FROM oos_flows) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
     ),
     "back_design": (
         ("oos_flows",),
-        "SELECT * FROM (SELECT bucket_start, lead(major_flow, 1) OVER (ORDER BY bucket_start) AS y, lead(bucket_start, 1) OVER (ORDER BY bucket_start) AS nxt, alt_flow AS x1, major_flow AS x2 FROM oos_flows) WHERE y IS NOT NULL",
+        "SELECT * FROM (SELECT bucket_start, lead(major_flow, 1) OVER (ORDER BY bucket_start) AS y, lead(bucket_start, 1) OVER (ORDER BY bucket_start) AS nxt, alt_flow AS x1, major_flow AS x2 FROM oos_flows) WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL",
     ),
     "both_designs": (("design", "back_design"), "SELECT 'major_to_alt' AS direction, * FROM design UNION ALL SELECT 'alt_to_major', * FROM back_design"),
     "blocks": (
