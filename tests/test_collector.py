@@ -100,15 +100,17 @@ class Killed(Exception):
     pass
 
 
-@pytest.mark.parametrize("step", ["archives", "features", "facts", "progress", "removal", "state", "unavailable", "panel"])
-def test_killed_after_a_step_and_run_again(spark, shelf, clean, tmp_path, step):
-    def reached(now):
-        if now == step:
-            raise Killed
+def test_killed_after_each_step_and_run_again(spark, shelf, clean, tmp_path):
+    """One collection of three files, one at a time: each run is killed after another step, and the next one takes it up."""
+    for step in ("archives", "features", "facts", "progress", "removal", "unavailable", "state", "panel"):
 
-    with pytest.raises(Killed):
-        collector.collect(spark, RESEARCH, SETTINGS, str(tmp_path), listed=Shop(spark, shelf), at_once=2, reached=reached)
-    assert collector.collect(spark, RESEARCH, SETTINGS, str(tmp_path), listed=Shop(spark, shelf), at_once=2)["status"] == "complete"
+        def reached(now, step=step):
+            if now == step:
+                raise Killed
+
+        with pytest.raises(Killed):
+            collector.collect(spark, RESEARCH, SETTINGS, str(tmp_path), listed=Shop(spark, shelf), at_once=1, reached=reached)
+    assert collector.collect(spark, RESEARCH, SETTINGS, str(tmp_path), listed=Shop(spark, shelf), at_once=1)["status"] == "complete"
     assert tables(spark, str(tmp_path)) == clean[3] and raw_files(tmp_path) == []
 
 
