@@ -100,9 +100,10 @@ class Killed(Exception):
     pass
 
 
-def test_killed_after_each_step_and_run_again(spark, shelf, clean, tmp_path):
+@pytest.mark.parametrize("steps", [("archives", "features", "facts", "progress", "unavailable", "removal", "panel"), ("state",)])
+def test_killed_after_each_step_and_run_again(spark, shelf, clean, tmp_path, steps):
     """One collection of three files, one at a time: each run is killed after another step, and the next one takes it up."""
-    for step in ("archives", "features", "facts", "progress", "removal", "unavailable", "state", "panel"):
+    for step in steps:
 
         def reached(now, step=step):
             if now == step:
