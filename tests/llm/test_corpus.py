@@ -1,8 +1,12 @@
 """Corpus operators against brute force, round trips and held-out labels, with nulls, blanks, ties, repeated rows and extra columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -750,3 +754,38 @@ def test_a_component_with_many_guests(spark, monkeypatch):
     assert {b for _, b in found} == {g for g in ids if g >= 100 and any(close(g, m) for m in inside)} and all(close(a, b) for a, b in found)
     sizes = met[0].groupBy("group", "part", "side").count().agg(F.max("count"), F.count_distinct("part")).first()
     assert sizes[1] > 20 and sizes[0] <= 25
+
+
+_MEMORY = """
+import random
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tidalflow.llm import bpe
+from tidalflow.llm.queries import tokenizer
+
+def held(batches):
+    status = dict(x.split(":", 1) for x in open("/proc/self/status"))
+    for _ in batches:
+        yield pa.RecordBatch.from_pydict({k: [int(status[k].split()[0]) >> 10] for k in ("VmRSS", "VmHWM")} | {"pid": [int(status["Pid"])]})
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+memory = lambda: spark.range(1, numPartitions=1).mapInArrow(held, "VmRSS long, VmHWM long, pid long").collect()[0]
+random.seed(3)
+words = ["".join(random.choices("abcdefghijklm", k=random.randint(2, 11))) for _ in range(40000)]
+docs = spark.createDataFrame([(i, " ".join(random.choices(words, k=30000))) for i in range(40)], "doc_id long, text string").coalesce(1)
+docs.cache().count()
+before = memory()
+n = bpe.encoded(docs, tokenizer("word_bpe_49k.json")).agg(F.sum("n_tokens")).first()[0]
+after = memory()
+print("MEMORY", n > 40 * 30000, before.pid == after.pid, after.VmHWM - before.VmRSS, after.VmRSS - before.VmRSS)
+"""
+
+
+def test_encoding_gives_its_memory_back():
+    """A worker's memory, in MB, over what it had: at most while it encodes 9 MB of text, and once the task is over."""
+    root = Path(__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", _MEMORY], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=300).stdout
+    whole, same, most, left = next(x.split()[1:] for x in out.splitlines() if x.startswith("MEMORY"))
+    assert whole == same == "True"
+    assert int(most) < 140 and int(left) < 90

@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from .common import Recent, per_text, texts
 
 #: Bytes in which a task remembers chunks, and those in which a worker does that keeps its encoder between tasks.
-REMEMBERED, KEPT = 64 << 20, 384 << 20
+REMEMBERED, KEPT = 32 << 20, 384 << 20
+#: Bytes of text encoded at a time, as its ids, their places and the decoded text take many times as many.
+STEP = 512 << 10
 _NONE = np.int64(1) << 60
 # Letters, lower-cased, and marks behind them: one piece each, whatever the tokenizer file's own rules for the rest. No line of these has an
 # apostrophe, which may begin a piece, or a <, which may begin a special token.
@@ -222,7 +224,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return per_text(texts(docs), make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return per_text(texts(docs), make, "n_tokens long, ids_sha256 string, decoded_sha256 string", size=STEP)
 
 
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -237,4 +239,4 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return per_text(texts(docs), make, "ids array<int>, decoded string")
+    return per_text(texts(docs), make, "ids array<int>, decoded string", size=STEP)

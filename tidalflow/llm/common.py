@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -104,15 +105,35 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *extra)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str = "text", *others: str) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches where their texts exceed STEP_BYTES, so that Python's share of memory is bounded."""
+def give_back() -> None:
+    """Hands memory that is free, but held by Arrow's pool or the C library, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which a task maps batches by, and then give_back(): the worker process stays, idle or for the tasks of later stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def steps(batches: Iterable[pa.RecordBatch], column: str = "text", *others: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches where their texts exceed ``size`` bytes (STEP_BYTES), so that Python's share of memory is bounded."""
+    most = size or STEP_BYTES
     for batch in batches:
         start = taken = 0
         sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
         for more in others:
             sizes = [(a or 0) + (b or 0) for a, b in zip(sizes, pa.compute.binary_length(batch.column(more)).to_pylist(), strict=True)]
         for i, n in enumerate(sizes):
-            if taken and taken + (n or 0) > STEP_BYTES:
+            if taken and taken + (n or 0) > most:
                 yield batch.slice(start, i - start)
                 start, taken = i, 0
             taken += n or 0
@@ -120,8 +141,8 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", *others: str)
             yield batch.slice(start)
 
 
-def per_text(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, keep: str = "doc_id") -> DataFrame:
-    """One output row for each row of ``texts(...)``: ``make()`` runs once a task and returns a function of lists (ids, texts) giving the columns."""
+def per_text(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], schema: str, keep: str = "doc_id", size: int | None = None) -> DataFrame:
+    """One output row for each row of ``texts(...)``: ``make()`` runs once a task and returns a function of lists (ids, texts; ``size`` bytes at a time) giving the columns."""
     names = [x.split()[0] for x in schema.split(", ")]
     types = df.sparkSession.createDataFrame([], f"{keep} long, {schema}").schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,11 +151,11 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[list, list], dict]], sc
 
     def run(batches):
         f = make()
-        for part in steps(batches):
+        for part in steps(batches, size=size):
             got = f(part.column(keep).to_pylist(), part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(keep)] + [pa.array(got[n], arrow.field(n).type) for n in names], schema=arrow)
 
-    return df.select(keep, "text").mapInArrow(run, types)
+    return df.select(keep, "text").mapInArrow(lean(run), types)
 
 
 def filtered(docs: DataFrame, make: Callable[[], Callable[[list], list]], column: str = "text") -> DataFrame:
@@ -146,4 +167,4 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[list], list]], column
             got = keep([x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()])
             yield part.filter(pa.array(got, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

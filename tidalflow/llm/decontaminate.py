@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, stored, texts
+from .common import lean, steps, stored, texts
 
 WINDOW = 13
 #: Test text that one pass over the documents takes: what is sent to each executor has this bound.
@@ -178,10 +178,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
                 yield out if every else out.filter(pa.array([bool(x) for x in columns[1]], pa.bool_()))
 
         if last and base is None:
-            return docs.mapInArrow(run, docs.selectExpr("*", "0L AS __words", "CAST(array() AS array<bigint>) AS __spans", "CAST(array() AS array<string>) AS __items").schema)
+            return docs.mapInArrow(lean(run), docs.selectExpr("*", "0L AS __words", "CAST(array() AS array<bigint>) AS __spans", "CAST(array() AS array<string>) AS __items").schema)
         if base is None:
             base = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        stores.append(stored(base.select("__row", "text").mapInArrow(run, f"__row long, {_TYPES}"), "spans"))
+        stores.append(stored(base.select("__row", "text").mapInArrow(lean(run), f"__row long, {_TYPES}"), "spans"))
         sent.destroy()
     pieces = reduce(DataFrame.union, stores)
     gathered = pieces.groupBy("__row").agg(F.max("__words").alias("__words"), F.collect_list("__spans").alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
@@ -241,7 +241,7 @@ def _longest(docs: DataFrame, sent) -> DataFrame:
                     rows += [(ids[i], t.names[t.owner[k]], s, int(a - begin[i]), int(n)) for i, a, n in zip(d, at, length, strict=True)]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "item_start", "doc_start", "n_words"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())]))
 
-    return texts(docs).mapInArrow(run, "doc_id long, item_id string, item_start long, doc_start long, n_words long")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, item_id string, item_start long, doc_start long, n_words long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

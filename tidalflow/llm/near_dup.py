@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, steps, stored, texts
+from .common import forget, lean, steps, stored, texts
 from .components import components
 
 WORDS, PERCENT = 2, 80
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
             n, digest, bands, lanes = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lanes, pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "lanes"])
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(lean(run), schema)
 
 
 class Block:
@@ -242,7 +242,7 @@ def compared(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         done()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return work.mapInArrow(lean(run), "a long, b long").where("a <> b").distinct()
 
 
 def _parts(of: DataFrame, by: str, sets: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def _sets(docs: DataFrame, classes: DataFrame, buckets: DataFrame, k: int) -> Da
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), part.column("lanes"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n_shingles", "lanes", "set"])
 
     # a merge at every size, so that what is shuffled grows with the input
-    return stored(texts(docs).hint("merge").join(wanted, "doc_id").select("doc_id", "text", "lanes").mapInArrow(run, "id long, n_shingles long, lanes binary, set binary").where("n_shingles > 0"), "sets")
+    return stored(texts(docs).hint("merge").join(wanted, "doc_id").select("doc_id", "text", "lanes").mapInArrow(lean(run), "id long, n_shingles long, lanes binary, set binary").where("n_shingles > 0"), "sets")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
