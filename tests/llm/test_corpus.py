@@ -534,6 +534,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, **{200 + i: 200 for i in range(30)}}
 
 
+def test_components_take_few_jobs(spark):
+    """The driver pays for each job: a step has at most six, with what tells whether it changed anything, and stars need one step."""
+    context, tell = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def jobs(edges):
+        context.setJobGroup(name := f"components of {len(edges)}", "")
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        context.setJobGroup("", "")
+        return got, len(tell.getJobIdsForGroup(name))
+
+    got, n = jobs([(200, 200 + i) for i in range(1, 30)])
+    assert got == {200 + i: 200 for i in range(30)} and n <= 12  # 24 before
+    got, n = jobs([(i, i + 1) for i in range(40)])
+    assert got == {i: 0 for i in range(41)} and n <= 50  # 74 before
+    assert jobs([])[0] == {}
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 

@@ -353,12 +353,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) ->
     main = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     outside = stored(now.join(main, "key").where("root <> main"), "outside")
     guests = stored(outside.select("id", "root", "main").distinct(), "guests")
-    found = with_components(guests, roots, sets, percent)
-    found = stored(found.union(among(outside.select("key", "id", "root"), sets, percent)), "links")
+    # two small plans rather than one of their union, all of which would be told anew as each of its shuffles ends
+    inside, apart = stored(with_components(guests, roots, sets, percent), "links"), stored(among(outside.select("key", "id", "root"), sets, percent), "links")
+    found = inside.union(apart)
     if not found.isEmpty():
         roots, last = joined(roots, found), roots
         forget(last)
-    forget(*used, outside, guests, found, buckets, sets)
+    forget(*used, outside, guests, inside, apart, buckets, sets)
     named = rows.select("doc_id", "n_shingles", "digest")
     own = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("id"))
     out = named.join(own, "digest", "left").withColumn("component_id", F.coalesce("id", "doc_id"))
